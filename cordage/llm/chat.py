@@ -162,7 +162,7 @@ def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = rows.where("role = 'user'")
     text = F.to_json(F.struct(F.col("text").alias("text")), {"ignoreNullFields": "false"})
     # the turn two before it, if that asked: an equality that the links settle, so no order within a conversation is needed
-    calls = asked.select("conv_id", F.col("turn").cast("string").alias("call_id"), "turn", F.lit("reply").alias("name"), text.alias("arguments"), F.array((F.col("turn") - 2).cast("string")).alias("after"))
+    calls = asked.select("conv_id", F.col("turn").cast("string").alias("call_id"), "turn", F.lit("reply").alias("name"), text.alias("arguments"), F.array_compact(F.array(F.when(F.col("turn") >= 2, (F.col("turn") - 2).cast("string")))).alias("after"))
     answers = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).cast("string").alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, answers
 
