@@ -142,18 +142,49 @@ def _set_reader(wanted: np.ndarray, k: int):
     return run
 
 
-def _blocks_apart(least: int):
-    """Pairs of one block pair of a node whose groups differ and whose sketches agree often."""
+def _shared_counts(x: list[np.ndarray], y: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """How many keys each of ``x`` shares with each of ``y``, by products of ``width`` keys at a time."""
+    sides = []
+    common = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    for sets in (x, y):
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
+        at = np.minimum(np.searchsorted(common, flat), max(len(common) - 1, 0))
+        known = common[at] == flat if len(common) else np.zeros(len(flat), dtype=bool)
+        order = np.argsort(at[known], kind="stable")
+        sides.append((row[known][order], at[known][order], len(sets)))
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    for low in range(0, len(common), width):
+        held = []
+        for row, at, n in sides:
+            cut = slice(*np.searchsorted(at, [low, low + width]))
+            held.append(np.bincount(row[cut] * width + at[cut] - low, minlength=n * width).reshape(n, width).astype(np.float32))
+        out += held[0] @ held[1].T
+    return out.astype(np.int64)
+
+
+def _blocks_apart(percent: int):
+    """Links of one block pair of a node that join different groups, the closest first, and no more than join them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        x = np.frombuffer(b"".join(left.sketch), dtype=np.uint32).reshape(-1, COORDINATES)
-        y = np.frombuffer(b"".join(right.sketch), dtype=np.uint32).reshape(-1, COORDINATES)
-        agree = np.zeros((len(x), len(y)), dtype=np.uint8)
-        for i in range(COORDINATES):
-            agree += x[:, i, None] == y[None, :, i]
-        a, b = np.nonzero((agree >= least) & (left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :]))
-        return pd.DataFrame({"a": left.rep.to_numpy()[a], "b": right.rep.to_numpy()[b]})
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            x, y = left["keys"].to_list(), right["keys"].to_list()
+            sizes = np.add.outer(left["keys"].map(len).to_numpy(), right["keys"].map(len).to_numpy())
+            surplus = (100 + percent) * _shared_counts(x, y) - percent * sizes
+            root_x, root_y = left["root"].to_numpy(), right["root"].to_numpy()
+            i, j = np.nonzero((surplus >= 0) & (root_x[:, None] != root_y[None, :]))
+            order = np.argsort(-surplus[i, j], kind="stable")
+            above: dict[int, int] = {}
+            for a, b in zip(i[order].tolist(), j[order].tolist()):
+                ends = [int(root_x[a]), int(root_y[b])]
+                for e in range(2):
+                    while ends[e] in above:
+                        ends[e] = above[ends[e]]
+                if ends[0] != ends[1]:
+                    above[max(ends)] = min(ends)
+                    out.append((left.rep.iloc[a], right.rep.iloc[b]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -211,7 +242,7 @@ def near_duplicates(
     edges = _confirmed(source, reps, found.distinct(), k, percent, least)
     roots = written(connected_components(edges), "roots")
 
-    apart = _apart(deep, reps, roots, least)
+    apart = _apart(source, deep, reps, roots, k, percent)
     if apart is not None:
         edges = edges.union(_confirmed(source, reps, apart, k, percent, least))
         roots = written(connected_components(edges), "roots")
@@ -220,42 +251,52 @@ def near_duplicates(
     return member.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _full_sets(source: DataFrame, reps: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``doc_id`` and ``shingles`` of the sets of ``wanted`` (distinct ``rep``), built again from the texts."""
+    sets = source.mapInArrow(_set_reader(bitmap(wanted, "rep"), k), "doc_id long, set_a long, shingles array<long>")
+    needed = reps.select(F.col("rep").alias("doc_id"), "set_a").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    return written(sets.join(needed, ["doc_id", "set_a"], "left_semi").select("doc_id", "shingles"), "shingles")
+
+
 def _confirmed(source: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int, least: int) -> DataFrame:
     """The pairs that are links, by their full sets. Only sets of likely pairs are built again."""
     a = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
     b = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
     sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     likely = written(sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely(least), "a long, b long"), "likely")
-    involved = likely.select("a").union(likely.select("b")).distinct()
-    wanted = bitmap(involved, "a")
-    sets = source.mapInArrow(_set_reader(wanted, k), "doc_id long, set_a long, shingles array<long>")
-    needed = reps.select(F.col("rep").alias("doc_id"), "set_a").join(involved.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi")
-    sets = written(sets.join(needed, ["doc_id", "set_a"], "left_semi").select("doc_id", "shingles"), "shingles")
+    sets = _full_sets(source, reps, likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), k)
     x, y = (sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"s_{n}")) for n in "ab")
     both = likely.join(x, "a").join(y, "b").withColumn("same", F.size(F.array_intersect("s_a", "s_b")))
     return written(both.where(f"100 * same >= {percent} * (size(s_a) + size(s_b) - same)").select("a", "b"), "links")
 
 
-def _apart(deep: DataFrame, reps: DataFrame, roots: DataFrame, least: int, block: int = 1024) -> DataFrame | None:
-    """Likely pairs in deep nodes between sets that their leader left in other groups; None without such sets.
+def _apart(source: DataFrame, deep: DataFrame, reps: DataFrame, roots: DataFrame, k: int, percent: int, block: int = 1024) -> DataFrame | None:
+    """Links in deep nodes to sets that their leader left in other groups; None without such sets.
 
     All pairs of a node are covered: those in the leader's group are joined
     already, and each set outside it meets every set of the node, block by
-    block, with no more than two blocks in a task.
+    block, with no more than two blocks in a task. Shingles go as 32-bit keys,
+    which count no shared shingle too few; a block gives no more links than it
+    has groups, and full sets confirm them.
     """
     member = deep.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     lead = roots.select(F.col("node").alias("leader"), F.col("root").alias("lead"))
     member = member.join(lead, "leader", "left").withColumn("out", F.col("root") != F.coalesce("lead", "leader"))
-    sizes = member.groupBy("node").agg(F.count("*").alias("m"), F.sum(F.col("out").cast("long")).alias("n_out")).where("n_out > 0")
+    member = member.join(reps.groupBy("rep").agg(F.max("n_shingles").alias("n")), "rep")
+    # as many blocks as keep each side to ``block`` sets and about 1024 shingles for each of them
+    parts = lambda n: F.greatest(F.ceil(F.count(n) / block), F.ceil(F.sum(n) / (block << 10))).cast("int")
+    outs = F.when(F.col("out"), F.col("n"))
+    sizes = member.groupBy("node").agg(parts(F.col("n")).alias("n_all"), parts(outs).alias("n_out"), F.count(outs).alias("outs")).where("outs > 0")
     member = written(member.select("node", "rep", "root", "out").join(sizes, "node"), "apart")
     if member.isEmpty():
         return None
-    member = member.join(reps.select("rep", "sketch").dropDuplicates(["rep"]), "rep")
-    blocks = lambda n: F.expr(f"cast(ceil({n} / {block}.0) as int)")
-    at = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), blocks(n)).cast("int")
-    left = member.where("out").select("node", at("n_out", 0).alias("i"), F.explode(F.sequence(F.lit(0), blocks("m") - 1)).alias("j"), F.lit(0).alias("side"), "rep", "root", "sketch")
-    right = member.select("node", F.explode(F.sequence(F.lit(0), blocks("n_out") - 1)).alias("i"), at("m", 1).alias("j"), F.lit(1).alias("side"), "rep", "root", "sketch")
-    found = left.union(right).groupBy("node", "i", "j").applyInPandas(_blocks_apart(least), "a long, b long")
+    sets = _full_sets(source, reps, member.select("rep").distinct(), k)
+    keys = sets.select(F.col("doc_id").alias("rep"), F.transform("shingles", lambda s: F.shiftright(s, 32).cast("int")).alias("keys"))
+    at = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = member.where("out").select("node", at("n_out", 0).alias("i"), upto("n_all").alias("j"), F.lit(0).alias("side"), "rep", "root")
+    right = member.select("node", upto("n_out").alias("i"), at("n_all", 1).alias("j"), F.lit(1).alias("side"), "rep", "root")
+    found = left.union(right).join(keys, "rep").groupBy("node", "i", "j").applyInPandas(_blocks_apart(percent), "a long, b long")
     return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
