@@ -83,34 +83,49 @@ def _sketch_array(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
 
 
-def _node_batch(node: np.ndarray, rep: np.ndarray, level: int = 0) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), pa.array(rep)], names=["node", "rep"])
-
-
 def _roots(trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sketch, rep = _sketch_array(batch.column("sketch")).astype(np.uint64), batch.column("rep").to_numpy()
+            sketch = _sketch_array(batch.column("sketch")).astype(np.uint64)
             for tree in range(trees):
                 i, j = (2 * tree) % COORDINATES, (2 * tree + 1) % COORDINATES
-                yield _node_batch(mix(mix(sketch[:, i] + np.uint64(tree << 40)) + sketch[:, j]), rep)
+                node = mix(mix(sketch[:, i] + np.uint64(tree << 40)) + sketch[:, j])
+                yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), batch.column("rep"), batch.column("n_shingles")], names=["node", "rep", "n"])
 
     return run
 
 
-def _branches(branch: int, level: int):
+def _subtrees(branch: int, levels: int):
+    """The nodes that a set reaches below each node: ``branch`` of the next level, then ``branch`` of each of these, and so on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sketch, rep = _sketch_array(batch.column("sketch")), batch.column("rep").to_numpy()
-            node = batch.column("node").to_numpy().astype(np.uint64)
-            for child in range(branch):
-                chosen = mix(node + np.uint64(level * 64 + child + 1))  # all sets of a node choose alike
-                at = (chosen % np.uint64(COORDINATES)).astype(np.int64)
-                yield _node_batch(mix(chosen + sketch[np.arange(len(at)), at].astype(np.uint64)), rep)
+            sketch, row = _sketch_array(batch.column("sketch")), np.arange(batch.num_rows)
+            above, found = [batch.column("node").to_numpy().astype(np.uint64)], []
+            for level in range(levels):
+                reached = []
+                for node in above:
+                    for child in range(branch):
+                        chosen = mix(node + np.uint64(level * 64 + child + 1))  # all sets of a node choose alike
+                        at = (chosen % np.uint64(COORDINATES)).astype(np.int64)
+                        reached.append(mix(chosen + sketch[row, at].astype(np.uint64)))
+                found += reached
+                above = reached
+            below = pa.array(np.stack(found, axis=1).astype(np.int64).ravel())
+            cuts = pa.array(np.arange(batch.num_rows + 1) * len(found), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.ListArray.from_arrays(cuts, below)], names=["rep", "n", "below"])
 
     return run
 
 
+def _children(rows: DataFrame, branch: int, levels: int) -> DataFrame:
+    """A row for each node of the next level, with what is below it, from ``below`` of that many ``levels``."""
+    offset = [sum(branch**u for u in range(1, t)) for t in range(1, levels + 1)]
+    parts = lambda c: ", ".join(f"slice(below, {offset[t] + c * branch**t + 1}, {branch**t})" for t in range(1, levels)) or "cast(array() AS array<bigint>)"
+    kids = ", ".join(f"named_struct('node', below[{c}], 'below', concat({parts(c)}))" for c in range(branch))
+    return rows.select("rep", "n", F.expr(f"array({kids})").alias("kids")).select("rep", "n", F.explode("kids").alias("kid")).select("kid.node", "rep", "n", "kid.below")
+
+
 def _likely(least: int):
     """Drops pairs whose sketches agree too seldom, or whose sizes rule a link out."""
 
@@ -221,7 +236,7 @@ def near_duplicates(
     own = full.select(F.col("doc_id").alias("rep"), *key, "n_shingles", "sketch")
     reps = written(own.join(classes, ["rep", *key], "left_semi").dropDuplicates(["rep", *key]).select("rep", "set_a", "n_shingles", "sketch"), "sets")
 
-    nodes = reps.select("rep", "sketch").mapInArrow(_roots(trees), "node long, rep long")
+    nodes = reps.select("rep", "n_shingles", "sketch").mapInArrow(_roots(trees), "node long, rep long, n long")
     pairs, deep = [], None
     for level in range(2, depth + 1):
         nodes = written(nodes, "nodes")
@@ -232,10 +247,13 @@ def near_duplicates(
         pairs.append(halves)
         large = sized.where(F.col("size") > node_size)
         if level == depth:
-            deep = written(large.select("node", "rep", "leader").distinct(), "deep")
+            deep = written(large.select("node", "rep", "n", "leader").distinct(), "deep")
             pairs.append(deep.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
         else:
-            nodes = large.select("node", "rep").join(reps.select("rep", "sketch"), "rep").mapInArrow(_branches(branch, level), "node long, rep long")
+            if level == 2:  # the whole paths of what is in a large node, so that sketches are joined once
+                sketched = large.select("node", "rep", "n").join(reps.select("rep", "sketch"), "rep")
+                large = sketched.mapInArrow(_subtrees(branch, depth - 2), "rep long, n long, below array<long>")
+            nodes = _children(large, branch, depth - level)
     found = pairs[0]
     for more in pairs[1:]:
         found = found.union(more)
@@ -282,7 +300,6 @@ def _apart(source: DataFrame, deep: DataFrame, reps: DataFrame, roots: DataFrame
     member = deep.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     lead = roots.select(F.col("node").alias("leader"), F.col("root").alias("lead"))
     member = member.join(lead, "leader", "left").withColumn("out", F.col("root") != F.coalesce("lead", "leader"))
-    member = member.join(reps.groupBy("rep").agg(F.max("n_shingles").alias("n")), "rep")
     # as many blocks as keep each side to ``block`` sets and about 1024 shingles for each of them
     parts = lambda n: F.greatest(F.ceil(F.count(n) / block), F.ceil(F.sum(n) / (block << 10))).cast("int")
     outs = F.when(F.col("out"), F.col("n"))
@@ -293,10 +310,12 @@ def _apart(source: DataFrame, deep: DataFrame, reps: DataFrame, roots: DataFrame
     sets = _full_sets(source, reps, member.select("rep").distinct(), k)
     keys = sets.select(F.col("doc_id").alias("rep"), F.transform("shingles", lambda s: F.shiftright(s, 32).cast("int")).alias("keys"))
     at = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = member.where("out").select("node", at("n_out", 0).alias("i"), upto("n_all").alias("j"), F.lit(0).alias("side"), "rep", "root")
-    right = member.select("node", upto("n_out").alias("i"), at("n_all", 1).alias("j"), F.lit(1).alias("side"), "rep", "root")
-    found = left.union(right).join(keys, "rep").groupBy("node", "i", "j").applyInPandas(_blocks_apart(percent), "a long, b long")
+    # an outer set goes to its block against all blocks; every set goes to its block against all outer blocks
+    outer = F.transform(F.sequence(F.lit(0), F.col("n_all") - 1), lambda j: F.struct(at("n_out", 0).alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    every = F.transform(F.sequence(F.lit(0), F.col("n_out") - 1), lambda i: F.struct(i.alias("i"), at("n_all", 1).alias("j"), F.lit(1).alias("side")))
+    cells = member.withColumn("cells", F.concat(F.when(F.col("out"), outer).otherwise(F.slice(outer, 1, 0)), every)).join(keys, "rep")
+    cells = cells.select("node", "rep", "root", "keys", F.explode("cells").alias("cell")).select("node", "cell.*", "rep", "root", "keys")
+    found = cells.groupBy("node", "i", "j").applyInPandas(_blocks_apart(percent), "a long, b long")
     return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
