@@ -76,7 +76,7 @@ class Encoder:
     """Token ids of many texts. ``for_path`` keeps one of them per worker and vocabulary."""
 
     #: Pieces kept; beyond them the memory of pieces starts afresh.
-    KEEP = 1 << 21
+    KEEP = 1 << 20
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer

@@ -1,6 +1,6 @@
 """Words and word hashes of many texts at once, on code points in numpy.
 
-A task handles its texts in chunks of about a million characters, so its memory
+A task handles its texts in chunks of about a quarter million characters, so its memory
 does not follow the batch; only a single longer text is taken whole.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _tables: dict[str, np.ndarray] = {}
@@ -40,8 +40,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
     """The texts (null: empty) in runs of about ``limit`` characters, each with its first index."""
     at, size, run = 0, 0, []
-    for i, value in enumerate(column.to_pylist()):
-        text = value or ""
+    for i in range(len(column)):
+        text = column[i].as_py() or ""  # one by one: the batch is never whole in Python
         if run and size + len(text) > limit:
             yield at, run
             at, size, run = i, 0, []
