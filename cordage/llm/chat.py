@@ -96,30 +96,45 @@ def _message(schemas: dict[str, dict]):
 def _levels(calls: DataFrame) -> DataFrame:
     """``conv_id``, ``call_id`` and ``level``: 0 without calls to wait for, else one more than the highest of them.
 
-    Calls that wait in a circle, or for a call of a circle, have no level. Each
-    round settles every call whose calls are all settled, so rounds follow the
-    longest chain of one conversation and not the number of calls.
+    Calls that wait in a circle, or for a call of a circle, have no level. A
+    call that waits for one other points to it, and pointers double their reach
+    each round, so a chain takes as many rounds as its length has binary digits.
+    Calls that wait for several are settled round by round on what is left.
     """
     key = ["conv_id", "call_id"]
     edges = calls.select(*key, F.explode(F.array_distinct("after")).alias("before")).where("before is not null")
     known = calls.select("conv_id", F.col("call_id").alias("before"))
-    edges = written(edges.join(known, ["conv_id", "before"], "left_semi"), "waits")  # waiting for an unknown call is no wait
-    level = calls.select(*key).join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0))
-    level = written(level, "levels")
-    done, last = level, level
-    left = edges
-    while True:
-        met = last.select("conv_id", F.col("call_id").alias("before"), F.lit(True).alias("met"))
-        flagged = left.join(met, ["conv_id", "before"], "left")
-        left = written(flagged.where("met is null").select(*edges.columns), "waits")
-        freed = flagged.where("met").select(*key).distinct().join(left.select(*key).distinct(), key, "left_anti")
-        step = written(freed.withColumn("level", F.lit(0)), "levels")
-        if step.isEmpty():
-            return done
-        # a call freed in this round waited for one that the last round freed
-        above = last.agg(F.max("level")).first()[0] + 1
-        last = step.select(*key, F.lit(above).alias("level"))
-        done = done.union(last)
+    edges = edges.join(known, ["conv_id", "before"], "left_semi")  # waiting for an unknown call is no wait
+    edges = written(edges.join(edges.groupBy(*key).count(), key), "waits")
+    free = calls.select(*key).join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0).cast("long"))
+
+    at = written(edges.where("count = 1").select(*key, F.col("before").alias("above"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("open")), "pointers")
+    longest = calls.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length() + 1):
+        further = at.select("conv_id", F.col("call_id").alias("above"), F.col("above").alias("next"), F.col("steps").alias("more"))
+        at = at.join(further, ["conv_id", "above"], "left").select(*key, F.coalesce("next", "above").alias("above"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("open"))
+        at = written(at, "pointers")
+        if at.where("open").isEmpty():
+            break
+    at = at.where("not open")  # what is open still goes around a circle
+
+    placed = written(free, "levels")
+    tail = at.select("conv_id", F.col("call_id").alias("before"), "above", "steps")
+    left = edges.where("count > 1").join(tail, ["conv_id", "before"], "left")
+    left = written(left.select(*key, F.coalesce("above", "before").alias("above"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), F.lit(None).cast("long").alias("value")), "several")
+    last = placed
+    while not left.isEmpty():
+        reached = last.select("conv_id", F.col("call_id").alias("above"), "level")
+        valued = left.join(reached, ["conv_id", "above"], "left").withColumn("value", F.coalesce("value", F.col("level") + F.col("steps"))).drop("level")
+        valued = written(valued, "several")
+        last = written(valued.groupBy(*key).agg(F.max("value").alias("level"), F.count(F.when(F.col("value").isNull(), 1)).alias("missing")).where("missing = 0").drop("missing"), "levels")
+        if last.isEmpty():
+            break
+        left = valued.join(last.select(*key), key, "left_anti")
+        placed = placed.unionByName(last)
+    below = placed.select("conv_id", F.col("call_id").alias("above"), "level")
+    chained = at.join(below, ["conv_id", "above"]).select(*key, (F.col("level") + F.col("steps")).alias("level"))
+    return placed.unionByName(chained).withColumn("level", F.col("level").cast("int"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
