@@ -158,8 +158,9 @@ def _split(x: np.ndarray, gradient: np.ndarray, weight: np.ndarray) -> tuple[flo
 def boost(x: np.ndarray, good: np.ndarray, kinds: list[str], rounds: int = 60, rate: float = 0.3, precision: float = 0.95) -> Boosted:
     """Fit on three quarters of the rows; the rest calibrates the sigmoid and the threshold of each kind.
 
-    A kind's threshold is the smallest score from which on its calibration rows
-    hold at least ``precision``; a kind without such rows gets 0.9.
+    A kind's threshold is the smallest score of 0.5 or more from which on its
+    calibration rows, equal scores together, hold at least ``precision``; a kind
+    without such rows gets 0.9.
     """
     from .quality import sigmoid_fit
 
@@ -186,8 +187,10 @@ def boost(x: np.ndarray, good: np.ndarray, kinds: list[str], rounds: int = 60, r
     for kind in KINDS:
         mine = held_kinds == kind
         order = np.argsort(-scores[mine], kind="stable")
+        falling = scores[mine][order]
         right = np.cumsum(good[held][mine][order]) / np.arange(1, mine.sum() + 1) >= precision
-        model.thresholds[kind] = float(scores[mine][order][np.flatnonzero(right)[-1]]) if right.any() else 0.9
+        right &= np.append(falling[1:] < falling[:-1], True)[: len(falling)]
+        model.thresholds[kind] = max(0.5, float(falling[np.flatnonzero(right)[-1]])) if right.any() else 0.9
     return model
 
 
