@@ -322,11 +322,12 @@ def _apart(source: DataFrame, deep: DataFrame, reps: DataFrame, roots: DataFrame
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **parameters) -> DataFrame:
     """``docs``, all columns, with the document of smallest id of each group of near-duplicates.
 
-    Of rows that repeat a kept id with an equal text one stays. A document
-    without an id stays if it is near no document that has one and, among
+    Of rows that repeat a kept id with an equal text one stays. Ids are under
+    2**62. A document without an id stays if it is near no document that has one and, among
     equals without an id, once.
     """
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    # over 2**62, so that a document with an id is always the smaller one
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
     groups = written(near_duplicates(docs.select(ident.alias("doc_id"), "text"), k, percent, **parameters), "groups")
     drop = groups.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("__id"))
     rest = docs.join(written(drop, "dropped"), ident == F.col("__id"), "left_anti")
