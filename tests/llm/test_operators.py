@@ -1,0 +1,341 @@
+"""Each training-data operator against a brute-force version, on edge cases and on the smallest tables."""
+
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cordage.llm import attribution, binary, chat, decontaminate, embeddings, neardup, packing, pii, quality, queries, secrets
+
+DOCS = "doc_id long, text string, extra string, n_words string"
+
+
+def docs_of(spark, texts):
+    return spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], DOCS)
+
+
+def low(text):
+    return (text or "").translate({c: c + 32 for c in range(65, 91)})
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.tokenizer_path())
+
+
+ODD = [None, "", " \n\t ", "it's  we'll don'T 'tis", "Ünïcödé ångström 日本語 テキスト 😀😀", "x" * 30000, "a b " * 9000, "tab\tnew\nline \n\n two  ", "12345 67 8.9 $%&*()", " lead", "trail ", "<|endoftext|> in text", " nbsp em  x", "don''t '' 's"]
+
+
+def random_texts(n, seed=3, words=40):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(200)]
+    out = []
+    for i in range(n):
+        if out and rng.random() < 0.5:
+            base = rng.choice(out).split()
+            for _ in range(rng.randint(0, 4)):
+                base[rng.randrange(len(base))] = rng.choice(vocabulary)
+            out.append(" ".join(base))
+        else:
+            out.append(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, words))))
+    return out
+
+
+def hits_by_force(texts, items, window=10):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    out = {}
+    for i, t in enumerate(texts):
+        words, hit, names = pattern.findall(low(t)), set(), set()
+        for name, item in items:
+            w = pattern.findall(low(item))
+            n = min(window, len(w))
+            wanted = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if n else set()
+            for j in range(len(words) - n + 1) if n else ():
+                if tuple(words[j : j + n]) in wanted:
+                    hit.update(range(j, j + n))
+                    names.add(name)
+        out[i] = (len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(map(str, names))).encode()).hexdigest(), bool(hit))
+    return out
+
+
+def test_decontamination(spark):
+    rng = random.Random(1)
+    passages = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(30)) for _ in range(5)]
+    items = [(i, p) for i, p in enumerate(passages)] + [(7, "Short one"), (8, None), (9, ""), (10, passages[0])]
+    texts = [None, "", "clean text here", passages[0].upper(), "x " + passages[1][:60] + " y", f"{passages[2]} and {passages[2]}", "a short, ONE!", "short one short one", *random_texts(20)]
+    table = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    found = decontaminate.benchmark_hits(docs_of(spark, texts), table)
+    assert {r.doc_id: (r[1], r[2], r[3], r[4], r[5]) for r in found.drop("hits").collect()} == hits_by_force(texts, items)
+    kept = decontaminate.drop_contaminated(docs_of(spark, texts), table)
+    assert kept.columns == ["doc_id", "text", "extra", "n_words"]
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in hits_by_force(texts, items).items() if not r[4]}
+    assert decontaminate.benchmark_hits(docs_of(spark, []), table).count() == 0
+    assert decontaminate.benchmark_hits(docs_of(spark, ["a b"]), table.limit(0)).first().n_hit == 0
+
+
+def components(n, links):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    for i in range(n):
+        while root[root[i]] != root[i]:
+            root[i] = root[root[i]]
+    return root
+
+
+def groups_by_force(texts, k, percent):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    return sets, components(len(sets), links)
+
+
+@pytest.mark.parametrize("parameters", [{}, {"node_size": 2, "depth": 3}, {"node_size": 2, "depth": 2}])
+def test_near_duplicates(spark, parameters):
+    texts = [None, "", "one", "ONE", "one two", *random_texts(150, words=60), "z " * 5000, "z " * 5001]
+    sets, root = groups_by_force(texts, 4, 80)
+    found = {r.doc_id: r for r in neardup.near_duplicates(docs_of(spark, texts), k=4, percent=80, **parameters).collect()}
+    assert [found[i].component_id for i in range(len(texts))] == root
+    assert [found[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found.values())
+
+
+def test_near_copies_that_miss_their_leader(spark):
+    """Many sets near each other, of which some link only among themselves."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for j in rng.sample(range(60), 4):
+            own[j] = f"x{rng.randrange(10**6)}"
+        texts += [" ".join(own), " ".join([*own, "tail"])]
+    _, root = groups_by_force(texts, 4, 80)
+    found = neardup.near_duplicates(docs_of(spark, texts), k=4, percent=80, node_size=2, depth=2).collect()
+    assert [r.component_id for r in sorted(found)] == root
+
+
+def test_drop_near_duplicates_edges(spark):
+    same = "one two three four five six seven"
+    rows = spark.createDataFrame([(3, same, "a"), (1, same, "b"), (1, same, "c"), (None, same, "d"), (None, "alone " * 9, "e"), (None, "alone " * 9, "f"), (5, None, "g")], "doc_id long, text string, kept string")
+    kept = neardup.drop_near_duplicates(rows).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "5", "None"]
+    assert neardup.drop_near_duplicates(rows.limit(0)).count() == 0
+
+
+def test_encoder_is_the_library(library, spark, sf_dir):
+    from cordage.llm.encode import Encoder
+
+    texts = [t or "" for t in ODD] + [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    ids, cuts = Encoder.for_path(queries.tokenizer_path())(texts)
+    for i, t in enumerate(texts):
+        assert ids[cuts[i] : cuts[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_token_counts(spark, library):
+    for rule in attribution.RULES:
+        rows = attribution.attribute_tokens(docs_of(spark, ODD), queries.tokenizer_path(), rule).collect()
+        for i, t in enumerate(ODD):
+            mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.section)
+            assert [(r.start, r.end) for r in mine][-1][1] == len(t or "")
+            assert abs(sum(r.n_tokens for r in mine) - len(library.encode(t or "", add_special_tokens=False).ids)) < 1e-6
+    # by hand: a token goes to the section of its first character
+    text = "hello world again"
+    spans = library.encode(text, add_special_tokens=False).offsets
+    table = spark.createDataFrame([(1, text, [("a", 0, 8), ("b", 8, 17)])], "doc_id long, text string, parts array<struct<name:string,start:long,end:long>>")
+    counted = {r["name"]: r.n_tokens for r in attribution.attribute_tokens(table, queries.tokenizer_path(), "first", "parts").collect()}
+    starts = np.cumsum([0] + [len(text[a:b]) for a, b in spans])[:-1]
+    assert counted == {"a": float(sum(s < 8 for s in starts)), "b": float(sum(s >= 8 for s in starts))}
+
+
+def test_token_files(spark, library):
+    found = {r.doc_id: r for r in binary.token_file_digest(docs_of(spark, ODD), queries.tokenizer_path(), 2).collect()}
+    at = 0
+    for i, t in enumerate(ODD):
+        ids = library.encode(t or "", add_special_tokens=False).ids + [2]
+        assert (found[i].start, found[i].n_tokens, found[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert binary.token_file_digest(docs_of(spark, []), queries.tokenizer_path(), 2).count() == 0
+
+
+def test_packing(spark, library):
+    rows = packing.pack_documents(docs_of(spark, ODD), queries.tokenizer_path(), 1).collect()
+    used = {}
+    for i, t in enumerate(ODD):
+        ids = library.encode(t or "", add_special_tokens=False).ids + [1]
+        mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert [x for r in mine for x in r.ids] == ids
+        assert [r.start for r in mine] == np.cumsum([0] + [r.length for r in mine])[:-1].tolist()
+        assert all(r.length & (r.length - 1) == 0 and r.length <= 2048 and r.doc_tokens == len(ids) for r in mine)
+        assert sum(r.length < 2048 for r in mine) == bin(len(ids) % 2048).count("1")
+        used.update((r.sequence_id, r.length) for r in mine)
+    assert sorted(used) == list(range(len(rows)))
+    assert [used[i] for i in sorted(used)] == sorted(used.values(), reverse=True)  # equal lengths are neighbours
+
+
+CALL = "conv_id long, call_id string, turn long, name string, arguments string, after array<string>"
+
+
+def test_tool_calls(spark):
+    schema = {"f": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer", "minimum": 0}}, "additionalProperties": False}}
+    chain = [(9, str(i), i, "f", '{"x": 1}', [str(i - 1)] if i else []) for i in range(300)]
+    calls = [
+        (1, "a", 0, "f", '{"x": 1}', []), (1, "b", 1, "f", '{"x": -1}', ["a", None, "gone"]), (1, "c", 2, "f", "no json", ["a", "b"]), (1, "d", 3, "g", None, ["c", "b"]),
+        (2, "p", 0, "f", "{}", ["q"]), (2, "q", 1, "f", '{"x": 2, "y": 3}', ["p"]), (2, "r", 2, "f", '{"x": 1}', ["p"]), (2, "s", 3, "f", '{"x": 1}', ["s"]), (2, "t", 4, "f", '{"x": 1}', ["r", "u"]), (2, "u", 5, "f", '{"x": 1}', None),
+        (1, "a", 5, "f", '{"x": 7}', []), (None, "z", 0, "f", "{}", []), *chain,
+    ]
+    results = [(1, "a", 1, "first"), (1, "a", 2, "second"), (1, "b", 2, None), (3, "o", 1, "orphan"), (1, None, 1, "x")]
+    found = {(r.conv_id, r.call_id): r for r in chat.link_tool_calls(spark.createDataFrame(calls, CALL), spark.createDataFrame(results, chat.RESULT), schema).collect()}
+    assert {k: r.level for k, r in found.items() if k[0] == 1} == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (1, "d"): 3}
+    assert {k[1]: r.status for k, r in found.items() if k[0] == 2} == {"p": "circular", "q": "circular", "r": "circular", "s": "circular", "t": "circular", "u": "no_result"}
+    assert [found[9, str(i)].level for i in range(300)] == list(range(300))
+    assert found[1, "a"].status == "linked" and (found[1, "a"].n_calls, found[1, "a"].n_results) == (2, 2)
+    assert json.loads(found[1, "a"].message)["content"] == "first" and found[1, "a"].valid
+    assert found[1, "b"].errors == ["$.x: too small"] and found[1, "c"].errors == ["$: not JSON"] and found[1, "d"].errors == ["$: unknown tool"]
+    assert found[2, "q"].errors == ["$.y: not allowed"] and found[2, "p"].errors == ["$.x: missing"]
+    assert found[3, "o"].status == "orphan_result" and not found[3, "o"].valid
+    assert (None, "z") not in found
+    empty = spark.createDataFrame([], CALL), spark.createDataFrame([], chat.RESULT)
+    assert chat.link_tool_calls(*empty, schema).count() == 0
+
+
+def test_secrets(spark):
+    key = "ghp_" + hashlib.sha256(b"k").hexdigest()[:36]
+    texts = [None, "", f'api token = "{key}" and more', "see commit 11acdfb36bb72224148e6160f674b4be45601bff for it", "plain words only 123", f"x {key} y {key}", "-----BEGIN RSA PRIVATE KEY-----"]
+    docs = docs_of(spark, texts)
+    model = secrets.train(secrets.labelled_findings(spark))
+    rows = secrets.scan_secrets(docs, model).collect()
+    for r in rows:
+        assert texts[r.doc_id][r.start : r.end] == r.candidate
+    found = {(r.doc_id, r.candidate) for r in rows if r.is_secret}
+    assert (2, key) in found and (5, key) in found and not any(d == 3 for d, _ in found)
+    clean = {r.doc_id: r for r in secrets.redact_secrets(docs, model).collect()}
+    assert clean[2].text == 'api token = "[SECRET]" and more' and clean[0].text is None and len(clean) == len(texts) and clean[4].text == texts[4]
+    assert secrets.scan_secrets(docs.limit(0), model).count() == 0
+
+
+def test_secrets_forest_accuracy(spark):
+    rows = secrets.labelled_findings(spark, 3000).withColumn("test", F.pmod(F.hash("candidate"), F.lit(4)) == 0)
+    model = secrets.train(rows.where("not test").drop("test"))
+    from pyspark.ml.feature import VectorAssembler
+
+    scored = model.transform(VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(secrets.described(rows.where("test"))))
+    assert scored.where("prediction = label").count() / scored.count() > 0.9
+
+
+def base_by_force(text):
+    out = []
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(d) <= 19 and luhn(d):
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append(("phone", *m.span()))
+    return out
+
+
+def test_personal_data(spark, sf_dir):
+    rng = random.Random(9)
+    texts = [None, "", "mail a@b@c.de and x.y@z.org. 1.2.3.4.5.6.7.8 999.1.1.1 +49 (30) 1234-567", "card 4111 1111 1111 1111 or 4111-1111-1111-1112", "reach bob [at] site [dot] com"]
+    texts += ["".join(rng.choice("0123456789.@+- ab()") for _ in range(400)) for _ in range(60)]
+    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    rows = pii.find_personal_data(docs_of(spark, texts)).collect()
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        assert [(s.kind, s.start, s.end) for s in r.spans if s.base] == base_by_force(text)
+        added = [(s.start, s.end) for s in r.spans if not s.base]
+        base = [(s.start, s.end) for s in r.spans if s.base]
+        assert all(b <= c or d <= a for a, b in added for c, d in base)
+    digest = {r.doc_id: r for r in pii.personal_data_digest(pii.find_personal_data(docs_of(spark, texts))).collect()}
+    want = ",".join(f"{k}:{a}:{b}" for k, a, b in base_by_force(texts[2]))
+    assert digest[2].base_sha256 == hashlib.sha256(want.encode()).hexdigest() and digest[2].spans.startswith(want)
+    assert pii.redact("call 12 now", [("phone", 5, 7)]) == "call [PHONE] now"
+
+
+def test_personal_data_trees_held_out():
+    model = pii.train()
+    fresh = pii.labelled_spans(400, seed=99)
+    scores = model.score(np.array([pii.describe(t, k, a, b) for t, k, a, b, _ in fresh]))
+    picked = np.array([s >= model.thresholds[f[1]] for s, f in zip(scores, fresh)])
+    good = np.array([f[4] for f in fresh])
+    assert good[picked].mean() > 0.9 and picked[good].mean() > 0.8
+
+
+def test_near_duplicate_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows, base = [], rng.standard_normal((20, 16))
+    for i in range(300):
+        v = base[rng.integers(20)] * rng.uniform(0.1, 9) + rng.standard_normal(16) * 0.12
+        rows.append((i, v.tolist(), int(rng.integers(3))))
+    rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] + [1.0] * 15, 1), (303, [None] + [1.0] * 15, 1), (304, rows[0][1], rows[0][2]), (305, rows[0][1], None), (306, [1.0] * 3, 1), (307, [float("inf")] * 16, 0), (308, [], 0)]
+    ok = [(i, np.array(v) / np.linalg.norm(v), c) for i, v, c in rows if v and c is not None and i < 300 or i in (304, 306)]
+    links = [(a[0], b[0]) for a in ok for b in ok if a[0] > b[0] and a[2] == b[2] and len(a[1]) == len(b[1]) and a[1] @ b[1] >= 0.98]
+    root = components(309, links)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("kept", F.lit(7))
+    for parameters in ({}, {"block": 64, "window": 32}):
+        found = {r.vec_id: r for r in embeddings.near_duplicate_vectors(table, **parameters).collect()}
+        assert [found[i].component_id for i in range(309)] == root
+        assert [found[i].n_links for i in range(309)] == [sum(i in p for p in links) for i in range(309)]
+    assert embeddings.near_duplicate_vectors(table.limit(0)).count() == 0
+
+
+def test_quality(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = quality.score_quality(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    good, score = np.array([r.quality for r in rows]), np.array([r.score for r in rows])
+    area = np.mean([(a > b) + 0.5 * (a == b) for a in score[good == 1] for b in score[good == 0]])
+    assert area > 0.9
+    again = {r.doc_id: r.score for r in quality.score_quality(docs.drop("lang", "source"), labels).collect()}
+    assert all(again[r.doc_id] == r.score for r in rows)
+    odd = {r.doc_id: r for r in quality.score_quality(docs_of(spark, [None, "", "x", "y " * 20000]), labels).collect()}
+    assert len(odd) == 4 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in odd.values()) and odd[0].score == odd[1].score
+    none = quality.score_quality(docs_of(spark, ["a b"]), labels.limit(0)).first()
+    assert none.score == 0.5
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want = stage(spark, want, sf_dir)
+        assert want.columns == docs.columns
+        want = spark.createDataFrame(want.collect(), docs.schema)
+    texts = [r.text for r in want.orderBy("doc_id").collect()]
+    _, root = groups_by_force(texts, 5, 80)
+    assert root == list(range(len(texts)))  # none is near another
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    assert not any(r[4] for r in hits_by_force(texts, items).values())
+    packed = corpus_pipeline.run(spark, sf_dir)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in want.collect()}
+
+
+@pytest.mark.parametrize("name", ["op1_decontamination", "op2_near_duplicates", "op9_near_duplicate_vectors"])
+def test_sql(spark, sf_dir, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        db.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    found = queries.queries()[name](spark, sf_dir)
+    columns = ", ".join(found.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(db.execute(f"select {columns} from ({queries.oracle_sql()[name]})").fetchall())
