@@ -34,8 +34,8 @@ def one_decimal(x: Column) -> Column:
     The value times 2**52 is a whole number that a long holds, so no second
     rounding can turn 1.15, which is stored a little lower, into 1.2.
     """
-    whole = (x * F.lit(float(1 << 52))).cast("bigint").cast("decimal(38,0)")
-    tenths = F.floor((whole * 20 + F.lit(1 << 52)) / F.lit(1 << 53)).cast("bigint")
+    whole = (x * F.lit(float(1 << 52))).cast("bigint").cast("decimal(19,0)")
+    tenths = F.call_function("div", whole * F.lit(20).cast("decimal(2,0)") + F.lit(1 << 52), F.lit(1 << 53).cast("decimal(19,0)"))
     exact = F.concat(F.floor(tenths / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"))
     return F.when((x >= 0) & (x < 2048), exact).otherwise(F.format_string("%.1f", x))
 

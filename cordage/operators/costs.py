@@ -135,7 +135,8 @@ def project(records: DataFrame, scenarios: list[Scenario]) -> DataFrame:
 
     ``records`` has ``school_name``, ``tuition_by_grade``, ``hidden_costs``,
     ``tuition_min_thb`` and ``tuition_max_thb``. Null or empty tiers are made
-    from the bounds, null costs are none, and null add-on amounts count 0. Years
+    from the bounds, null costs are none, null add-on amounts count 0, and costs
+    without a name are no add-ons. Years
     are cut to 1 to 15 and the first tier to those there are. A year takes its
     tier, or the last one. One-time add-ons are part of both the one-time and
     the add-on total, but of the journey's total once. Repeated rows stay.
@@ -153,7 +154,7 @@ def project(records: DataFrame, scenarios: list[Scenario]) -> DataFrame:
     )
     rows = rows.select("school_name", "tiers", "costs", F.explode("all").alias("s"))  # structs made beside a generator lose their names
     costs = F.col("costs")
-    chosen = F.filter(costs, lambda c: ~is_mandatory(c) & ~is_relative(c) & F.coalesce(F.col("s.addons").isNull() | F.array_contains("s.addons", c["name"]), F.lit(False)))
+    chosen = F.filter(costs, lambda c: ~is_mandatory(c) & ~is_relative(c) & c["name"].isNotNull() & F.coalesce(F.col("s.addons").isNull() | F.array_contains("s.addons", c["name"]), F.lit(False)))
     rows = rows.select(
         "school_name", "tiers", "s",
         application_fee(costs).alias("application"), registration_fee(costs, F.col("s.child")).alias("registration"), deposit(costs).alias("deposit"),

@@ -12,16 +12,22 @@ DROPPED = ("script", "style", "nav", "footer", "header", "svg", "noscript")
 HIDDEN = r"""(?is)<([a-z][a-z0-9]*)\b[^>]*(?:\shidden\b|display:\s?none)[^>]*>[^<]*</[a-z0-9]+>"""
 
 
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+EDGES = r"^[\s\x{00A0}]+|[\s\x{00A0}]+$"
+
+
 def clean_text(html: Column, limit: int = 9000) -> Column:
     """Readable text of a page: no dropped or plainly hidden elements, tags as line ends, and at most ``limit`` code points.
 
     Pairs of tags are matched from the first opening to the next closing one,
-    so elements nested in one of the same name leave their tail.
+    so elements nested in one of the same name leave their tail. The entities
+    of markup signs and of the fixed blank become characters, others stay.
     """
     strip = [*(rf"(?is)<{t}\b[^>]*>.*?</{t}>" for t in DROPPED), r"(?s)<!--.*?-->", HIDDEN]
     text = reduce(lambda x, p: F.regexp_replace(x, p, "\n"), [*strip, r"<[^>]*>"], html)
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r]*\n[ \t\r]*", "\n"), r"\n\n+", "\n")
-    return F.substring(F.regexp_replace(text, r"^\s+|\s+$", ""), 1, limit)
+    text = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+    text = F.regexp_replace(F.regexp_replace(text, r"\n\n+", "\n"), EDGES, "")
+    return F.substring(text, 1, limit)
 
 
 def sections(*parts: tuple[str, Column]) -> Column:

@@ -324,9 +324,11 @@ _STRIP = [*(rf"(?is)<{t}\b[^>]*>.*?</{t}>" for t in texts.DROPPED), r"(?s)<!--.*
 _CLEAN = "html"
 for _p in _STRIP:
     _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', chr(10), 'g')"
+for _a, _b in texts.ENTITIES:
+    _CLEAN = "replace({}, '{}', '{}')".format(_CLEAN, _a, _b.replace("'", "''"))
 
 
-@_query(rf"""SELECT page_id, substr(regexp_replace(regexp_replace(regexp_replace({_CLEAN}, '[ \t\r]*\n[ \t\r]*', chr(10), 'g'), '\n\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g'), 1, 9000) AS text FROM pages""")
+@_query(rf"""SELECT page_id, substr(regexp_replace(regexp_replace({_CLEAN}, '\n\n+', chr(10), 'g'), '{texts.EDGES}', '', 'g'), 1, 9000) AS text FROM pages""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", texts.clean_text(F.col("html")).alias("text"))
 
