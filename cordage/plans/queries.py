@@ -398,7 +398,7 @@ def currency_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select("o_orderkey", show.currency(F.col("o_totalprice"), code).alias("label"))
 
 
-_TENTH = "cast(floor(cast(cast(({0}) * 4503599627370496.0::DOUBLE AS BIGINT) AS HUGEINT) * 20 + 4503599627370496) AS HUGEINT) // 9007199254740992"
+_TENTH = "(cast(cast(({0}) * 4503599627370496.0::DOUBLE AS BIGINT) AS HUGEINT) * 20 + 4503599627370496) // 9007199254740992"
 
 
 @_query(f"""WITH a AS (SELECT c_custkey, cast(abs(c_acctbal) * 500 AS DOUBLE) AS amount, abs(c_acctbal) / 1000 AS km, abs(c_acctbal) / 2000 AS rating FROM customer),

@@ -142,3 +142,12 @@ def test_labels(spark):
     assert one(show.updated_label(F.lit("2026-01-05"))) == "Jan 5, 2026" and one(show.updated_label(F.lit(" Term 1 "))) == "Term 1" and one(show.updated_label(F.lit(""))) == show.NO_DATE
     assert one(show.shortened(F.lit("é" * 220))) == "é" * 220 + "…" and one(show.shortened(F.lit("é" * 219))) == "é" * 219
     assert abs(one(show.kilometres(F.lit(13.7306), F.lit(101.5688), 13.7306, 100.5688)) - 108.01) < 0.1
+
+
+def test_one_decimal_is_exact(spark):
+    import math
+    from fractions import Fraction
+
+    values = [random.Random(4).uniform(0, 2047) for _ in range(500)] + [i / 20 for i in range(400)] + [i / 1000 for i in range(50, 10000, 100)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", show.one_decimal(F.col("x")).alias("t")).collect()
+    assert all(r.t == "{}.{}".format(*divmod(math.floor(Fraction(r.x) * 10 + Fraction(1, 2)), 10)) for r in rows)
