@@ -31,11 +31,16 @@ def currency(amount: Column, code: Column | str) -> Column:
 def one_decimal(x: Column) -> Column:
     """``x`` (0 to 2048) to one decimal, decided on the exact binary value, ties up; larger values by Spark's own format.
 
-    The value times 2**52 is a whole number that a long holds, so no second
-    rounding can turn 1.15, which is stored a little lower, into 1.2.
+    The value times a power of two is a whole number that a long holds, so no
+    second rounding can turn 1.15, which is stored a little lower, into 1.2.
     """
-    whole = (x * F.lit(float(1 << 52))).cast("bigint").cast("decimal(19,0)")
-    tenths = F.call_function("div", whole * F.lit(20).cast("decimal(2,0)") + F.lit(1 << 52), F.lit(1 << 53).cast("decimal(19,0)"))
+
+    def rounded(bits: int) -> Column:
+        whole = (x * F.lit(float(1 << bits))).cast("bigint").cast("decimal(19,0)")
+        half, one = (F.lit(1 << n).cast("decimal(20,0)") for n in (bits, bits + 1))
+        return F.call_function("div", whole * F.lit(20).cast("decimal(2,0)") + half, one)
+
+    tenths = F.when(x < 1, rounded(60)).otherwise(rounded(52))
     exact = F.concat(F.floor(tenths / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"))
     return F.when((x >= 0) & (x < 2048), exact).otherwise(F.format_string("%.1f", x))
 
