@@ -78,3 +78,8 @@ def kilometres(lat: Column, lng: Column, lat0: float, lng0: float, radius: float
     """Great-circle distance from a fixed point."""
     a = F.pow(F.sin(F.radians(lat - lat0) / 2), 2) + F.cos(F.radians(F.lit(lat0))) * F.cos(F.radians(lat)) * F.pow(F.sin(F.radians(lng - lng0) / 2), 2)
     return F.lit(2 * radius) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
+
+
+def within(lat: Column, lng: Column, lat0: float, lng0: float, km: float = 10.0) -> Column:
+    """Whether a point lies in the circle; a point without a coordinate does not."""
+    return F.coalesce(kilometres(lat, lng, lat0, lng0) <= km, F.lit(False))

@@ -19,6 +19,28 @@ def displayed_likes(likes: Column, liked: Column) -> Column:
     return F.coalesce(likes, F.lit(0)) + F.when(F.coalesce(liked, F.lit(False)), 1).otherwise(0)
 
 
+def liked_posts(posts: DataFrame, toggles: DataFrame, key: str = "id", comment: str = "comment_id") -> DataFrame:
+    """``posts`` with ``liked`` and ``likes`` as shown after all ``toggles``, of the posts and of their comments.
+
+    ``posts`` has ``key``, ``likes``, ``liked`` and ``comments``
+    (``array<struct<id, likes, liked>>``); ``toggles`` has ``key`` and
+    ``comment``, which is null for the post itself. The order of toggles does
+    not count, so they reduce to the odd ones before they meet their post. Null
+    likes are 0 and a null ``liked`` is false. Toggles of unknown posts or
+    comments do nothing. A null key is toggled by nothing.
+    """
+    odd = toggled_on(toggles.where(F.col(key).isNotNull()), [key, comment])
+    flips = odd.groupBy(F.col(key).alias("__key")).agg(F.max(F.col(comment).isNull()).alias("__own"), F.collect_set(comment).alias("__of"))
+    now = lambda liked, flip: F.coalesce(liked, F.lit(False)) != F.coalesce(flip, F.lit(False))
+
+    def shown(c: Column) -> Column:
+        liked = now(c["liked"], F.array_contains("__of", c["id"]))
+        return c.withField("likes", displayed_likes(c["likes"], liked)).withField("liked", liked)
+
+    joined = posts.join(flips, F.col(key) == F.col("__key"), "left").withColumn("liked", now(F.col("liked"), F.col("__own")))
+    return joined.withColumns({"likes": displayed_likes(F.col("likes"), F.col("liked")), "comments": F.transform("comments", shown)}).drop("__key", "__own", "__of")
+
+
 def bounded_toggle(toggles: DataFrame, user: str, item: str, order: list[str], most: int = 3) -> DataFrame:
     """``user`` and ``items``: what each user's list holds after all toggles in order.
 

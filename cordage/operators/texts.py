@@ -55,23 +55,55 @@ def first_items(rows: DataFrame, key: str, order: list[str], show: int = 2) -> D
     return numbered.join(counts, F.col(key).eqNullSafe(F.col("__key"))).withColumn("more", F.greatest(F.col("__n") - show, F.lit(0))).drop("__key", "__n")
 
 
-def document_text(pages: DataFrame, key: str, page: str, text: str, words: tuple[str, ...], enough: int = 200, first: int = 5, keyed: int = 4, limit: int = 8000) -> DataFrame:
+# Fixed value: the head that scraped documents carry over a page picked by its words.
+PAGE_HEAD = "--- หน้าที่ {} ---\n"
+
+
+def document_text(pages: DataFrame, key: str, page: str, text: str, words: tuple[str, ...], enough: int = 200, first: int = 5, keyed: int = 4, limit: int = 8000, head_text: str = "--- Page {} ---\n") -> DataFrame:
     """``key`` and ``text`` of documents given page by page.
 
-    The first ``first`` pages count if they have ``enough`` characters together;
-    else the first ``keyed`` pages that hold one of ``words``, each under its
-    number; else the short text. Pages count from 1. Null texts are empty.
+    The first ``first`` pages, blank ones left out, count if they have
+    ``enough`` characters together; else the first ``keyed`` pages that hold one
+    of ``words``, each under ``head_text`` with its number; else the short text.
+    Pages count from 1. Null texts are blank.
     """
     from ..functions.values import has_any
 
+    before, after = head_text.split("{}")
     body = F.coalesce(F.col(text), F.lit(""))
     rows = pages.select(F.col(key).alias("k"), F.col(page).alias("p"), body.alias("t"), has_any(body, words).alias("w"))
-    head = F.collect_list(F.when(F.col("p") <= first, F.struct("p", "t")))
+    head = F.collect_list(F.when((F.col("p") <= first) & F.col("t").rlike(r"\S"), F.struct("p", "t")))
     # of the pages with words only their numbers gather; the first few then bring their texts
     wanted = rows.where("w").groupBy("k").agg(F.slice(F.array_sort(F.collect_set("p")), 1, keyed).alias("ps")).select("k", F.explode("ps").alias("p"))
-    tail = rows.join(wanted, ["k", "p"]).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "t"))).alias("found"))
+    tail = rows.where("w").join(wanted, ["k", "p"]).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "t"))).alias("found"))
     base = rows.groupBy("k").agg(F.array_sort(head).alias("head")).join(tail, "k", "left")
-    plain = F.trim(F.array_join(F.transform("head", lambda x: x["t"]), "\n"))
-    marked = F.array_join(F.transform("found", lambda x: F.concat(F.lit("--- Page "), x["p"].cast("string"), F.lit(" ---\n"), x["t"])), "\n\n")
+    plain = F.regexp_replace(F.array_join(F.transform("head", lambda x: x["t"]), "\n"), r"^\s+|\s+$", "")
+    marked = F.array_join(F.transform("found", lambda x: F.concat(F.lit(before), x["p"].cast("string"), F.lit(after), x["t"])), "\n\n")
     chosen = F.when(F.length(plain) >= enough, plain).otherwise(F.coalesce(marked, plain))
     return base.select(F.col("k").alias(key), F.substring(chosen, 1, limit).alias("text"))
+
+
+# The heads of a record's page and document texts.
+FEE_PAGE, FEE_DOCUMENT = "=== TUITION & FEE PAGE ({}) ===\n", "--- Fee PDF content from {} ---\n"
+SAFETY_PAGE, SAFETY_DOCUMENT = "=== CAMPUS SAFETY & SAFEGUARDING POLICY PAGE ({}) ===\n", "--- Policy PDF Content from {} ---\n"
+
+
+def collected_text(fee_url: Column, fee_text: Column, fee_documents: Column, safety_url: Column, safety_text: Column, safety_documents: Column) -> Column:
+    """One text of a fee page, its documents, a safety page and its documents, each under its head.
+
+    Documents are ``array<struct<url, text>>``; those without a text are left
+    out. Without a ``safety_url`` nothing of the safety page is there. Null page
+    texts are empty.
+    """
+
+    def headed(head: str, url: Column, text: Column) -> Column:
+        before, after = head.split("{}")
+        return F.concat(F.lit(before), F.coalesce(url, F.lit("")), F.lit(after), F.coalesce(text, F.lit("")))
+
+    def documents(head: str, items: Column) -> Column:
+        full = F.filter(items, lambda d: F.coalesce(d["text"], F.lit("")) != "")
+        return F.coalesce(F.transform(full, lambda d: headed(head, d["url"], d["text"])), F.array().cast("array<string>"))
+
+    fee = F.concat(F.array(headed(FEE_PAGE, fee_url, fee_text)), documents(FEE_DOCUMENT, fee_documents))
+    safety = F.concat(F.array(headed(SAFETY_PAGE, safety_url, safety_text)), documents(SAFETY_DOCUMENT, safety_documents))
+    return F.array_join(F.when(safety_url.isNull(), fee).otherwise(F.concat(fee, safety)), "\n\n")

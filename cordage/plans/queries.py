@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as show
 from ..functions import values as val
 from ..operators import costs, facets, fees, links, lookup, merge, state, texts, upsert, validate
+from ..sources import records
 from .ingest import split
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -358,6 +359,29 @@ def section_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.joined_turns(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
 
 
+@_query(r"""WITH p AS (SELECT conv_id AS k, turn + 1 AS p, coalesce(text, '') AS t, contains(lower(coalesce(text, '')), 'ter') AS w FROM conversations),
+h AS (SELECT k, coalesce(string_agg(t, chr(10) ORDER BY p, t) FILTER (WHERE p <= 5 AND regexp_matches(t, '[^\s]')), '') AS plain FROM p GROUP BY k),
+f AS (SELECT k, string_agg('--- หน้าที่ ' || p || ' ---' || chr(10) || t, chr(10) || chr(10) ORDER BY p, t) AS marked
+  FROM (SELECT *, dense_rank() OVER (PARTITION BY k ORDER BY p) AS place FROM p WHERE w) WHERE place <= 4 GROUP BY k),
+c AS (SELECT k, regexp_replace(plain, '^\s+|\s+$', '', 'g') AS plain, marked FROM h LEFT JOIN f USING (k))
+SELECT k AS conv_id, substr(CASE WHEN length(plain) >= 200 THEN plain ELSE coalesce(marked, plain) END, 1, 8000) AS text FROM c""")
+def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("page"), "text")
+    return texts.document_text(pages, "conv_id", "page", "text", ("ter",), head_text=texts.PAGE_HEAD)
+
+
+@_query(r"""WITH l AS (SELECT page_id, url, html, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages),
+d AS (SELECT page_id, url, array_to_string(list_transform(list_filter(h, lambda x: x <> '#'), lambda x: chr(10) || chr(10) || '--- Fee PDF content from doc ---' || chr(10) || x), '') AS docs FROM l)
+SELECT page_id, '=== TUITION & FEE PAGE (' || url || ') ===' || chr(10) || 'page ' || page_id || docs
+  || CASE WHEN page_id % 2 = 0 THEN chr(10) || chr(10) || '=== CAMPUS SAFETY & SAFEGUARDING POLICY PAGE (safe' || page_id || ') ===' || chr(10) ELSE '' END AS text FROM d""")
+def collected_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    documents = F.transform(found, lambda x: F.struct(F.lit("doc").alias("url"), F.when(x != "#", x).alias("text")))
+    number, none = F.col("page_id").cast("string"), F.lit(None).cast("array<struct<url:string,text:string>>")
+    safe = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("safe"), number))
+    return _table(spark, sf_dir, "pages").select("page_id", texts.collected_text(F.col("url"), F.concat(F.lit("page "), number), documents, safe, F.lit(None).cast("string"), none).alias("text"))
+
+
 @_query("SELECT doc_id, CASE WHEN length(text) < 220 THEN text ELSE substr(text, 1, 220) || '…' END AS preview FROM documents")
 def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", show.shortened(F.col("text")).alias("preview"))
@@ -386,6 +410,21 @@ def bounded_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("user_id", F.array_join("items", ",").alias("items"))
 
 
+@_query(f"""WITH {_LINES}, e AS (SELECT event_id % (SELECT count(*) FROM customer) AS k, CASE WHEN event_id % 3 > 0 THEN event_id % 5 END AS c FROM events),
+o AS (SELECT k, c FROM e GROUP BY k, c HAVING count(*) % 2 = 1),
+p AS (SELECT k, len(a) % 7 AS likes, k % 2 = 0 AS liked, a FROM r),
+x AS (SELECT p.k, likes, liked <> (EXISTS (SELECT 1 FROM o WHERE o.k = p.k AND o.c IS NULL)) AS liked, coalesce((SELECT list(c) FROM o WHERE o.k = p.k AND c IS NOT NULL), []) AS cs, a FROM p),
+y AS (SELECT k, likes + CASE WHEN liked THEN 1 ELSE 0 END AS likes, liked, cs, unnest(a) AS l FROM x)
+SELECT k AS id, cast(likes AS BIGINT) AS likes, liked, cast(l.ln AS BIGINT) AS comment, cast(l.qty + CASE WHEN list_contains(cs, l.ln) THEN 1 ELSE 0 END AS BIGINT) AS comment_likes, list_contains(cs, l.ln) AS comment_liked FROM y""")
+def liked_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _table(spark, sf_dir, "customer").count()
+    toggles = _table(spark, sf_dir, "events").select((F.col("event_id") % n).alias("id"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 5).alias("comment_id"))
+    line = lambda x: F.struct(x["ln"].cast("bigint").alias("id"), x["qty"].alias("likes"), F.lit(None).cast("boolean").alias("liked"))
+    posts = order_lines(spark, sf_dir).select(F.col("k").alias("id"), (F.size("a") % 7).cast("bigint").alias("likes"), (F.col("k") % 2 == 0).alias("liked"), F.transform("a", line).alias("comments"))
+    shown = state.liked_posts(posts, toggles).select("id", "likes", "liked", F.explode("comments").alias("c"))
+    return shown.select("id", "likes", "liked", F.col("c.id").alias("comment"), F.col("c.likes").alias("comment_likes"), F.col("c.liked").alias("comment_liked"))
+
+
 # Display texts
 
 
@@ -447,6 +486,48 @@ def label_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SAFE = ", ".join(f"CASE WHEN coalesce(o_orderkey % {i + 2} = 0, false) THEN '{yes}' ELSE '{no}' END AS {name}" for i, (name, (yes, no)) in enumerate(fees.SAFETY.items()))
+
+
+@_query(f"""SELECT o_orderkey, {_SAFE}, '{fees.DRILL}' AS emergency_drill,
+  CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority WHEN 1 THEN o_orderstatus ELSE '{fees.SUMMARY}' END AS summary,
+  CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus ELSE 'old' END AS highlights, CASE o_orderkey % 3 WHEN 0 THEN 'https://new' WHEN 1 THEN 'https://old' ELSE 'https://page' END AS policy_url FROM orders""")
+def safety_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    flags = [F.when(k % (i + 2) == 0, True).alias(name) for i, name in enumerate(fees.SAFETY)]
+    marks = F.when(k % 4 == 0, F.array("o_orderstatus")).when(k % 4 == 1, F.array().cast("array<string>")).alias("highlights")
+    record = F.struct(*flags, marks, F.when(k % 3 == 0, F.col("o_orderpriority")).otherwise("").alias("policy_summary"), F.when(k % 3 == 0, F.lit("https://new")).alias("policy_url"))
+    made = fees.safety_texts(record, F.when(k % 3 == 1, F.col("o_orderstatus")), F.array(F.lit("old")), F.when(k % 3 == 1, F.lit("https://old")).otherwise(""), F.lit("https://page"))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", made.alias("s")).select("o_orderkey", "s.*")
+    return rows.withColumn("highlights", F.array_join("highlights", ","))
+
+
+@_query(f"""WITH {_LINES}, m AS (SELECT k, list_transform(a, lambda x: {{'flag': x.flag, 'st': x.st, 'amt': CASE WHEN x.qty >= 10 THEN x.qty * 100 END}}) AS a FROM r)
+SELECT 'Order ' || k AS school_name, list_filter(a, lambda x: x.flag = 'N')[1].amt AS application_thb,
+  coalesce(list_filter(a, lambda x: x.flag = 'A' AND x.st = 'F')[1].amt, list_filter(a, lambda x: x.flag = 'A' AND x.st <> 'F')[1].amt) AS registration_thb,
+  list_filter(a, lambda x: x.flag = 'R' AND x.st <> 'F')[1].amt AS deposit_thb FROM m""")
+def mandatory_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    final = lambda x: x["st"] == "F"
+    name = lambda x: F.when(x["flag"] == "N", "Application").when(x["flag"] == "A", F.when(final(x), "Entrance (Second and Subsequent Children)").otherwise("Entrance")).otherwise(F.when(final(x), "Boarding deposit").otherwise("Deposit"))
+    cost = lambda x: F.struct(name(x).alias("name"), F.when(x["qty"] >= 10, x["qty"] * 100).alias("amount_thb"), F.lit(None).cast("string").alias("notes"))
+    rows = order_lines(spark, sf_dir).select(F.concat(F.lit("Order "), F.col("k").cast("string")).alias("school_name"), F.transform("a", cost).alias("hidden_costs"))
+    return costs.mandatory_cards(rows, "second_child")
+
+
+@_query("""WITH p AS (SELECT c_custkey, radians(13 + (c_custkey % 1000) / 1000) AS la, radians(100 + (c_custkey % 777) / 777) AS ln, radians(13.7306) AS la0, radians(100.5688) AS ln0 FROM customer),
+h AS (SELECT c_custkey, pow(sin((la - la0) / 2), 2) + cos(la0) * cos(la) * pow(sin((ln - ln0) / 2), 2) AS a FROM p) SELECT c_custkey FROM h WHERE 2 * 6371 * atan2(sqrt(a), sqrt(1 - a)) <= 25""")
+def radius_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = show.within(13 + (F.col("c_custkey") % 1000) / 1000, 100 + (F.col("c_custkey") % 777) / 777, 13.7306, 100.5688, 25.0)
+    return _table(spark, sf_dir, "customer").select("c_custkey").where(near)
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'September 2026' WHEN o_orderkey % 3 = 1 THEN 'September 2026' ELSE o_orderpriority END AS last_updated FROM orders")
+def default_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 3
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.when(k == 0, "").when(k == 2, F.col("o_orderpriority")).alias("last_updated"))
+    return records.with_default_date(rows, "last_updated")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -151,3 +151,31 @@ def test_one_decimal_is_exact(spark):
     values = [random.Random(4).uniform(0, 2047) for _ in range(500)] + [i / 20 for i in range(400)] + [i / 1000 for i in range(50, 10000, 100)]
     rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", show.one_decimal(F.col("x")).alias("t")).collect()
     assert all(r.t == "{}.{}".format(*divmod(math.floor(Fraction(r.x) * 10 + Fraction(1, 2)), 10)) for r in rows)
+
+
+def test_liked_posts(spark):
+    posts = spark.createDataFrame(
+        [(1, 5, True, [(7, 1, None), (8, None, True)]), (2, None, None, None), (None, 3, True, [])], "id long, likes long, liked boolean, comments array<struct<id:long,likes:long,liked:boolean>>"
+    )
+    toggles = spark.createDataFrame([(1, None), (1, 7), (1, 8), (1, 8), (2, None), (2, None), (2, None), (9, 1), (None, None), (1, 99)], "id long, comment_id long")
+    got = {r.id: (r.likes, r.liked, None if r.comments is None else [tuple(c) for c in r.comments]) for r in state.liked_posts(posts, toggles).collect()}
+    assert got == {1: (5, False, [(7, 2, True), (8, 1, True)]), 2: (1, True, None), None: (4, True, [])}
+    assert state.liked_posts(posts.limit(0), toggles).count() == 0 and state.liked_posts(posts, toggles.limit(0)).count() == 3
+
+
+def test_collected_text(spark):
+    shape = "u string, t string, d array<struct<url:string,text:string>>, su string, st string, sd array<struct<url:string,text:string>>"
+    df = spark.createDataFrame([("a", "x", [("p", "q"), ("r", ""), ("s", None)], "b", "y", None), ("a", None, None, None, "lost", [("p", "lost")])], shape)
+    got = [r.t for r in df.select(texts.collected_text(*(F.col(c) for c in ("u", "t", "d", "su", "st", "sd"))).alias("t")).collect()]
+    first = "=== TUITION & FEE PAGE (a) ===\nx\n\n--- Fee PDF content from p ---\nq\n\n=== CAMPUS SAFETY & SAFEGUARDING POLICY PAGE (b) ===\ny"
+    assert got == [first, "=== TUITION & FEE PAGE (a) ===\n"]
+
+
+def test_blank_pages_of_documents_leave_no_line(spark):
+    pages = spark.createDataFrame([("d", 1, "\ta" * 100), ("d", 2, " \n"), ("d", 3, "b" * 200 + "\n")], "doc string, page int, body string")
+    assert texts.document_text(pages, "doc", "page", "body", ("fee",)).first().text == ("\ta" * 100)[1:] + "\n" + "b" * 200
+
+
+def test_radius(spark):
+    df = spark.createDataFrame([(13.7306, 100.5688), (14.5, 100.5688), (None, 1.0)], "lat double, lng double")
+    assert [r.near for r in df.select(show.within(F.col("lat"), F.col("lng"), 13.7306, 100.5688).alias("near")).collect()] == [True, False, False]
