@@ -8,7 +8,9 @@ the tokenizers library. The ids are those of the library for the whole text.
 
 from __future__ import annotations
 
+import os
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,13 +79,17 @@ class Encoder:
 
     #: Pieces kept; beyond them the memory of pieces starts afresh.
     KEEP = 1 << 20
+    #: Pieces that go to the library as one text.
+    TOGETHER = 64
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
         self.library = Tokenizer.from_file(path)
         self.classes = _classes()
         self.added = regex.compile("|".join(regex.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
+        self.bytes = self.byte_sizes()
         self.clear()
 
     @staticmethod
@@ -99,14 +105,34 @@ class Encoder:
         self.pool = np.zeros(0, dtype=np.int32)
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        ids = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
-        at = len(self.pool) + np.cumsum(size) - size
+        """Keep the ids of ``pieces``, in the order of their ``keys``.
+
+        A piece of a blank and signs stays a piece behind another one, so many
+        of these are encoded as one text and cut by the bytes of their tokens.
+        """
+        loose = np.fromiter((p[0] == " " and len(p) > 1 and not p[1].isspace() for p in pieces), bool, len(pieces))
+        order = np.concatenate([np.flatnonzero(loose), np.flatnonzero(~loose)])
+        ordered, n = [pieces[i] for i in order.tolist()], int(loose.sum())
+        flat, cuts = self._encoded(["".join(ordered[i : min(n, i + self.TOGETHER)]) for i in range(0, n, self.TOGETHER)] + ordered[n:], ordered)
+        if cuts is None:  # tokens that do not spell their bytes
+            flat, cuts = self._encoded(ordered, ordered, alone=True)
+        at, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        at[order], size[order] = len(self.pool) + cuts[:-1], np.diff(cuts)
         self.pool = np.concatenate([self.pool, flat])
         place = np.searchsorted(self.keys, keys)  # both are in order
         self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
 
+    def _encoded(self, texts: list[str], pieces: list[str], alone: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Ids of ``texts``, which ``pieces`` tile (or are, if ``alone``), and the offset of each piece; None if a token crosses pieces."""
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), np.int32)
+        if alone:
+            return flat, np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(self.bytes[flat])])
+        wanted = np.concatenate([[0], np.cumsum([len(p.encode()) for p in pieces])])
+        cuts = np.minimum(np.searchsorted(ends, wanted), len(flat))
+        return flat, cuts if (ends[cuts] == wanted).all() else None
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offset of each text with the end."""
         points, offsets = code_points(texts)
