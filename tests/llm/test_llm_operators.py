@@ -339,3 +339,20 @@ def test_sql(spark, sf_dir, name):
     found = queries.queries()[name](spark, sf_dir)
     columns = ", ".join(found.columns)
     assert sorted(map(tuple, found.collect())) == sorted(db.execute(f"select {columns} from ({queries.oracle_sql()[name]})").fetchall())
+
+
+def test_encoder_gives_the_library_ids_of_odd_texts():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from cordage.llm.encode import Encoder
+    from cordage.llm.queries import tokenizer_path
+
+    library, encoder, rng = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path()), random.Random(3)
+    signs = list(" \t\n\r'’stmdrevl019a.Zé漢😀 \u0085\x1c\x1f-_<|>endoftxt")
+    texts = ["", " ", "<|endoftext|>", " <|endoftext|> a", "".join(map(chr, range(1, 0x3000)))]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randrange(80))) for _ in range(3000)]
+    for at in range(0, len(texts), 500):
+        ids, cuts = encoder(texts[at : at + 500])
+        assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts[at : at + 500]]
