@@ -2,9 +2,11 @@
 
 Each pass hashes vectors to the signs of random projections and orders them by
 the concatenated bits. A vector is compared with a bounded window of its
-successors in that order, and the verified pairs of all passes are united. Links
-are then counted exactly inside each component, block by block, so a dense group
-larger than a window loses none.
+successors in that order, and the verified pairs of all passes are united. A
+label larger than a window is also compared exactly: its vectors go to the
+nearest of some pivots, and blocks of two cells are compared but for the vectors
+whose angle to the other pivot rules a link out. Links are then counted inside
+each component, block by block.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import connected_components, written
 
@@ -65,6 +68,19 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done += n
 
 
+def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One edge for each of ``n`` places that is not the smallest of its group, to that smallest place."""
+    root = np.arange(n)
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        if (root[i] == low).all() and (root[j] == low).all():
+            break
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+    joined = np.flatnonzero(root != np.arange(n))
+    return joined, root[joined]
+
+
 def _window_links(window: int, least: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", ignore_index=True)
@@ -78,21 +94,121 @@ def _window_links(window: int, least: float):
                 ahead = (j > i) & (j - i <= window)
                 left.append(i[ahead] + a)
                 right.append(j[ahead] + a)
-            i, j = np.concatenate(left), np.concatenate(right)
-            root = np.arange(n)
-            while len(i):  # smallest place of each group within the block: one edge a vector is enough
-                low = np.minimum(root[i], root[j])
-                if (root[i] == low).all() and (root[j] == low).all():
-                    break
-                np.minimum.at(root, i, low)
-                np.minimum.at(root, j, low)
-            joined = np.flatnonzero(root != np.arange(n))
-            out.append(pd.DataFrame({"a": cid[joined], "b": cid[root[joined]]}))
+            joined, root = _spanning(n, np.concatenate(left), np.concatenate(right))
+            out.append(pd.DataFrame({"a": cid[joined], "b": cid[root]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     return run
 
 
+def _by_label(batch: pa.RecordBatch, most: int = 4096) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
+    keys = np.stack([batch.column("label").to_numpy(), batch.column("dim").to_numpy()])
+    for label, dim in np.unique(keys, axis=1).T.tolist():
+        at = np.flatnonzero((keys[0] == label) & (keys[1] == dim))
+        for begin in range(0, len(at), most):
+            yield (label, dim), batch.take(pa.array(at[begin : begin + most]))
+
+
+def _angles(some: pa.RecordBatch, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(_rows(some.column("embedding"), pivots.shape[1]) @ pivots.T, -1, 1))
+
+
+def _homes(pivots: dict[tuple[int, int], np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, some in _by_label(batch):
+                angles = _angles(some, pivots[key])
+                cell = angles.argmin(axis=1)
+                added = [pa.array(cell, pa.int32()), pa.array(angles[np.arange(len(cell)), cell])]
+                yield pa.RecordBatch.from_arrays([*some.columns, *added], names=[*some.schema.names, "cell", "angle"])
+
+    return run
+
+
+def _meetings(pivots: dict[tuple[int, int], np.ndarray], cells: dict[tuple[int, int], np.ndarray], least: float):
+    """Each vector with its ``own`` block and the ``others`` whose cells can hold a link of it.
+
+    ``cells`` has for each cell its blocks before, its blocks, and its least and
+    greatest angle. For a link of x in cell h to y in cell o the triangle
+    inequality puts the angle of x to o within theta of the range of o, and, as
+    y is nearer to o than to h, within 2 theta of the angle of x to h.
+    """
+    theta, slack = float(np.arccos(np.clip(least, -1, 1))), 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, some in _by_label(batch, 1024):
+                before, parts, low, high = cells[key].T
+                angles, home = _angles(some, pivots[key]), some.column("cell").to_numpy()
+                own_angle = some.column("angle").to_numpy()[:, None]
+                meets = (angles <= own_angle + 2 * theta + slack) & (angles <= high + theta + slack) & (angles >= low - theta - slack)
+                meets[np.arange(len(home)), home] = True
+                row, other = np.nonzero(np.repeat(meets, parts.astype(int), axis=1))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(home)))])
+                own = before[home].astype(int) + some.column("salt").to_numpy() % parts[home].astype(int)
+                others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(other, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [*(some.column(c) for c in ("label", "dim", "cid", "embedding")), pa.array(own, pa.int32()), others],
+                    names=["label", "dim", "cid", "embedding", "own", "others"],
+                )
+
+    return run
+
+
+def _block_edges(least: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        same = pdf.i.iloc[0] == pdf.j.iloc[0]
+        if not len(left) or not (same or len(right)):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        dim = int(pdf.dim.iloc[0])
+        x = _rows(left.embedding, dim)
+        y = x if same else _rows(right.embedding, dim)
+        cid, shift = (left.cid.to_numpy(), 0) if same else (np.concatenate([left.cid, right.cid]), len(x))
+        ends = []
+        for a in range(0, len(x), 256):
+            i, j = np.nonzero(x[a : a + 256] @ y.T >= least)
+            ends.append(_spanning(len(cid), i + a, j + shift))
+        joined, root = _spanning(len(cid), *(np.concatenate(e) for e in zip(*ends)))
+        return pd.DataFrame({"a": cid[joined], "b": cid[root]})
+
+    return run
+
+
+def _exact_edges(classes: DataFrame, least: float, window: int, block: int) -> DataFrame:
+    """Edges that join all linked vectors of the labels with more than ``window`` of them.
+
+    A label of ``n`` vectors has about ``n / block`` pivots, 1,024 at most; they
+    and a row for each cell reach the driver. A cell of any size is cut in blocks.
+    """
+    key, named = ["label", "dim"], lambda r: (r["label"], r["dim"])
+    sizes = classes.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > window)
+    rows = classes.select(*key, "cid", "embedding", F.xxhash64("cid").alias("salt")).join(F.broadcast(sizes), key)
+    whole = rows.where(F.col("n") <= block).select(*key, "cid", "embedding", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+    large = rows.where(F.col("n") > block)
+
+    wanted = F.least(F.ceil(F.col("n") / block), F.lit(1024))
+    drawn: dict[tuple[int, int], list] = {named(r): [] for r in sizes.where(F.col("n") > block).select(*key).toArrow().to_pylist()}
+    for r in large.where(F.pmod(F.xxhash64("salt"), F.col("n")) < wanted).select(*key, "embedding").toArrow().to_pylist():
+        drawn[named(r)].append(r["embedding"])
+    if not drawn:
+        return whole.groupBy(*key, "i", "j").applyInPandas(_block_edges(least), "a long, b long")
+    pivots = {k: _rows(pd.Series([np.array(v) for v in vs]), k[1]) if vs else np.eye(1, k[1]) for k, vs in drawn.items()}
+
+    kept = large.select(*key, "cid", "embedding", "salt")
+    kind = kept.schema["embedding"].dataType
+    homes = written(kept.mapInArrow(_homes(pivots), T.StructType([*kept.schema, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])), "cells")
+    cells = {k: np.tile([0.0, 0.0, np.inf, -np.inf], (len(v), 1)) for k, v in pivots.items()}
+    for r in homes.groupBy(*key, "cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).toArrow().to_pylist():
+        cells[named(r)][r["cell"]] = 0, -(-r["n"] // block), r["low"], r["high"]
+    for v in cells.values():
+        v[:, 0] = np.cumsum(v[:, 1]) - v[:, 1]
+    schema = T.StructType([*(kept.schema[c] for c in (*key, "cid")), T.StructField("embedding", kind), T.StructField("own", T.IntegerType()), T.StructField("others", T.ArrayType(T.IntegerType()))])
+    met = homes.mapInArrow(_meetings(pivots, cells, least), schema).withColumn("other", F.explode("others"))
+    met = met.select(*key, "cid", "embedding", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return whole.union(met).groupBy(*key, "i", "j").applyInPandas(_block_edges(least), "a long, b long")
+
+
 def _block_links(least: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
@@ -127,10 +243,11 @@ def near_duplicate_vectors(
     row; unlinked rows are their own component. Equal vectors of a label are
     one class. Other columns are ignored.
 
-    ``passes`` and ``window`` set the recall of components: two vectors of
-    cosine 0.98 agree in a bit with probability 0.94, so they stay within a
-    window of 512 among n of a label in one pass with about
-    0.94 ** log2(n / 512). Counts are exact within components.
+    Counts and components are exact. ``passes`` and ``window`` meet the pairs of
+    labels of at most ``window`` vectors in full; a larger label is compared in
+    blocks of ``block``, which takes a number of comparisons that grows with the
+    square of the label where its vectors are too near each other, or too evenly
+    spread, for angles to pivots to tell blocks apart.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("cid"), "embedding", F.col("label").cast("int").alias("label"))
     sound = """label is not null and cid is not null and size(embedding) > 0
@@ -151,7 +268,8 @@ def near_duplicate_vectors(
     at = f"cast(rank div {block} as long)"
     shown = f"if(rank % {block} < {window} and rank >= {block}, array({at}, {at} - 1), array({at}))"
     blocks = ranked.select("pass", "label", "dim", "cid", "rank", F.explode(F.expr(shown)).alias("block")).join(classes.select("cid", "embedding"), "cid")
-    edges = blocks.groupBy("block").applyInPandas(_window_links(window, least), "a long, b long").distinct()
+    edges = blocks.groupBy("block").applyInPandas(_window_links(window, least), "a long, b long")
+    edges = edges.union(_exact_edges(classes, least, window, block)).distinct()
     roots = written(connected_components(edges), "roots")
 
     grouped = classes.join(roots, F.col("cid") == F.col("node")).drop("node")

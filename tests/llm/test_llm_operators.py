@@ -296,6 +296,31 @@ def test_near_duplicate_vectors(spark):
     assert embeddings.near_duplicate_vectors(table.limit(0)).count() == 0
 
 
+def dense_label(n, dim=64, near=0.95, planted=0.982, pairs=100, seed=5):
+    """Vectors at a mutual cosine of about ``near``, the first ``pairs`` of them with a partner at ``planted``."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((1, dim)) * np.sqrt(near / dim) + rng.standard_normal((n, dim)) * np.sqrt((1 - near) / dim))
+    aside = rng.standard_normal((pairs, dim))
+    aside = unit(aside - (aside * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs])
+    x[n - pairs :] = planted * x[:pairs] + np.sqrt(1 - planted**2) * aside
+    return x
+
+
+def test_near_duplicate_vectors_of_a_dense_label(spark):
+    x = dense_label(1500)
+    y = dense_label(1500, near=0.5, seed=6)  # spread: pivots tell blocks apart, and a link crosses cells
+    rows = [(k * 1500 + i, v.tolist(), k) for k, part in enumerate((x, y)) for i, v in enumerate(part)]
+    linked = [part @ part.T >= 0.98 for part in (x, y)]
+    links = [(k * 1500 + int(i), k * 1500 + int(j)) for k, m in enumerate(linked) for i, j in zip(*np.nonzero(np.tril(m, -1)))]
+    root, count = components(3000, links), np.bincount(np.ravel(links), minlength=3000)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for parameters in ({"block": 128}, {"block": 4096}):
+        found = {r.vec_id: r for r in embeddings.near_duplicate_vectors(table, passes=1, window=16, **parameters).collect()}
+        assert [found[i].n_links for i in range(3000)] == count.tolist()
+        assert [found[i].component_id for i in range(3000)] == root
+
+
 def test_quality(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
