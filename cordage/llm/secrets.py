@@ -1,6 +1,7 @@
 """Secret scans by DataFrame functions only: patterns propose, a random forest removes false positives.
 
-Known key formats and long tokens with digits are candidates. The forest judges
+Known key formats, and other tokens of 20 signs or more if they have a digit,
+are candidates. The forest judges
 a candidate's length, the changes of kind between its characters, how much of
 it dictionary words cover, whether it stands in a path, and the words near it.
 """
@@ -29,6 +30,10 @@ KNOWN = {
 }
 TOKEN = r"[A-Za-z0-9_+/=-]{20,}"
 PATTERN = "|".join([*KNOWN.values(), TOKEN])
+# How texts with a known key look at least, a known key that ends a token after a name, and what makes a match a candidate.
+OPENINGS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk-", "sk_", "eyJ", "-----BEGIN")
+NAMED = f"^[^=]*=({'|'.join(KNOWN.values())})$"
+PROPOSED = f"[0-9]|(?:^|=)(?:{'|'.join(KNOWN.values())})$"
 # Words of a dictionary that keys seldom spell.
 WORDS = "example|sample|test|your|here|name|value|config|version|index|number|image|file|page|data|user|item|code|block|class|public|static|http|www|com|org|the|and|for|with|that|this|tion|ment|ing|able|ver|ung|ent|ion|ous|ate|est|ers"
 # Words near a candidate that speak for or against a secret.
@@ -41,19 +46,25 @@ FEATURES = ["length", "changes", "kinds", "variety", "digits", "uppers", "hexade
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text_key``, ``start``, ``end``, ``candidate`` and the text ``before`` and ``after`` it.
 
-    Rows with equal id and text are one. Only texts with a digit or a key block are searched in full.
+    Rows with equal id and text are one. A known
+    format counts with or without a digit, and without the name and sign of equality before it;
+    any other token needs a digit. Only texts with a digit or the opening of a known format are
+    searched in full.
     """
-    some = F.col("text").rlike("[0-9]") | F.contains(F.col("text"), F.lit("-----BEGIN"))
+    some = reduce(lambda any_, o: any_ | F.contains(F.col("text"), F.lit(o)), OPENINGS, F.col("text").rlike("[0-9]"))
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").where(some)
     cut = keyed.select("doc_id", "text_key", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found"), F.split("text", PATTERN).alias("gaps"))
-    cut = cut.where("exists(found, f -> f rlike '[0-9]' or f like '-----BEGIN%')")
+    cut = cut.where(F.exists("found", lambda f: f.rlike(PROPOSED)))
     parts = F.expr(f"""transform(found, (f, i) -> struct(i AS i, f AS candidate, length(gaps[i]) AS gap,
         right(gaps[i], {NEAR}) AS before, left(gaps[i + 1], {NEAR}) AS after))""")
     rows = cut.select("doc_id", "text_key", parts.alias("parts")).dropDuplicates(["doc_id", "text_key"])
     rows = rows.select("doc_id", "text_key", F.explode("parts").alias("p")).select("doc_id", "text_key", "p.*")
     upto = Window.partitionBy("doc_id", "text_key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("candidate")).over(upto).cast("long"))
-    rows = rows.where("candidate rlike '[0-9]' or candidate like '-----BEGIN%'")
+    rows = rows.where(F.col("candidate").rlike(PROPOSED)).withColumn("key", F.regexp_extract("candidate", NAMED, 1))
+    name = F.expr("left(candidate, length(candidate) - length(key))")
+    rows = rows.withColumn("before", F.when(F.col("key") == "", F.col("before")).otherwise(F.right(F.concat("before", name), F.lit(NEAR))))
+    rows = rows.withColumn("candidate", F.when(F.col("key") == "", F.col("candidate")).otherwise(F.col("key")))
     return rows.select("doc_id", "text_key", (F.col("end") - F.length("candidate")).alias("start"), "end", "candidate", "before", "after")
 
 
