@@ -171,7 +171,8 @@ def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A user turn calls the tool ``reply`` under its turn as id, and the assistant
     turn right after it is the result. A call waits for the last call before it
-    whose answer stands between them, which is known from the turns alone.
+    whose answer stands between them, which is known from the turns alone. Turns
+    of other roles, or of none, are left out.
     """
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     asked = rows.where("role = 'user'")
