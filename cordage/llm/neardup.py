@@ -3,15 +3,17 @@
 Each distinct shingle set follows the paths of independent trees: a node is a
 sequence of minwise coordinates and the values that the set has there, so two
 sets of similarity J share a step with probability J. Nodes with few sets are
-compared exhaustively; larger ones branch on further coordinates. What is still
-large at the deepest level is compared with a leader, which joins whole groups
-of copies with as many pairs as sets, and only what stays apart there is
-compared in blocks. Every link is confirmed on full shingle sets.
+compared exhaustively. In a larger one all sets are compared with one leader,
+which joins whole groups of copies with as many pairs as sets. Only what stays
+apart from it is compared further, with all sets of the node: at once where that
+is a block's work, else the node branches on further coordinates until it is, or
+until the path ends. Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bitmap, connected_components, in_bitmap, written
+from .shared import bitmap, connected_components, discard, in_bitmap, written
 from .text import chunks, code_points, gram_hashes, lower_ascii, mix, span_hashes, spaced_words
 
 COORDINATES = 64
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"
+MEMBER = ["rep", "n", "root", "out"]
+MEMBER_SCHEMA = "rep long, n long, root long, out boolean"
 _MULTIPLIERS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _MASKS = mix(np.arange(1001, COORDINATES + 1001, dtype=np.uint64))
 
@@ -113,7 +117,7 @@ def _subtrees(branch: int, levels: int):
                 above = reached
             below = pa.array(np.stack(found, axis=1).astype(np.int64).ravel())
             cuts = pa.array(np.arange(batch.num_rows + 1) * len(found), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.ListArray.from_arrays(cuts, below)], names=["rep", "n", "below"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in MEMBER), pa.ListArray.from_arrays(cuts, below)], names=[*MEMBER, "below"])
 
     return run
 
@@ -123,7 +127,7 @@ def _children(rows: DataFrame, branch: int, levels: int) -> DataFrame:
     offset = [sum(branch**u for u in range(1, t)) for t in range(1, levels + 1)]
     parts = lambda c: ", ".join(f"slice(below, {offset[t] + c * branch**t + 1}, {branch**t})" for t in range(1, levels)) or "cast(array() AS array<bigint>)"
     kids = ", ".join(f"named_struct('node', below[{c}], 'below', concat({parts(c)}))" for c in range(branch))
-    return rows.select("rep", "n", F.expr(f"array({kids})").alias("kids")).select("rep", "n", F.explode("kids").alias("kid")).select("kid.node", "rep", "n", "kid.below")
+    return rows.select(*MEMBER, F.expr(f"array({kids})").alias("kids")).select(*MEMBER, F.explode("kids").alias("kid")).select("kid.node", *MEMBER, "kid.below")
 
 
 def _likely(least: int):
@@ -184,9 +188,8 @@ def _blocks_apart(percent: int):
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
         out: list[tuple[int, int]] = []
         if len(left) and len(right):
-            x, y = left["keys"].to_list(), right["keys"].to_list()
-            sizes = np.add.outer(left["keys"].map(len).to_numpy(), right["keys"].map(len).to_numpy())
-            surplus = (100 + percent) * _shared_counts(x, y) - percent * sizes
+            sizes = np.add.outer(left["n"].to_numpy(), right["n"].to_numpy())
+            surplus = (100 + percent) * _shared_counts(left["shingles"].to_list(), right["shingles"].to_list()) - percent * sizes
             root_x, root_y = left["root"].to_numpy(), right["root"].to_numpy()
             i, j = np.nonzero((surplus >= 0) & (root_x[:, None] != root_y[None, :]))
             order = np.argsort(-surplus[i, j], kind="stable")
@@ -205,7 +208,7 @@ def _blocks_apart(percent: int):
 
 
 def near_duplicates(
-    docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 16, node_size: int = 16, branch: int = 2, depth: int = 4, agree: int | None = None
+    docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 16, node_size: int = 16, branch: int = 2, depth: int = 4, agree: int | None = None, block: int = 1024
 ) -> DataFrame:
     """Groups of documents whose sets of ``k``-word shingles have a Jaccard similarity of ``percent`` or more.
 
@@ -220,11 +223,14 @@ def near_duplicates(
     component of its class, or null, and is kept only there. A repeated
     ``doc_id`` keeps a row each. Other columns are ignored.
 
-    With the defaults a pair of similarity 0.8 shares no node with a
-    probability of about 4e-7. ``trees`` is at most 32; ``node_size`` bounds
-    exhaustive comparison, ``depth`` the steps of a path. ``agree`` is the least
-    number of the 64 minwise values that a pair must share to be confirmed on
-    full sets; by default five standard deviations below its expectation.
+    With the defaults a pair of similarity 0.8 shares no first node, of two
+    steps, with a probability of about 8e-8, and none of a large node's branches
+    with one of about 4e-7. ``trees`` is at most 32; ``node_size`` bounds
+    exhaustive comparison of all pairs, ``block`` the sets on a side of a block,
+    and ``depth`` the steps of a path. A node at the end of a path is compared
+    in as many blocks as it takes. ``agree`` is the least number of the 64
+    minwise values that a pair must share to be confirmed on full sets; by
+    default five standard deviations below its expectation.
     """
     j = percent / 100
     least = int(COORDINATES * j - 5 * (COORDINATES * j * (1 - j)) ** 0.5) if agree is None else agree
@@ -236,87 +242,96 @@ def near_duplicates(
     own = full.select(F.col("doc_id").alias("rep"), *key, "n_shingles", "sketch")
     reps = written(own.join(classes, ["rep", *key], "left_semi").dropDuplicates(["rep", *key]).select("rep", "set_a", "n_shingles", "sketch"), "sets")
 
-    nodes = reps.select("rep", "n_shingles", "sketch").mapInArrow(_roots(trees), "node long, rep long, n long")
-    pairs, deep = [], None
-    for level in range(2, depth + 1):
-        nodes = written(nodes, "nodes")
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1")
-        sized = nodes.join(sizes, "node")
-        small = sized.where(F.col("size") <= node_size).groupBy("node").agg(F.collect_set("rep").alias("reps"))  # at most node_size
-        halves = small.select(F.explode("reps").alias("a"), "reps").select("a", F.explode(F.expr("filter(reps, r -> r > a)")).alias("b"))
-        pairs.append(halves)
-        large = sized.where(F.col("size") > node_size)
-        if level == depth:
-            deep = written(large.select("node", "rep", "n", "leader").distinct(), "deep")
-            pairs.append(deep.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
-        else:
-            if level == 2:  # the whole paths of what is in a large node, so that sketches are joined once
-                sketched = large.select("node", "rep", "n").join(reps.select("rep", "sketch"), "rep")
-                large = sketched.mapInArrow(_subtrees(branch, depth - 2), "rep long, n long, below array<long>")
-            nodes = _children(large, branch, depth - level)
-    found = pairs[0]
-    for more in pairs[1:]:
-        found = found.union(more)
-    edges = _confirmed(source, reps, found.distinct(), k, percent, least)
+    nodes = written(reps.select("rep", "n_shingles", "sketch").mapInArrow(_roots(trees), "node long, rep long, n long"), "nodes")
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1")
+    sized = written(nodes.join(sizes, "node"), "sized")  # written as it is, so that adaptive execution may split a hot node
+    discard(nodes)
+    small = sized.where(F.col("size") <= node_size).groupBy("node").agg(F.collect_set("rep").alias("reps"))  # at most node_size
+    pairs = small.select(F.explode("reps").alias("a"), "reps").select("a", F.explode(F.expr("filter(reps, r -> r > a)")).alias("b"))
+    large = sized.where(F.col("size") > node_size).select("node", "leader", "rep", "n")
+    edges = _confirmed(source, reps, pairs.union(large.where("rep <> leader").select("leader", "rep")).distinct(), k, percent, least)
     roots = written(connected_components(edges), "roots")
 
-    apart = _apart(source, deep, reps, roots, k, percent)
+    apart = _apart(large, reps, roots, branch, depth, block)
     if apart is not None:
-        edges = edges.union(_confirmed(source, reps, apart, k, percent, least))
-        roots = written(connected_components(edges), "roots")
+        sets = _full_sets(source, reps, apart.select("rep").distinct(), k)
+        found = _compared(apart, sets, percent, block)
+        roots = written(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)), "roots")
+        discard(sets)
+    discard(sized, edges)
     member = rows.select("doc_id", "n_shingles", *key).join(classes, key, "left").join(roots, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "rep"))
     return member.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def _full_sets(source: DataFrame, reps: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``doc_id`` and ``shingles`` of the sets of ``wanted`` (distinct ``rep``), built again from the texts."""
-    sets = source.mapInArrow(_set_reader(bitmap(wanted, "rep"), k), "doc_id long, set_a long, shingles array<long>")
-    needed = reps.select(F.col("rep").alias("doc_id"), "set_a").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    return written(sets.join(needed, ["doc_id", "set_a"], "left_semi").select("doc_id", "shingles"), "shingles")
+    """``rep`` and ``shingles`` of the sets of ``wanted`` (distinct ``rep``), built again from the texts."""
+    wanted = written(wanted, "wanted")
+    sets = source.mapInArrow(_set_reader(bitmap(wanted, "rep"), k), "doc_id long, set_a long, shingles array<long>").withColumnRenamed("doc_id", "rep")
+    needed = reps.select("rep", "set_a").join(wanted, "rep", "left_semi")
+    out = written(sets.join(needed, ["rep", "set_a"], "left_semi").select("rep", "shingles"), "shingles")
+    discard(wanted)
+    return out
 
 
 def _confirmed(source: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int, least: int) -> DataFrame:
     """The pairs that are links, by their full sets. Only sets of likely pairs are built again."""
     a = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
     b = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    sized = pairs.toDF("a", "b").join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     likely = written(sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely(least), "a long, b long"), "likely")
     sets = _full_sets(source, reps, likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), k)
-    x, y = (sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"s_{n}")) for n in "ab")
+    x, y = (sets.select(F.col("rep").alias(n), F.col("shingles").alias(f"s_{n}")) for n in "ab")
     both = likely.join(x, "a").join(y, "b").withColumn("same", F.size(F.array_intersect("s_a", "s_b")))
-    return written(both.where(f"100 * same >= {percent} * (size(s_a) + size(s_b) - same)").select("a", "b"), "links")
+    links = written(both.where(f"100 * same >= {percent} * (size(s_a) + size(s_b) - same)").select("a", "b"), "links")
+    discard(likely, sets)
+    return links
 
 
-def _apart(source: DataFrame, deep: DataFrame, reps: DataFrame, roots: DataFrame, k: int, percent: int, block: int = 1024) -> DataFrame | None:
-    """Links in deep nodes to sets that their leader left in other groups; None without such sets.
+def _apart(large: DataFrame, reps: DataFrame, roots: DataFrame, branch: int, depth: int, block: int) -> DataFrame | None:
+    """The sets of large nodes that hold more groups than their leader's; None without such nodes.
 
-    All pairs of a node are covered: those in the leader's group are joined
-    already, and each set outside it meets every set of the node, block by
-    block, with no more than two blocks in a task. Shingles go as 32-bit keys,
-    which count no shared shingle too few; a block gives no more links than it
-    has groups, and full sets confirm them.
+    A set is ``out`` if it is in another group than the leader of its first node.
+    Two sets that are not out are joined already, so a node's work is each out
+    set against all sets. Nodes of more than a block's work branch, and their
+    branches without an out set end there. Returns ``node``, ``rep``, ``n``,
+    ``root``, ``out`` and the numbers of blocks ``n_all`` and ``n_out``.
     """
-    member = deep.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     lead = roots.select(F.col("node").alias("leader"), F.col("root").alias("lead"))
-    member = member.join(lead, "leader", "left").withColumn("out", F.col("root") != F.coalesce("lead", "leader"))
-    # as many blocks as keep each side to ``block`` sets and about 1024 shingles for each of them
-    parts = lambda n: F.greatest(F.ceil(F.count(n) / block), F.ceil(F.sum(n) / (block << 10))).cast("int")
-    outs = F.when(F.col("out"), F.col("n"))
-    sizes = member.groupBy("node").agg(parts(F.col("n")).alias("n_all"), parts(outs).alias("n_out"), F.count(outs).alias("outs")).where("outs > 0")
-    member = written(member.select("node", "rep", "root", "out").join(sizes, "node"), "apart")
-    if member.isEmpty():
-        return None
-    sets = _full_sets(source, reps, member.select("rep").distinct(), k)
-    keys = sets.select(F.col("doc_id").alias("rep"), F.transform("shingles", lambda s: F.shiftright(s, 32).cast("int")).alias("keys"))
+    member = large.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(lead, "leader", "left").withColumn("root", F.coalesce("root", "rep"))
+    member = member.select("node", "rep", "n", "root", (F.col("root") != F.coalesce("lead", "leader")).alias("out"))
+    parts: list[DataFrame] = []
+    for level in range(2, depth + 1):
+        member = written(member, "members")
+        # as many blocks as keep each side to ``block`` sets and about 1024 shingles for each of them
+        blocks = lambda n: F.greatest(F.ceil(F.count(n) / block), F.ceil(F.sum(n) / (block << 10))).cast("int")
+        outs = F.when(F.col("out"), F.col("n"))
+        sizes = member.groupBy("node").agg(F.count("*").alias("size"), F.count(outs).alias("outs"), blocks(F.col("n")).alias("n_all"), blocks(outs).alias("n_out"))
+        known = written(member.join(sizes.where("outs > 0 and size > 1"), "node"), "known")
+        discard(member)
+        fits = F.lit(True) if level == depth else F.col("outs") * F.col("size") <= block * block
+        parts.append(known.where(fits).select("node", "rep", "n", "root", "out", "n_all", "n_out"))
+        rest = known.where(~fits)
+        if level == depth or rest.isEmpty():
+            break
+        if level == 2:  # whole paths, so that sketches are joined once
+            rest = rest.select("node", *MEMBER).join(reps.select("rep", "sketch"), "rep")
+            rest = rest.mapInArrow(_subtrees(branch, depth - 2), f"{MEMBER_SCHEMA}, below array<long>")
+        member = _children(rest, branch, depth - level)
+    found = reduce(DataFrame.union, parts)
+    return None if found.isEmpty() else found
+
+
+def _compared(apart: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links of the nodes of ``apart`` on full ``sets``: as many as join groups, and no more than a block pair has groups."""
     at = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     # an outer set goes to its block against all blocks; every set goes to its block against all outer blocks
     outer = F.transform(F.sequence(F.lit(0), F.col("n_all") - 1), lambda j: F.struct(at("n_out", 0).alias("i"), j.alias("j"), F.lit(0).alias("side")))
     every = F.transform(F.sequence(F.lit(0), F.col("n_out") - 1), lambda i: F.struct(i.alias("i"), at("n_all", 1).alias("j"), F.lit(1).alias("side")))
-    cells = member.withColumn("cells", F.concat(F.when(F.col("out"), outer).otherwise(F.slice(outer, 1, 0)), every)).join(keys, "rep")
-    cells = cells.select("node", "rep", "root", "keys", F.explode("cells").alias("cell")).select("node", "cell.*", "rep", "root", "keys")
+    cells = apart.withColumn("cells", F.concat(F.when(F.col("out"), outer).otherwise(F.slice(outer, 1, 0)), every)).join(sets, "rep")
+    cells = cells.select("node", "rep", "root", "n", "shingles", F.explode("cells").alias("cell")).select("node", "cell.*", "rep", "root", "n", "shingles")
     found = cells.groupBy("node", "i", "j").applyInPandas(_blocks_apart(percent), "a long, b long")
-    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **parameters) -> DataFrame:

@@ -6,23 +6,29 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, a folder of this process is made and removed at exit.
+    It is the cluster's ``spark.checkpoint.dir``. Where that is unset and the
+    master is local, as in tests, a folder of this process is made and removed
+    at exit; on a cluster it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "path" not in _own_folder:
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -38,16 +44,28 @@ def written(df: DataFrame, what: str, fmt: str = "parquet", **options: str) -> D
     """
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.format(fmt).options(**options).save(path)
-    return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
+    table = df.sparkSession.read.schema(df.schema).format(fmt).load(path)
+    _paths[table] = path
+    return table
 
 
-def bitmap(keys: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
-    """A bit for each residue that ``column`` (long) takes modulo ``bits``.
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(_paths.pop(table))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
-    Its size is ``bits / 8`` bytes whatever the number of keys, so it can be
-    sent to every task. It only lets a task drop rows that cannot join; the
-    exact join follows. ``bits`` must be a power of two of at least 64.
+
+def bitmap(keys: DataFrame, column: str, most: int = 1 << 28) -> np.ndarray:
+    """A bit for each residue that ``column`` (long) takes modulo the number of bits.
+
+    There are 16 bits for each row of ``keys``, in a power of two, but no more
+    than ``most``: 32 MB by default, which can be sent to every task. It only
+    lets a task drop rows that cannot join; the exact join follows. Over
+    ``most / 4`` keys it drops few rows.
     """
+    bits = min(most, 1 << max(16, (16 * keys.count()).bit_length()))
     at = F.col(column).bitwiseAND(F.lit(bits - 1).cast("long"))
     words = (
         keys.where(F.col(column).isNotNull())
@@ -85,7 +103,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "a").where("b > a and b <> m").selectExpr("b AS a", "m AS b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.expr("array(struct(a AS a, m AS b), struct(b AS a, m AS b))")).alias("e"))
-        now = written(small.select("e.*").where("a <> b").distinct(), "edges")
+        before, now = now, written(small.select("e.*").where("a <> b").distinct(), "edges")
+        discard(before)
         mark = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if mark == seen:
             break
