@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -83,11 +85,12 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
     """Proposed spans that no base span touches; they may overlap each other."""
     covered = sorted((a, b) for _, a, b in taken)
     starts = [a for a, _ in covered]
+    reach = list(accumulate((b for _, b in covered), max))  # how far the spans up to each one go
     out = []
     for kind, pattern in GENERATORS:
         for m in pattern.finditer(text):
-            near = np.searchsorted(starts, m.end())  # base spans of one text: those that begin before the end
-            if all(b <= m.start() for _, b in covered[max(0, near - 4) : near]):
+            near = bisect_left(starts, m.end())
+            if not near or reach[near - 1] <= m.start():
                 out.append((kind, m.start(), m.end()))
     return list(dict.fromkeys(out))
 
@@ -240,9 +243,14 @@ def added_spans(text: str, taken: list[tuple[str, int, int]], model: Boosted) ->
         return []
     scores = model.score(np.array([describe(text, *c) for c in proposed]))
     chosen: list[tuple[str, int, int]] = []
+    ends: list[int] = []  # starts and ends of the chosen, which do not overlap, in order
     for i in sorted(range(len(proposed)), key=lambda i: (-scores[i], proposed[i][1], -proposed[i][2], proposed[i][0])):
         kind, a, b = proposed[i]
-        if scores[i] >= model.thresholds[kind] and all(b <= c or d <= a for _, c, d in chosen):
+        if scores[i] < model.thresholds[kind]:
+            continue
+        at = bisect_right(ends, a)
+        if at % 2 == 0 and (at == len(ends) or ends[at] >= b):  # it begins outside of all, and ends before the next
+            ends[at:at] = [a, b]
             chosen.append(proposed[i])
     return chosen
 
@@ -279,7 +287,11 @@ def find_personal_data(docs: DataFrame, model: Boosted | None = None) -> DataFra
 
 
 def personal_data_digest(found: DataFrame) -> DataFrame:
-    """Counts, the digest of the base spans, and all spans as text."""
+    """``doc_id``, counts of the base kinds, ``base_sha256``, ``spans`` as text, and ``n_spans`` (base and added) for each row of ``found``.
+
+    Without spans the counts are 0, ``spans`` is empty and the digest is that of the
+    empty string. Repeated rows and null ids give a row each; no rows give none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,10 +301,11 @@ def personal_data_digest(found: DataFrame) -> DataFrame:
             digests = [hashlib.sha256(_joined(r).encode()).hexdigest() for r in base]
             everything = [_joined([(s["kind"], s["start"], s["end"]) for s in r]) for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *counts, pa.array(digests), pa.array(everything)], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
+                [batch.column("doc_id"), *counts, pa.array(digests), pa.array(everything), pa.array(list(map(len, rows)), pa.int64())],
+                names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"],
             )
 
-    return found.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string")
+    return found.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, n_spans long")
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -394,3 +394,27 @@ def test_encoder_gives_the_library_ids_of_odd_texts():
     for at in range(0, len(texts), 500):
         ids, cuts = encoder(texts[at : at + 500])
         assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts[at : at + 500]]
+
+
+def test_personal_data_looks_at_all_base_spans():
+    text = "+12345678" * 5 + "@123.456.7890"
+    base = pii.base_spans(text)
+    assert base[0] == ("email", 0, 58) and pii.candidates(text, base) == []
+
+
+def test_personal_data_of_a_text_with_many_candidates():
+    import time
+
+    rng, model = random.Random(2), pii.train()
+    parts = [f"call ({rng.randrange(100, 999)}) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)} or mail a{i}@b.org or ssn {rng.randrange(100, 600)}-12-{rng.randrange(1000, 9999)}, " for i in range(5000)]
+    took = []
+    for n in (1000, 5000):
+        text = "".join(parts[:n])
+        began = time.process_time()
+        base = pii.base_spans(text)
+        added = pii.added_spans(text, base, model)
+        took.append(time.process_time() - began)
+        assert len(base) == n and len(added) > n
+        spans = sorted((a, b) for _, a, b in [*base, *added])
+        assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+    assert took[1] < 15 * took[0] + 0.5
