@@ -219,12 +219,13 @@ def project(records: DataFrame, scenarios: list[Scenario]) -> DataFrame:
 
 def cost_schedule(projected: DataFrame) -> DataFrame:
     """A row for each year."""
-    return projected.select("school_name", "scenario", F.explode("schedule").alias("y")).select("school_name", "scenario", "y.*")
+    # outer: a schedule is never empty, and a plain explode would filter on its size, with the whole projection written out once more
+    return projected.select("school_name", "scenario", F.explode_outer("schedule").alias("y")).select("school_name", "scenario", "y.*")
 
 
 def cost_line_items(projected: DataFrame) -> DataFrame:
     """A row for each line item with its place from 0."""
-    return projected.select("school_name", "scenario", F.posexplode("line_items").alias("place", "i")).select("school_name", "scenario", "place", "i.*")
+    return projected.select("school_name", "scenario", F.posexplode_outer("line_items").alias("place", "i"))  # outer as in cost_schedule.select("school_name", "scenario", "place", "i.*")
 
 
 def cost_summary(projected: DataFrame) -> DataFrame:
