@@ -225,7 +225,8 @@ def cost_schedule(projected: DataFrame) -> DataFrame:
 
 def cost_line_items(projected: DataFrame) -> DataFrame:
     """A row for each line item with its place from 0."""
-    return projected.select("school_name", "scenario", F.posexplode_outer("line_items").alias("place", "i"))  # outer as in cost_schedule.select("school_name", "scenario", "place", "i.*")
+    # outer as in cost_schedule
+    return projected.select("school_name", "scenario", F.posexplode_outer("line_items").alias("place", "i")).select("school_name", "scenario", "place", "i.*")
 
 
 def cost_summary(projected: DataFrame) -> DataFrame:

@@ -2,21 +2,19 @@
 
 A record belongs to the first catalogue row where one name, in lower case,
 contains the other. No pair of unrelated rows is ever formed: whatever holds a
-name holds that name's inner words as whole words, or, for names too short to
-have such words, its first characters. Rows meet by hashes of these, and the
-containment is then tested.
+name holds, at a word's start, what follows the name's first gap between words,
+or, for names without such a gap, what the name begins with. Rows meet by some
+characters of these, and the containment is then tested.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS, CHARACTERS = 4, 12
-
-
-def _words(name: Column) -> Column:
-    return F.filter(F.split(name, "[^0-9\\p{L}]+"), lambda w: w != "")
+#: Lengths that a key may have, in characters; the longest that a name has counts.
+LENGTHS = (24, 12, 6, 3, 1)
+_WORD = "0-9\\p{L}"
 
 
 def _prepared(df: DataFrame, pos: str, name: str) -> DataFrame:
@@ -25,38 +23,30 @@ def _prepared(df: DataFrame, pos: str, name: str) -> DataFrame:
 
 
 def _needles(rows: DataFrame) -> DataFrame:
-    """A key of each name that whatever contains it must have: its second to fifth words, if a sixth follows, else its start."""
-    words = _words(F.col("name"))
-    inner = F.xxhash64(F.lit("words"), F.concat_ws(" ", F.slice(words, 2, WORDS)))
-    start = F.xxhash64(F.lit("start"), F.substring("name", 1, CHARACTERS))
-    wordy = F.size(words) >= WORDS + 2
-    return rows.where("name <> ''").withColumn("key", F.when(wordy, inner).otherwise(start)).withColumn("n", F.when(~wordy, F.least(F.length("name"), F.lit(CHARACTERS))))
-
-
-def _runs(items: Column, n: int, between: str) -> Column:
-    """Every run of ``n`` neighbours of an array, joined; the array is made once for all runs."""
-    rows = F.arrays_zip(*(F.slice(items, i + 1, F.greatest(F.size(items) - n + 1, F.lit(0))) for i in range(n)))
-    return F.transform(rows, lambda x: F.concat_ws(between, *(x[str(i)] for i in range(n))))
-
-
-def _holders(rows: DataFrame, lengths: list[int], wordy: bool) -> DataFrame:
-    """Every key that a name contained in each row could have, given the lengths of short names' starts."""
-    keys = []
-    if wordy:
-        keys.append(F.transform(_runs(_words(F.col("name")), WORDS, " "), lambda x: F.xxhash64(F.lit("words"), x)))
-    for n in lengths:
-        keys.append(F.transform(_runs(F.split("name", ""), n, ""), lambda x: F.xxhash64(F.lit("start"), x)))
+    """``key`` of each name that whatever contains it must have, its length ``n``, and whether it stands at a word's start (``inner``)."""
+    rows = rows.where("name <> ''").withColumn("rest", F.regexp_extract("name", f"(?s)[^{_WORD}]([{_WORD}].*)", 1))
+    rows = rows.withColumn("inner", F.col("rest") != "").withColumn("rest", F.when(F.col("inner"), F.col("rest")).otherwise(F.col("name")))
+    n = F.coalesce(*(F.when(F.length("rest") >= n, n) for n in LENGTHS))
+    return rows.withColumn("n", n).withColumn("key", F.expr("left(rest, n)")).drop("rest")
+
+
+def _holders(rows: DataFrame, kinds: list[tuple[bool, int]]) -> DataFrame:
+    """``pos`` and every ``key`` of these kinds (``inner``, ``n``) that a name contained in each row could have."""
+    start = f"(?<![{_WORD}])(?=[{_WORD}])"
+    keys = [F.regexp_extract_all("name", F.lit(f"(?s){start if inner else ''}(?=(.{{{n}}}))"), F.lit(1)) for inner, n in kinds]
     if not keys:
-        return rows.withColumn("key", F.lit(None).cast("long")).limit(0)
-    return rows.withColumn("keys", F.array_distinct(F.concat(*keys))).withColumn("key", F.explode("keys")).drop("keys")
+        return rows.select("pos", F.lit(None).cast("string").alias("key")).limit(0)
+    # outer: a plain explode would make the keys twice, once to filter on their number
+    return rows.select("pos", F.explode_outer(F.array_distinct(F.concat(*keys))).alias("key"))
 
 
 def _contained(holders: DataFrame, needles: DataFrame, holder: str, needle: str) -> DataFrame:
-    sizes = needles.groupBy("n").agg(F.count("*")).collect()  # a row for each length up to CHARACTERS, and one for wordy names
-    lengths = sorted(r.n for r in sizes if r.n is not None)
-    right = needles.select(F.col("pos").alias(needle), F.col("name").alias("inside"), "key")
-    left = _holders(holders, lengths, any(r.n is None for r in sizes)).select(F.col("pos").alias(holder), F.col("name").alias("outside"), "key")
-    return left.join(right, "key").where(F.contains("outside", "inside")).select(holder, needle)
+    kinds = sorted((r["inner"], r["n"]) for r in needles.select("inner", "n").distinct().collect())  # at most twice the lengths
+    keys = _holders(holders, kinds).select(F.col("pos").alias(holder), "key")
+    pairs = keys.join(needles.select(F.col("pos").alias(needle), "key"), "key").select(holder, needle).distinct()  # positions alone: names may be long
+    inside = needles.select(F.col("pos").alias(needle), F.col("name").alias("inside"))
+    outside = holders.select(F.col("pos").alias(holder), F.col("name").alias("outside"))
+    return pairs.join(inside, needle).join(outside, holder).where(F.contains("outside", "inside")).select(holder, needle)
 
 
 def first_containment(records: DataFrame, catalogue: DataFrame, record_pos: str, record_name: str, seed_pos: str, seed_name: str) -> DataFrame:
