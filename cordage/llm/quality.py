@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import chunks, code_points, runs
+from .shared import written
+from .text import chunks, code_points, give_back, runs
 
 BITS = 18
 _K = [np.uint32(k) for k in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
@@ -88,20 +89,27 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(found) + self.shift, -30, 30))))
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], sign: np.ndarray, cost: float, epochs: int, seed: int) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear model of least hinge loss; the bias is a feature of value one."""
+def dual_coordinate_descent(
+    flat: np.ndarray, values: np.ndarray, cuts: np.ndarray, use: np.ndarray, sign: np.ndarray, cost: float, epochs: int, seed: int
+) -> tuple[np.ndarray, float]:
+    """Weights and bias of the linear model of least hinge loss on rows ``use``; the bias is a feature of value one.
+
+    Row ``i`` has the features ``flat[cuts[i]:cuts[i + 1]]`` with ``values`` at the same places.
+    """
     w, bias = np.zeros(1 << BITS), 0.0
-    alpha = np.zeros(len(rows))
-    diagonal = np.array([float(v @ v) + 1.0 for v in values])
+    alpha = np.zeros(len(sign))
+    rows = [slice(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    diagonal = np.array([float(values[r] @ values[r]) + 1.0 for r in rows])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(rows)).tolist():
-            gradient = sign[i] * (float(w[rows[i]] @ values[i]) + bias) - 1.0
+        for i in rng.permutation(use).tolist():
+            at, v = flat[rows[i]], values[rows[i]]
+            gradient = sign[i] * (float(w[at] @ v) + bias) - 1.0
             new = min(max(alpha[i] - gradient / diagonal[i], 0.0), cost)
             step = (new - alpha[i]) * sign[i]
             if step:
-                w[rows[i]] += step * values[i]
+                w[at] += step * v
                 bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
@@ -123,28 +131,31 @@ def sigmoid_fit(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(max(theta[0], 1e-3)), float(theta[1])
 
 
-def fit(found: list[np.ndarray], good: np.ndarray, cost: float = 1.0, smooth: float = 1.0, epochs: int = 30, seed: int = 7) -> Model:
-    """A model from the n-grams of labelled texts. Every fifth row sets the sigmoid alone."""
-    held = np.arange(len(found)) % 5 == 4
+def log_ratios(flat: np.ndarray, cuts: np.ndarray, good: np.ndarray, use: np.ndarray, smooth: float) -> np.ndarray:
+    """For each n-gram the log of its share in good rows over that in bad rows, of rows ``use``."""
+    counts = np.full((2, 1 << BITS), smooth)
+    for i in use.tolist():
+        counts[int(good[i]), flat[cuts[i] : cuts[i + 1]]] += 1  # the n-grams of a row are distinct
+    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+
+
+def fit(flat: np.ndarray, cuts: np.ndarray, good: np.ndarray, cost: float = 1.0, smooth: float = 1.0, epochs: int = 30, seed: int = 7) -> Model:
+    """A model from the n-grams of labelled texts, those of text ``i`` at ``flat[cuts[i]:cuts[i + 1]]``. Every fifth row sets the sigmoid alone."""
+    held = np.arange(len(good)) % 5 == 4
     use = np.flatnonzero(~held)
     if len({*good[use].tolist()}) < 2:  # one class, or no rows: nothing to tell apart
         share = (float(good.sum()) + 1) / (len(good) + 2)
         zero = np.zeros(1 << BITS)
         return Model(zero, zero, 0.0, 1.0, float(np.log(share / (1 - share))))
-    counts = {}
-    for value in (True, False):
-        rows = [found[i] for i in use if good[i] == value]
-        counts[value] = smooth + np.bincount(np.concatenate(rows), minlength=1 << BITS)
-    ratio = np.log(counts[True] / counts[True].sum()) - np.log(counts[False] / counts[False].sum())
-    values = []
-    for f in found:
-        v = ratio[f]
+    ratio = log_ratios(flat, cuts, good, use, smooth)
+    values = np.empty(len(flat), dtype=np.float32)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        v = ratio[flat[a:b]]
         norm = float(v @ v) ** 0.5
-        values.append(v / norm if norm > 0 else v)
-    sign = np.where(good, 1.0, -1.0)
-    w, bias = dual_coordinate_descent([found[i] for i in use], [values[i] for i in use], sign[use], cost, epochs, seed)
-    margins = np.array([float(w[f] @ v) + bias for f, v in zip(found, values)])
-    judge = held if len({*good[held].tolist()}) == 2 else np.ones(len(found), dtype=bool)
+        values[a:b] = v / norm if norm > 0 else v
+    w, bias = dual_coordinate_descent(flat, values, cuts, use, np.where(good, 1.0, -1.0), cost, epochs, seed)
+    margins = np.array([float(w[flat[a:b]] @ values[a:b]) + bias for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())])
+    judge = held if len({*good[held].tolist()}) == 2 else np.ones(len(good), dtype=bool)
     slope, shift = sigmoid_fit(margins[judge], good[judge])
     return Model((w * ratio).astype(np.float32), (ratio * ratio).astype(np.float32), bias, slope, shift)
 
@@ -161,19 +172,38 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, **parameters) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, grams: int = 1 << 24, **parameters) -> Model:
     """Fit on at most ``rows`` labelled documents that are not held out, those of least id hash.
 
     ``labels`` has ``doc_id`` and ``quality`` (1 good, 0 bad; other values and
-    nulls are left out; an id with both values is left out). ``rows`` bounds what the driver receives.
+    nulls are left out; an id with both values is left out). Of documents that
+    repeat an id one counts. ``rows`` and ``grams``, the n-grams of all of them
+    together, bound what the driver receives: if these are more, those of
+    greatest id hash are left out.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("id"))
     known = known.agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").select("id", F.col("quality").cast("int"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(known), "id")  # at most ``rows``
-    table = texts.mapInArrow(_featurizer, "id long, quality int, found binary").toArrow().sort_by([("id", "ascending"), ("found", "ascending")])
-    found = [np.frombuffer(f, dtype="<u4") for f in table["found"].to_pylist()]
-    return fit(found, table["quality"].to_numpy() == 1, **parameters)
+    found = texts.mapInArrow(_featurizer, "id long, quality int, found binary").groupBy("id", "quality").agg(F.min("found").alias("found"))
+    found = written(found.withColumn("order", F.xxhash64("id")), "grams")
+    sizes = found.select("order", F.length("found").alias("n")).orderBy("order").toArrow()
+    most = np.flatnonzero(np.cumsum(sizes["n"].to_numpy()) > 4 * grams)
+    if len(most):
+        found = found.where(F.col("order") < F.lit(sizes["order"][int(most[0])].as_py()))
+    model = _fitted(found, parameters)
+    give_back()
+    return model
+
+
+def _fitted(found: DataFrame, parameters: dict) -> Model:
+    table = found.orderBy("order", "id").select("quality", "found").toArrow().combine_chunks()
+    if not table.num_rows:
+        return fit(np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool), **parameters)
+    bytes_ = table["found"].chunk(0)
+    cuts = np.frombuffer(bytes_.buffers()[1], dtype=np.int32)[bytes_.offset : bytes_.offset + len(bytes_) + 1] // 4
+    flat = np.frombuffer(bytes_.buffers()[2], dtype="<u4") if cuts[-1] else np.zeros(0, np.uint32)
+    return fit(flat, cuts.astype(np.int64), table["quality"].to_numpy() == 1, **parameters)
 
 
 def with_score(docs: DataFrame, model: Model, to: str = "score", least: float | None = None, drop_text: bool = False) -> DataFrame:

@@ -38,8 +38,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["up"], _tables["down"]
 
 
-def _give_back() -> None:
-    """Return freed memory to the system: a worker lives on after its task, beside the executor's heap."""
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside the executor's heap, and the driver after a fit."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim:
@@ -59,7 +59,7 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, list[str
     if run:
         yield at, run
     del run
-    _give_back()
+    give_back()
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
