@@ -166,15 +166,23 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     return out.withColumn("valid", (F.size("errors") == 0) & (F.col("status") != "orphan_result"))
 
 
+LINKED = "conv_id long, call_id string, turn long, result_turn long, status string, level int, n_calls long, n_results long, valid boolean, message string"
+
+
+def _turn_columns(messages: DataFrame) -> DataFrame:
+    return messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+
+
 def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain conversations (``conv_id``, ``turn``, ``role``, ``text``).
 
     A user turn calls the tool ``reply`` under its turn as id, and the assistant
     turn right after it is the result. A call waits for the last call before it
-    whose answer stands between them, which is known from the turns alone. Turns
-    of other roles, or of none, are left out.
+    whose answer stands between them, which is known from the turns alone. All
+    other turns are those of ``other_turns``. Repeated turns are repeated calls
+    or results; a null text is a null argument or content; other columns are ignored.
     """
-    rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = _turn_columns(messages).where("conv_id is not null and turn is not null")
     asked = rows.where("role = 'user'")
     text = F.to_json(F.struct(F.col("text").alias("text")), {"ignoreNullFields": "false"})
     # the turn two before it, if that asked: an equality that the links settle, so no order within a conversation is needed
@@ -183,4 +191,31 @@ def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, answers
 
 
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        messages = [canonical({k: v for k, v in (("content", r["text"]), ("role", r["role"]), ("status", "message")) if v is not None}) for r in batch.to_pylist()]
+        n = batch.num_rows
+        none, zero = pa.nulls(n, pa.string()), pa.array([0] * n, pa.int64())
+        columns = [batch.column("conv_id"), none, batch.column("turn"), pa.nulls(n, pa.int64()), pa.array(["message"] * n), pa.array([0] * n, pa.int32()), zero, zero, pa.array([True] * n), pa.array(messages, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in LINKED.split(", ")])
+
+
+def other_turns(messages: DataFrame) -> DataFrame:
+    """A row for each turn that ``turns_as_calls`` does not take, in the columns of the links: of another role or of none, or without a conversation or turn.
+
+    ``status`` is ``message``, ``level`` 0, ``call_id`` null, and ``message`` the
+    canonical JSON of role and content, without those that are null. Repeated
+    turns give a row each; no rows give none.
+    """
+    rows = _turn_columns(messages).where("conv_id is null or turn is null or role is null or role not in ('user', 'assistant')")
+    return rows.mapInArrow(_plain, LINKED)
+
+
+def link_turns(messages: DataFrame) -> DataFrame:
+    """Every turn of plain conversations: calls with their results, results without a call, and other turns, as ``LINKED``."""
+    calls, answers = turns_as_calls(messages)
+    linked = link_tool_calls(calls, answers, REPLY)
+    return linked.select(*(f.split()[0] for f in LINKED.split(", "))).unionByName(other_turns(messages))
+
+
 REPLY = {"reply": {"type": "object", "required": ["text"], "properties": {"text": {"type": "string", "minLength": 1}}, "additionalProperties": False}}

@@ -40,9 +40,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat.turns_as_calls(_table(spark, sf_dir, "conversations"))
-    linked = chat.link_tool_calls(calls, results, chat.REPLY)
-    return linked.select("conv_id", "call_id", "turn", "result_turn", "status", "level", "n_calls", "n_results", "valid", "message")
+    return chat.link_turns(_table(spark, sf_dir, "conversations"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +102,22 @@ SELECT dw.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, dw.doc_id = comp
 FROM dw LEFT JOIN n USING (doc_id) JOIN root ON root.x = dw.doc_id
 """
 
+_OP5 = """
+WITH t AS (SELECT cast(conv_id AS BIGINT) AS conv_id, cast(turn AS BIGINT) AS turn, role, text, '{"text":' || coalesce(cast(to_json(text) AS VARCHAR), 'null') || '}' AS args,
+           coalesce(conv_id IS NOT NULL AND turn IS NOT NULL AND role IN ('user', 'assistant'), false) AS linkable FROM conversations),
+c AS (SELECT conv_id, turn, min(args) AS args, count(*) AS n_calls FROM t WHERE linkable AND role = 'user' GROUP BY ALL),
+chain AS (SELECT *, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM c),
+placed AS (SELECT *, cast(row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS INTEGER) AS level FROM chain),
+r AS (SELECT conv_id, turn - 1 AS turn, turn AS result_turn, CASE WHEN count(text) = count(*) THEN min(text) END AS content, count(*) AS n_results FROM t WHERE linkable AND role = 'assistant' GROUP BY conv_id, turn),
+j AS (SELECT coalesce(p.conv_id, r.conv_id) AS conv_id, coalesce(p.turn, r.turn) AS id, p.turn, r.result_turn, p.level, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results, args, content,
+      CASE WHEN p.turn IS NULL THEN 'orphan_result' WHEN r.result_turn IS NULL THEN 'no_result' ELSE 'linked' END AS status FROM placed p FULL JOIN r ON p.conv_id = r.conv_id AND p.turn = r.turn)
+SELECT conv_id, cast(id AS VARCHAR) AS call_id, turn, result_turn, status, level, n_calls, n_results, coalesce(args NOT IN ('{"text":null}', '{"text":""}'), false) AS valid,
+  '{' || CASE WHEN turn IS NULL THEN '' ELSE '"after":[' || CASE WHEN turn >= 2 THEN '"' || (turn - 2) || '"' ELSE '' END || '],"arguments":' || args || ',' END || CASE WHEN content IS NULL THEN '' ELSE '"content":' || to_json(content) || ',' END
+  || '"id":"' || id || '",' || CASE WHEN turn IS NULL THEN '' ELSE '"name":"reply",' END || '"status":"' || status || '"}' AS message FROM j
+UNION ALL SELECT conv_id, NULL, turn, NULL, 'message', 0, 0, 0, true,
+  '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || to_json(text) || ',' END || CASE WHEN role IS NULL THEN '' ELSE '"role":' || to_json(role) || ',' END || '"status":"message"}' FROM t WHERE NOT linkable
+"""
+
 _OP9 = """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: cast(x AS DOUBLE)) AS e FROM embeddings),
 ok AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v
@@ -121,5 +135,5 @@ FROM v JOIN root ON root.x = v.vec_id LEFT JOIN deg ON deg.x = v.vec_id
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    known = {"op1_decontamination": _OP1, "op2_near_duplicates": _OP2, "op9_near_duplicate_vectors": _OP9, "pipeline": corpus_pipeline.ORACLE_SQL}
+    known = {"op1_decontamination": _OP1, "op2_near_duplicates": _OP2, "op5_tool_calls": _OP5, "op9_near_duplicate_vectors": _OP9, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in known.items() if v is not None}

@@ -367,16 +367,50 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in want.collect()}
 
 
-@pytest.mark.parametrize("name", ["op1_decontamination", "op2_near_duplicates", "op9_near_duplicate_vectors"])
+@pytest.mark.parametrize("name", ["op1_decontamination", "op2_near_duplicates", "op5_tool_calls", "op9_near_duplicate_vectors"])
 def test_sql(spark, sf_dir, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         db.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     found = queries.queries()[name](spark, sf_dir)
     columns = ", ".join(found.columns)
-    assert sorted(map(tuple, found.collect())) == sorted(db.execute(f"select {columns} from ({queries.oracle_sql()[name]})").fetchall())
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(db.execute(f"select {columns} from ({queries.oracle_sql()[name]})").fetchall(), key=repr)
+
+
+def turns_by_force(rows):
+    """Every turn of plain conversations, one conversation after the other."""
+    out, dump = [], lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    sound = [r for r in rows if r[0] is not None and r[1] is not None and r[2] in ("user", "assistant")]
+    out += [(c, None, t, None, "message", 0, 0, 0, True, dump({k: v for k, v in (("content", x), ("role", role), ("status", "message")) if v is not None})) for c, t, role, x in rows if (c, t, role, x) not in sound]
+    for conv in {r[0] for r in sound}:
+        asked, said = {}, {}
+        for _, turn, role, text in (r for r in sound if r[0] == conv):
+            (asked if role == "user" else said).setdefault(turn if role == "user" else turn - 1, []).append(text)
+        level = {}
+        for turn in sorted(asked):
+            level[turn] = level[turn - 2] + 1 if turn >= 2 and turn - 2 in level else 0
+        for turn in {*asked, *said}:
+            content = {"content": min(said[turn], key=lambda x: (x is not None, x))} if turn in said else {}
+            content = {k: v for k, v in content.items() if v is not None}
+            if turn in asked:
+                text = min(asked[turn], key=lambda x: dump({"text": x}))
+                status = "linked" if turn in said else "no_result"
+                message = {"id": str(turn), "status": status, "name": "reply", "arguments": {"text": text}, "after": [str(turn - 2)] if turn >= 2 else []} | content
+                out.append((conv, str(turn), turn, turn + 1 if turn in said else None, status, level[turn], len(asked[turn]), len(said.get(turn, [])), bool(text), dump(message)))
+            else:
+                out.append((conv, str(turn), None, turn + 1, "orphan_result", None, 0, len(said[turn]), False, dump({"id": str(turn), "status": "orphan_result"} | content)))
+    return out
+
+
+def test_turns_by_force(spark, sf_dir):
+    odd = [(1, 0, "system", "be kind"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "user", ""), (1, 5, "user", None), (1, 6, "assistant", None), (1, 7, "tool", "x"), (1, 8, "user", "q"), (1, 8, "user", "p"), (1, 9, "assistant", "z"), (1, 9, "assistant", "y")]
+    odd += [(2, 0, None, "no role"), (None, 0, "user", "no talk"), (2, None, "user", "no turn"), (2, 4, "assistant", "alone\n\"so\""), (2, 4, "system", None), (3, 0, "system", "s"), (3, 0, "system", "s")]
+    plain = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    for rows in (odd, plain, []):
+        table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("status", F.lit("clash"))
+        assert sorted(map(tuple, chat.link_turns(table).collect()), key=repr) == sorted(turns_by_force(rows), key=repr)
 
 
 def test_encoder_gives_the_library_ids_of_odd_texts():
