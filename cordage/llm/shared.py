@@ -60,12 +60,12 @@ def discard(*tables: DataFrame) -> None:
 def bitmap(keys: DataFrame, column: str, most: int = 1 << 28) -> np.ndarray:
     """A bit for each residue that ``column`` (long) takes modulo the number of bits.
 
-    There are 16 bits for each row of ``keys``, in a power of two, but no more
+    There are 2**24 bits, or from 64 to 128 for each row of ``keys`` if those are more, but no more
     than ``most``: 32 MB by default, which can be sent to every task. It only
     lets a task drop rows that cannot join; the exact join follows. Over
     ``most / 4`` keys it drops few rows.
     """
-    bits = min(most, 1 << max(16, (16 * keys.count()).bit_length()))
+    bits = min(most, 1 << max(24, (64 * keys.count()).bit_length()))
     at = F.col(column).bitwiseAND(F.lit(bits - 1).cast("long"))
     words = (
         keys.where(F.col(column).isNotNull())
