@@ -34,7 +34,9 @@ def _rows(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _keys(passes: int, seed: int):
+def _keys(passes: int, window: int, seed: int):
+    """A row for each vector and pass; of labels that a window holds whole, for the first pass alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -47,12 +49,11 @@ def _keys(passes: int, seed: int):
                     some = batch.take(at.slice(begin, 4096))
                     bits = _rows(some.column("embedding").take(pa.array(range(some.num_rows))), dim).astype(np.float32) @ planes[dim] > 0
                     keys = np.packbits(bits.reshape(some.num_rows, passes, 64), axis=2).view(">u8")[:, :, 0].astype(np.uint64)
+                    large = pa.array(some.column("n").to_numpy() > window)
                     for p in range(passes):
-                        signed = (keys[:, p] ^ np.uint64(1 << 63)).astype(np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(some.num_rows, p), pa.int32()), some.column("label"), some.column("dim"), pa.array(signed), some.column("cid")],
-                            names=["pass", "label", "dim", "key", "cid"],
-                        )
+                        signed = pa.array((keys[:, p] ^ np.uint64(1 << 63)).astype(np.int64))
+                        rows = [pa.array(np.full(some.num_rows, p), pa.int32()), some.column("label"), some.column("dim"), signed, some.column("cid")]
+                        yield pa.RecordBatch.from_arrays(rows if p == 0 else [r.filter(large) for r in rows], names=["pass", "label", "dim", "key", "cid"])
 
     return run
 
@@ -182,17 +183,16 @@ def _exact_edges(classes: DataFrame, least: float, window: int, block: int) -> D
     and a row for each cell reach the driver. A cell of any size is cut in blocks.
     """
     key, named = ["label", "dim"], lambda r: (r["label"], r["dim"])
-    sizes = classes.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > window)
-    rows = classes.select(*key, "cid", "embedding", F.xxhash64("cid").alias("salt")).join(F.broadcast(sizes), key)
+    rows = classes.where(F.col("n") > window).select(*key, "cid", "embedding", F.xxhash64("cid").alias("salt"), "n")
     whole = rows.where(F.col("n") <= block).select(*key, "cid", "embedding", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
     large = rows.where(F.col("n") > block)
 
     wanted = F.least(F.ceil(F.col("n") / block), F.lit(1024))
-    drawn: dict[tuple[int, int], list] = {named(r): [] for r in sizes.where(F.col("n") > block).select(*key).toArrow().to_pylist()}
+    drawn: dict[tuple[int, int], list] = {named(r): [] for r in large.select(*key).distinct().toArrow().to_pylist()}
     for r in large.where(F.pmod(F.xxhash64("salt"), F.col("n")) < wanted).select(*key, "embedding").toArrow().to_pylist():
         drawn[named(r)].append(r["embedding"])
     if not drawn:
-        return whole.groupBy(*key, "i", "j").applyInPandas(_block_edges(least), "a long, b long")
+        return _dealt(whole, *key, "i", "j").groupBy(*key, "i", "j").applyInPandas(_block_edges(least), "a long, b long")
     pivots = {k: _rows(pd.Series([np.array(v) for v in vs]), k[1]) if vs else np.eye(1, k[1]) for k, vs in drawn.items()}
 
     kept = large.select(*key, "cid", "embedding", "salt")
@@ -206,7 +206,12 @@ def _exact_edges(classes: DataFrame, least: float, window: int, block: int) -> D
     schema = T.StructType([*(kept.schema[c] for c in (*key, "cid")), T.StructField("embedding", kind), T.StructField("own", T.IntegerType()), T.StructField("others", T.ArrayType(T.IntegerType()))])
     met = homes.mapInArrow(_meetings(pivots, cells, least), schema).withColumn("other", F.explode("others"))
     met = met.select(*key, "cid", "embedding", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return whole.union(met).groupBy(*key, "i", "j").applyInPandas(_block_edges(least), "a long, b long")
+    return _dealt(whole.union(met), *key, "i", "j").groupBy(*key, "i", "j").applyInPandas(_block_edges(least), "a long, b long")
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` over a fixed number of tasks: their work follows the square of a block, so they are not to be merged by bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def _block_links(least: float):
@@ -230,7 +235,7 @@ def _block_links(least: float):
 
 
 def near_duplicate_vectors(
-    vectors: DataFrame, least: float = 0.98, passes: int = 16, window: int = 512, block: int = 2048, seed: int = 7
+    vectors: DataFrame, least: float = 0.98, passes: int = 4, window: int = 512, block: int = 2048, seed: int = 7
 ) -> DataFrame:
     """Groups of vectors of one label with a cosine of ``least`` or more.
 
@@ -243,8 +248,9 @@ def near_duplicate_vectors(
     row; unlinked rows are their own component. Equal vectors of a label are
     one class. Other columns are ignored.
 
-    Counts and components are exact. ``passes`` and ``window`` meet the pairs of
-    labels of at most ``window`` vectors in full; a larger label is compared in
+    Counts and components are exact. One pass meets the pairs of
+    labels of at most ``window`` vectors in full; a larger label goes through all
+    ``passes``, which join most of what is linked, and is then compared in
     blocks of ``block``, which takes a number of comparisons that grows with the
     square of the label where its vectors are too near each other, or too evenly
     spread, for angles to pivots to tell blocks apart.
@@ -255,10 +261,11 @@ def near_duplicate_vectors(
     rows = rows.withColumn("sound", F.coalesce(F.expr(sound), F.lit(False)))
     key = ["label", "embedding"]
     classes = written(
-        rows.where("sound").groupBy(*key).agg(F.min("cid").alias("cid"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")), "vectors"
+        rows.where("sound").groupBy(*key).agg(F.min("cid").alias("cid"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")), "classes"
     )
+    classes = written(classes.join(classes.groupBy("label", "dim").agg(F.count("*").alias("n")), ["label", "dim"]), "vectors")
     order = ["pass", "label", "dim", "key", "cid"]
-    keys = written(classes.select("label", "dim", "cid", "embedding").mapInArrow(_keys(passes, seed), KEY_SCHEMA), "keys")
+    keys = written(classes.select("label", "dim", "cid", "embedding", "n").mapInArrow(_keys(passes, window, seed), KEY_SCHEMA), "keys")
     placed = written(
         keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, "part int, place long, pass int, label int, dim int, cid long"), "order"
     )
@@ -268,18 +275,18 @@ def near_duplicate_vectors(
     at = f"cast(rank div {block} as long)"
     shown = f"if(rank % {block} < {window} and rank >= {block}, array({at}, {at} - 1), array({at}))"
     blocks = ranked.select("pass", "label", "dim", "cid", "rank", F.explode(F.expr(shown)).alias("block")).join(classes.select("cid", "embedding"), "cid")
-    edges = blocks.groupBy("block").applyInPandas(_window_links(window, least), "a long, b long")
+    edges = _dealt(blocks, "block").groupBy("block").applyInPandas(_window_links(window, least), "a long, b long")
     edges = edges.union(_exact_edges(classes, least, window, block)).distinct()
     roots = written(connected_components(edges), "roots")
 
-    grouped = classes.join(roots, F.col("cid") == F.col("node")).drop("node")
+    grouped = classes.drop("n").join(roots, F.col("cid") == F.col("node")).drop("node")
     parts = roots.groupBy("root").count().select("root", F.expr(f"cast(ceil(count / {block}.0) as int)").alias("parts"))
     grouped = grouped.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     pair = ["root", "i", "j"]
     columns = [*pair, "side", "cid", "copies", "dim", "embedding"]
     left = grouped.withColumn("i", F.col("own")).withColumn("j", F.explode(F.expr("sequence(own, parts - 1)"))).withColumn("side", F.lit(0))
     right = grouped.where("own > 0").withColumn("j", F.col("own")).withColumn("i", F.explode(F.expr("sequence(0, own - 1)"))).withColumn("side", F.lit(1))
-    linked = left.select(*columns).union(right.select(*columns)).groupBy(*pair).applyInPandas(_block_links(least), "cid long, links long")
+    linked = _dealt(left.select(*columns).union(right.select(*columns)), *pair).groupBy(*pair).applyInPandas(_block_links(least), "cid long, links long")
     links = linked.groupBy("cid").agg(F.sum("links").alias("links"))
 
     facts = classes.join(links, "cid", "left").join(roots, F.col("cid") == F.col("node"), "left")
