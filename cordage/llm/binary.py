@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encode import encode_column
-from .shared import shared_folder
+from .shared import bases, shared_folder
 
 SCHEMA = "part int, doc_id long, part_start long, n_tokens long, tokens array<int>"
 FILE_OPTIONS = {
@@ -67,19 +67,21 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | No
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id``, ``start`` (ids of all documents before it), ``n_tokens`` and ``tokens`` from the files.
 
-    ``start`` adds to the place within a file the ids of the files before it: a
-    sum over as many rows as there are files.
+    ``start`` adds to the place within a file the ids of the files before it.
+    There is a row for each written one, repeated and null ids included; a
+    folder without files gives none.
     """
     rows = spark.read.schema(SCHEMA).orc(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(F.col("part").alias("file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    joined = rows.join(F.broadcast(bases), F.col("part") == F.col("file"))  # a row for each file
+    totals = rows.groupBy(F.col("part").alias("file")).agg(F.sum("n_tokens").alias("n")).withColumn("all", F.lit(0))  # a row for each file
+    joined = rows.join(bases(totals, "n", "all", "file"), F.col("part") == F.col("file"))
     return joined.select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "tokens")
 
 
 def with_crc32(rows: DataFrame, column: str = "tokens", to: str = "ids_crc32") -> DataFrame:
-    """``rows`` with the unsigned crc32 of an ``array<int>`` column as little-endian 32-bit integers in its place."""
+    """``rows`` with the unsigned crc32 of an ``array<int>`` column as little-endian 32-bit integers in its place.
+
+    An empty or null array has the sum 0; all rows and other columns stay.
+    """
     kept = [c for c in rows.columns if c != column]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != column) + f", `{to}` long"
 
@@ -94,7 +96,10 @@ def with_crc32(rows: DataFrame, column: str = "tokens", to: str = "ids_crc32") -
 
 
 def token_file_digest(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> DataFrame:
-    """Write the files, read them back, and return a row for each document."""
+    """Write the files, read them back, and return ``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32`` of each document.
+
+    Null, empty and repeated texts and ids are as in ``write_token_ids``.
+    """
     import uuid
 
     path = path or f"{shared_folder(docs.sparkSession)}/token-ids-{uuid.uuid4().hex}"

@@ -13,12 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .binary import with_crc32
 from .encode import encode_column
-from .shared import written
+from .shared import bases, written
 
 SCHEMA = "part int, doc_id long, doc_tokens long, start long, length long, rank long, ids array<int>"
 
@@ -81,13 +81,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = None, l
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     pieces = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_packer(tokenizer, end_id, longest), SCHEMA), "pieces", compression="zstd")
-    before = Window.orderBy(F.desc("size"), "of").rowsBetween(Window.unboundedPreceding, -1)
-    counts = pieces.groupBy(F.col("part").alias("of"), F.col("length").alias("size")).count()
-    bases = counts.select("of", "size", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    joined = pieces.join(F.broadcast(bases), (F.col("part") == F.col("of")) & (F.col("length") == F.col("size")))  # at most one row for each length and partition
+    counts = pieces.groupBy(F.col("part").alias("of"), F.col("length").alias("size")).count()  # at most one row for each length and partition
+    joined = pieces.join(bases(counts, "count", "size", "of"), (F.col("part") == F.col("of")) & (F.col("length") == F.col("size")))
     return joined.select("doc_id", "doc_tokens", "start", "length", (F.col("base") + F.col("rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")
 
 
 def packed_digest(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048) -> DataFrame:
-    """The pieces with the crc32 of their ids."""
+    """The pieces of ``pack_documents`` with ``ids_crc32``, the crc32 of their ids, in place of ``ids``; all else as there."""
     return with_crc32(pack_documents(docs, tokenizer, end_id, longest), "ids")

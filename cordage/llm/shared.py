@@ -9,7 +9,7 @@ import uuid
 import weakref
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
@@ -85,6 +85,23 @@ def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
+def bases(counts: DataFrame, amount: str, kind: str, part: str, group: int = 1024) -> DataFrame:
+    """``counts`` with ``base``: the sum of ``amount`` over all rows of greater ``kind``, and of equal kind and smaller ``part``.
+
+    Both are whole numbers, and a pair of them has one row. Sums go over groups
+    of ``group`` parts first, so no task holds all rows. The result comes with a
+    broadcast hint only if it has no more than a million rows; a larger one joins as Spark sees fit.
+    """
+    cut = counts.withColumn("__group", F.expr(f"{part} div {group}"))
+    before = lambda w: F.coalesce(F.sum(amount).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = cut.groupBy(kind, "__group").agg(F.sum(amount).alias(amount))
+    outer = sums.select(F.col(kind).alias("__kind"), F.col("__group").alias("__of"), before(Window.orderBy(F.desc(kind), "__group")).alias("__outer"))
+    inner = cut.withColumn("__inner", before(Window.partitionBy(kind, "__group").orderBy(part)))
+    joined = inner.join(outer, (F.col(kind) == F.col("__kind")) & (F.col("__group") == F.col("__of")))
+    out = written(joined.select(*counts.columns, (F.col("__outer") + F.col("__inner")).alias("base")), "bases")
+    return F.broadcast(out) if out.count() <= 1 << 20 else out
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
