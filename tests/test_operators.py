@@ -117,7 +117,7 @@ def test_upsert(spark):
 def test_links(spark):
     html = '<a href="/fees">Fees</a><a class="x" href="/fees">again</a><a href="mailto:a@b">fee</a><a href="http://o.org/Policy.PDF">  Safety policy </a><iframe src="http://o.org/f.pdf"></iframe> http://o.org/raw-fee.pdf'
     pages = spark.createDataFrame([(1, "https://s.th/a/b?x=1", html), (2, "http://t", None)], "page_id long, url string, html string")
-    found = links.link_candidates(links.anchors(pages), {"fee": links.FEE_WORDS, "safety": links.SAFETY_WORDS})
+    found = links.link_candidates(pages, {"fee": links.FEE_WORDS, "safety": links.SAFETY_WORDS})
     assert rows_of(found) == [(1, "fee", 1, "https://s.th/fees", "Fees"), (1, "safety", 1, "http://o.org/Policy.PDF", "Safety policy")]
     scored = links.scored_documents(pages, most=9)
     assert [(r.href, r.score) for r in scored.orderBy("place").collect()] == [("http://o.org/f.pdf", 3), ("http://o.org/Policy.PDF", 2), ("http://o.org/raw-fee.pdf", 1)]
@@ -179,3 +179,25 @@ def test_blank_pages_of_documents_leave_no_line(spark):
 def test_radius(spark):
     df = spark.createDataFrame([(13.7306, 100.5688), (14.5, 100.5688), (None, 1.0)], "lat double, lng double")
     assert [r.near for r in df.select(show.within(F.col("lat"), F.col("lng"), 13.7306, 100.5688).alias("near")).collect()] == [True, False, False]
+
+
+def test_pages_as_browsers_read_them(spark):
+    html = """<p class="note hidden" title="no hidden costs">kept</p><div hidden><p>gone <b>too</b></p><div>x</div></div>after<nav><nav>inner</nav>outer</nav>
+    <div style='color:red; display: none'><br>y<img src="a>b"></div><script>if (a<b && "</div>") {}</script>caf&eacute; &amp; &#169;<!-- <p>no</p> --><input hidden>end<DIV HIDDEN>z</DIV><section data-x="hidden">seen</section>"""
+    df = spark.createDataFrame([(html,), ("<p>a &amp; b</p>",), (None,), ("",), ("<div hidden><p>never closed",)], "html string").select(texts.clean_text(F.col("html")).alias("t"))
+    assert [r.t for r in df.collect()] == ["kept\nafter\n    \ncafé & ©\nend\nseen", "a & b", None, "", ""]
+
+
+def test_links_in_any_writing(spark):
+    html = """<a href="/f"><span>Tuition</span> <b>Fees</b></a><A HREF='/g'>Fee two</A><a class=x href=/h>fee &amp; three</a><a href="/f">fee again</a><a name="fee">none</a><a
+      data-href="/no" href="/i?a=1&amp;b=2">fee
+      four</a><iframe src='/fees.pdf'></iframe><EMBED SRC=/x.pdf><a href="/fees.PDF"><i>read</i></a>"""
+    pages = spark.createDataFrame([(1, "https://s.org/d/p", html), (2, None, None), (3, "https://s.org", "")], "page_id long, url string, html string")
+    found = links.link_candidates(pages, {"fee": ("fee",), "none": ("zzz",)}).orderBy("place").collect()
+    assert [(r.page_id, r["class"], r.place, r.href, r.text) for r in found] == [
+        (1, "fee", 1, "https://s.org/f", "Tuition Fees"), (1, "fee", 2, "https://s.org/g", "Fee two"), (1, "fee", 3, "https://s.org/h", "fee & three"),
+        (1, "fee", 4, "https://s.org/i?a=1&b=2", "fee four"), (1, "fee", 5, "https://s.org/fees.PDF", "read"),
+    ]
+    scored = links.scored_documents(pages, most=9).orderBy("place").collect()
+    assert [(r.place, r.href, r.score) for r in scored] == [(1, "https://s.org/fees.pdf", 3), (2, "https://s.org/x.pdf", 3), (3, "https://s.org/fees.PDF", 2)]
+    assert "Exchange" not in links.scored_documents(pages)._jdf.queryExecution().executedPlan().toString()
