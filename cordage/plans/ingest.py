@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import bounds
 from ..operators.upsert import upsert
 from ..operators.validate import validated
+from ..sources.records import append_log
 from ..sources.versions import VersionedTable
 
 
@@ -39,15 +40,44 @@ def split(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("validation = 'success'").drop("errors", "validation"), checked.where("validation = 'failed'")
 
 
-def ingest(table: VersionedTable, quarantine: str, records: DataFrame, key: str, seq: str) -> int:
-    """Validate, quarantine what fails, upsert the rest and commit; on an error the table stays as it was."""
-    good, bad = split(records)
+def steps(checked: DataFrame, key: str, saved: bool) -> DataFrame:
+    """Log rows of what became of each record: checked, and if valid saved, or undone with the whole batch."""
+    good = F.col("validation") == "success"
+    step = lambda name, action, status, why: F.struct(F.lit(name).alias("step"), F.lit(action).alias("action_taken"), status.alias("status"), why.alias("decision_reasoning"))
+    none = F.lit(None).cast("string")
+    check = step("validate", "check record", F.when(good, "ok").otherwise("failed"), F.when(~good, F.array_join("errors", " ")))
+    save = step("save", "upsert record", F.lit("ok" if saved else "failed"), none)
+    undo = step("compensate", "keep the version before", F.lit("ok"), none)
+    done = F.array_compact(F.array(check, F.when(good, save), *([] if saved else [F.when(good, undo)])))
+    rows = checked.select(F.col(key).alias("school_name"), F.explode_outer(done).alias("s")).select("school_name", "s.*")
+    return rows.withColumns({"url_visited": none, "confidence": F.lit(None).cast("double")})
+
+
+def quarantined(spark: SparkSession, path: str) -> DataFrame:
+    """Failed records of all batches under ``path``, with their errors."""
+    return spark.read.parquet(path).where("validation = 'failed'")
+
+
+def ingest(table: VersionedTable, quarantine: str, records: DataFrame, key: str, seq: str, log: str | None = None) -> int:
+    """Validate, upsert what is valid and commit; returns the new version. On an error the table stays as it was.
+
+    The checked batch is written once, under the version that it builds on, so a
+    repeated call after a failure replaces it; ``quarantined`` reads its failed
+    records. With a ``log`` each record's steps are appended to it, after a failure too.
+    """
     before = table.version()
+    batch = f"{quarantine}/after={before or 0}"
+    validated(records).write.mode("overwrite").parquet(batch)
+    checked = table.spark.read.parquet(batch)
+    good = checked.where("validation = 'success'").drop("errors", "validation")
     try:
-        bad.write.mode("append").parquet(quarantine)
-        new = good if before is None else upsert(table.read(), good, key, seq)
-        return table.commit(new if before is not None else upsert(good.drop(seq).limit(0), good, key, seq))
+        version = table.commit(upsert(good.drop(seq).limit(0) if before is None else table.read(), good, key, seq))
     except Exception:
         if before is not None and table.version() != before:
             table.rollback(before)
+        if log:
+            append_log(steps(checked, key, saved=False), log)
         raise
+    if log:
+        append_log(steps(checked, key, saved=True), log)
+    return version

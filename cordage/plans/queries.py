@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,9 @@ from ..functions import labels as show
 from ..functions import values as val
 from ..operators import costs, facets, fees, links, lookup, merge, state, texts, upsert, validate
 from ..sources import records
-from .ingest import split
+from ..sources.scratch import shared_folder
+from ..sources.versions import VersionedTable
+from .ingest import ingest, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -113,16 +116,17 @@ def containment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("item_id", "curriculum", "tuition_start", "matched_record")
 
 
-@_query("""WITH batch AS (SELECT s_suppkey AS seq, upper(s_name) AS s_name, s_acctbal + 1 AS s_acctbal FROM supplier WHERE s_suppkey % 3 = 0
-  UNION ALL SELECT s_suppkey + 100000, lower(s_name), s_acctbal + 2 FROM supplier WHERE s_suppkey % 6 = 0
-  UNION ALL SELECT s_suppkey, 'New ' || s_name, 0.5 FROM supplier WHERE s_suppkey % 10 = 1),
+@_query("""WITH batch AS (SELECT s_suppkey AS seq, CASE s_suppkey % 3 WHEN 0 THEN upper(s_name) WHEN 1 THEN 'New ' || s_name ELSE lower(s_name) END AS s_name, s_acctbal + 1 AS s_acctbal FROM supplier
+  UNION ALL SELECT s_suppkey + (SELECT max(s_suppkey) FROM supplier), CASE WHEN s_suppkey % 2 = 0 THEN lower(s_name) ELSE 'Other ' || s_name END, 0.5 FROM supplier),
 last AS (SELECT s_name, s_acctbal FROM batch QUALIFY row_number() OVER (PARTITION BY lower(s_name) ORDER BY seq DESC) = 1)
 SELECT s_name, s_acctbal FROM supplier WHERE lower(s_name) NOT IN (SELECT lower(s_name) FROM last) UNION ALL SELECT s_name, s_acctbal FROM last""")
 def upsert_anti_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    batch = base.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("seq"), F.upper("s_name").alias("s_name"), (F.col("s_acctbal") + 1).alias("s_acctbal"))
-    batch = batch.unionByName(base.where("s_suppkey % 6 = 0").select((F.col("s_suppkey") + 100000).alias("seq"), F.lower("s_name").alias("s_name"), (F.col("s_acctbal") + 2).alias("s_acctbal")))
-    batch = batch.unionByName(base.where("s_suppkey % 10 = 1").select(F.col("s_suppkey").alias("seq"), F.concat(F.lit("New "), "s_name").alias("s_name"), F.lit(0.5).alias("s_acctbal")))
+    k = F.col("s_suppkey")
+    first = F.when(k % 3 == 0, F.upper("s_name")).when(k % 3 == 1, F.concat(F.lit("New "), "s_name")).otherwise(F.lower("s_name"))
+    second = F.when(k % 2 == 0, F.lower("s_name")).otherwise(F.concat(F.lit("Other "), "s_name"))
+    last = base.agg(F.max("s_suppkey")).first()[0] or 0
+    batch = base.select(k.alias("seq"), first.alias("s_name"), (F.col("s_acctbal") + 1).alias("s_acctbal")).unionByName(base.select((k + last).alias("seq"), second.alias("s_name"), F.lit(0.5).alias("s_acctbal")))
     return upsert.upsert(base.drop("s_suppkey"), batch, "s_name", "seq")
 
 
@@ -294,14 +298,79 @@ def validate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validated(customer_records(spark, sf_dir)).select("k", F.array_join("errors", " | ").alias("errors"), "validation")
 
 
-@_query(f"""WITH {_RECORDS}, good AS (SELECT 'customer#' || lpad(cast(k % 1000 AS VARCHAR), 9, '0') AS name, k, cur FROM e WHERE len(errors) = 0),
+@_query(f"""WITH {_RECORDS}, good AS (SELECT CASE WHEN k % 2 = 0 THEN lower(c_name) ELSE 'New ' || c_name END AS name, k, cur FROM e JOIN customer ON c_custkey = k WHERE len(errors) = 0),
 last AS (SELECT name, arg_max(k, k) AS k, arg_max(cur, k) AS cur FROM good GROUP BY name)
-SELECT c_name AS name, c_custkey AS k, c_mktsegment AS curriculum FROM customer WHERE c_custkey < 1000 AND lower(c_name) NOT IN (SELECT name FROM last) UNION ALL SELECT name, k, cur FROM last""")
+SELECT c_name AS name, c_custkey AS k, c_mktsegment AS curriculum FROM customer WHERE lower(c_name) NOT IN (SELECT lower(name) FROM last) UNION ALL SELECT name, k, cur FROM last""")
 def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("curriculum"))
     good, _ = split(customer_records(spark, sf_dir))
-    batch = good.select(F.concat(F.lit("customer#"), F.lpad((F.col("k") % 1000).cast("string"), 9, "0")).alias("name"), "k", "curriculum", F.col("k").alias("seq"))
-    base = _table(spark, sf_dir, "customer").where("c_custkey < 1000").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("curriculum"))
-    return upsert.upsert(base, batch, "name", "seq")
+    named = good.join(base.select("k", "name"), "k").withColumn("name", F.when(F.col("k") % 2 == 0, F.lower("name")).otherwise(F.concat(F.lit("New "), "name")))
+    return upsert.upsert(base, named.select("name", "k", "curriculum", F.col("k").alias("seq")), "name", "seq")
+
+
+# Files, versions and logs: written, read back, and compared with what went in
+
+
+def _new_folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+@_query(f"""WITH {_LINES} SELECT 'Order ' || k AS school_name, len(a) AS n_tiers, list_sum(list_transform(a, lambda x: x.price)) AS annual_thb, len(list_filter(a, lambda x: x.flag = 'A')) AS n_application,
+  list_sum(list_transform(a, lambda x: x.qty * 100)) AS costs_thb FROM r""")
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _new_folder(spark, "records")
+    records.write_records(order_records(spark, sf_dir), path)
+    read = records.read_records(spark, path)
+    total = lambda items, field: F.aggregate(items, F.lit(0).cast("bigint"), lambda s, x: s + x[field])
+    of_kind = F.size(F.filter("hidden_costs", lambda c: c["name"] == "Application fee"))
+    return read.select("school_name", F.size("tuition_by_grade").cast("bigint").alias("n_tiers"), total(F.col("tuition_by_grade"), "annual_thb").alias("annual_thb"), of_kind.cast("bigint").alias("n_application"), total(F.col("hidden_costs"), "amount_thb").alias("costs_thb"))
+
+
+@_query("SELECT 'empty' AS kind, s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT 'missing', s_suppkey, s_name FROM supplier UNION ALL SELECT 'file', s_suppkey, upper(s_name) FROM supplier")
+def seed_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    empty, full = _new_folder(spark, "records"), _new_folder(spark, "records")
+    records.write_records(seed.limit(0), empty)
+    records.write_records(seed.withColumn("name", F.upper("name")), full)
+    read = {"empty": empty, "missing": _new_folder(spark, "none"), "file": full}
+    parts = [records.records_or_seed(spark, path, seed).select(F.lit(kind).alias("kind"), "id", "name") for kind, path in read.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_query("""SELECT cast(user_id AS VARCHAR) AS school_name, event_type AS step, CASE WHEN event_id % 2 = 0 THEN 'ok' ELSE 'failed' END AS status, count(*) AS n, max(value) AS confidence, cast(count(*) AS BIGINT) AS n_stamped
+FROM events GROUP BY ALL""")
+def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, none = _new_folder(spark, "log"), F.lit(None).cast("string")
+    events = _table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("school_name"), F.col("event_type").alias("step"), none.alias("action_taken"), none.alias("url_visited"), none.alias("decision_reasoning"),
+        F.col("value").alias("confidence"), F.when(F.col("event_id") % 2 == 0, "ok").otherwise("failed").alias("status"),
+    )
+    for status in ("ok", "failed"):
+        records.append_log(events.where(F.col("status") == status), path)
+    log = spark.read.parquet(path)
+    return log.groupBy("school_name", "step", "status").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"), F.count("at").alias("n_stamped"))
+
+
+@_query("SELECT 'first' AS state, s_suppkey, s_acctbal FROM supplier UNION ALL SELECT 'second', s_suppkey, s_acctbal + 1 FROM supplier UNION ALL SELECT 'rolled back', s_suppkey, s_acctbal FROM supplier")
+def version_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    table = VersionedTable(spark, _new_folder(spark, "versions"))
+    first = table.commit(rows)
+    state_of = lambda name: table.read().select(F.lit(name).alias("state"), "s_suppkey", "s_acctbal")
+    out = state_of("first")
+    table.commit(rows.withColumn("s_acctbal", F.col("s_acctbal") + 1))
+    out = out.unionByName(state_of("second"))
+    table.rollback(first)
+    return out.unionByName(state_of("rolled back"))
+
+
+@_query(f"""WITH {_RECORDS} SELECT 'Customer ' || k AS school_name, 'validate' AS step, CASE WHEN len(errors) = 0 THEN 'ok' ELSE 'failed' END AS status, CASE WHEN len(errors) > 0 THEN array_to_string(errors, ' ') END AS decision_reasoning FROM e
+UNION ALL SELECT 'Customer ' || k, 'save', 'ok', NULL FROM e WHERE len(errors) = 0""")
+def ingest_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = customer_records(spark, sf_dir).select(F.concat(F.lit("Customer "), F.col("k").cast("string")).alias("school_name"), F.col("k").alias("seq"), "*").drop("k")
+    folder = _new_folder(spark, "ingest")
+    ingest(VersionedTable(spark, f"{folder}/table"), f"{folder}/batches", named, "school_name", "seq", f"{folder}/log")
+    return spark.read.parquet(f"{folder}/log").select("school_name", "step", "status", "decision_reasoning")
 
 
 # Pages and texts
@@ -468,10 +537,14 @@ def haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""WITH {_LINES}, x AS (SELECT k, list_concat(list_transform(a, lambda x: {{'l': 'Tuition (Line ' || x.ln || ')', 'm': CASE WHEN x.price <> 0 THEN '฿' || format('{{:,}}', x.price) || ' / yr' ELSE 'Contact school' END}}),
   list_transform(a, lambda x: {{'l': (CASE x.flag WHEN 'A' THEN 'Application fee' WHEN 'R' THEN 'Refundable deposit' ELSE 'Lunch ' || x.st END) || ' (' || (CASE WHEN x.st = 'F' THEN 'per semester' WHEN x.qty < 10 THEN 'one-time' ELSE 'per year' END) || ')',
     'm': CASE WHEN x.qty <> 0 THEN '฿' || format('{{:,}}', x.qty * 100) ELSE 'Contact school' END}})) AS f FROM r)
-SELECT school_name, cast(i - 1 AS INTEGER) AS place, f[i].l AS label, f[i].m AS amount FROM (SELECT 'Order ' || k AS school_name, f, unnest(range(1, len(f) + 1)) AS i FROM x)""")
+SELECT school_name, cast(i - 1 AS INTEGER) AS place, f[i].l AS label, f[i].m AS amount FROM (SELECT 'Order ' || k AS school_name, f, unnest(range(1, len(f) + 1)) AS i FROM x WHERE k % 5 <> 0)
+UNION ALL SELECT 'Order ' || k, 0, 'Old fee', '฿' || k FROM x WHERE k % 5 = 0""")
 def fee_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = order_records(spark, sf_dir)
-    made = rows.select("school_name", fees.replaced_if_any(fees.fee_rows(F.col("tuition_by_grade"), F.col("hidden_costs")), F.array().cast("array<struct<label:string,amount:string>>")).alias("rows"))
+    number = F.substring_index("school_name", " ", -1)  # of every fifth record neither tiers nor costs are known, and what was there before stays
+    known = lambda c: F.when(number.cast("bigint") % 5 != 0, F.col(c))
+    old = F.array(F.struct(F.lit("Old fee").alias("label"), F.concat(F.lit("฿"), number).alias("amount")))
+    made = rows.select("school_name", fees.replaced_if_any(fees.fee_rows(known("tuition_by_grade"), known("hidden_costs")), old).alias("rows"))
     return made.select("school_name", F.posexplode("rows").alias("place", "r")).select("school_name", "place", "r.*")
 
 
@@ -516,9 +589,9 @@ def mandatory_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""WITH p AS (SELECT c_custkey, radians(13 + (c_custkey % 1000) / 1000) AS la, radians(100 + (c_custkey % 777) / 777) AS ln, radians(13.7306) AS la0, radians(100.5688) AS ln0 FROM customer),
-h AS (SELECT c_custkey, pow(sin((la - la0) / 2), 2) + cos(la0) * cos(la) * pow(sin((ln - ln0) / 2), 2) AS a FROM p) SELECT c_custkey FROM h WHERE 2 * 6371 * atan2(sqrt(a), sqrt(1 - a)) <= 25""")
+h AS (SELECT c_custkey, pow(sin((la - la0) / 2), 2) + cos(la0) * cos(la) * pow(sin((ln - ln0) / 2), 2) AS a FROM p) SELECT c_custkey FROM h WHERE 2 * 6371 * atan2(sqrt(a), sqrt(1 - a)) <= 40""")
 def radius_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = show.within(13 + (F.col("c_custkey") % 1000) / 1000, 100 + (F.col("c_custkey") % 777) / 777, 13.7306, 100.5688, 25.0)
+    near = show.within(13 + (F.col("c_custkey") % 1000) / 1000, 100 + (F.col("c_custkey") % 777) / 777, 13.7306, 100.5688, 40.0)
     return _table(spark, sf_dir, "customer").select("c_custkey").where(near)
 
 

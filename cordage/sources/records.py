@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,21 @@ def read_records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFr
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def _as_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    mark = "["
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield pa.RecordBatch.from_arrays([pa.array([f"{mark}{batch.column(0)[at].as_py()}"])], names=["value"])
+            mark = ","
+    yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"])], names=["value"])
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """Write files that hold a JSON array each, one for each partition of ``records``; no row goes to another task. ``path`` must be new."""
+    lines = records.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    lines.mapInArrow(_as_arrays, "value string").write.text(path)
+
+
 def records_or_seed(spark: SparkSession, path: str, seed: DataFrame) -> DataFrame:
     """Records of ``path``, or ``seed`` where it is missing, unreadable or empty."""
     try:

@@ -12,3 +12,18 @@ highlights:array<string>,policy_summary:string,policy_url:string>,
 confidence double, confidence_reasoning string, tuition_min_thb bigint, tuition_max_thb bigint"""
 
 LOG = "school_name string, step string, action_taken string, url_visited string, decision_reasoning string, confidence double, status string, at timestamp"
+
+SCHOOL = """id bigint, name string, curriculum string, location string, tuitionStart bigint, rating double, reviewCount bigint, distance double,
+language string, grades string, image string, badge string, lastUpdated string"""
+
+DETAIL = """id bigint, founded string, students string, accreditation array<string>, website string, about string,
+fees array<struct<label:string,amount:string>>, gallery array<string>, facilities array<string>,
+reviews array<struct<author:string,avatar:string,rating:double,text:string,time:string,childYear:string>>,
+safety struct<securityGuards:string,cctv:string,medicalNurse:string,safeguardingPolicy:string,airQualityPM25:string,visitorControl:string,
+emergencyDrill:string,summary:string,highlights:array<string>,policyUrl:string>, lastUpdated string"""
+
+POST = """id bigint, author string, avatar string, role string, schoolTag string, schoolId bigint, category string, title string, content string,
+time string, likes bigint, liked boolean,
+comments array<struct<id:bigint,author:string,avatar:string,content:string,time:string,likes:bigint,liked:boolean>>, image string"""
+
+COORDINATE = "id bigint, name string, lat double, lng double, tuition string, rating double"

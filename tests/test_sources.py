@@ -42,7 +42,18 @@ def test_versions_and_ingest(spark, tmp_path):
     first = spark.createDataFrame([row("A", "IB", 1), row("B", "", 2), row("a", "British", 3)], kind)
     assert ingest.ingest(table, f"{tmp_path}/q", first, "school_name", "seq") == 1
     assert [(r.school_name, r.curriculum) for r in table.read().collect()] == [("a", "British")]
-    assert spark.read.parquet(f"{tmp_path}/q").first().errors == ["Curriculum information is missing."]
+    assert [r.errors for r in ingest.quarantined(spark, f"{tmp_path}/q").collect()] == [["Curriculum information is missing."]]
+    bad = spark.createDataFrame([row("D", "IB", 1), row("E", "", 2)], kind).withColumn("homepage_url", F.when(F.col("seq") == 1, F.raise_error(F.lit("no"))).otherwise(""))
+    with pytest.raises(Exception, match="no"):
+        ingest.ingest(table, f"{tmp_path}/q", bad, "school_name", "seq", f"{tmp_path}/log")
+    commit, table.commit = table.commit, lambda rows: (_ for _ in ()).throw(OSError("disk"))
+    once_more = spark.createDataFrame([row("D", "IB", 1), row("E", "", 2)], kind)
+    for _ in range(2):  # a failed commit, twice: one batch in quarantine
+        with pytest.raises(OSError):
+            ingest.ingest(table, f"{tmp_path}/q", once_more, "school_name", "seq", f"{tmp_path}/log")
+    table.commit = commit
+    assert table.version() == 1 and sorted(r.school_name for r in ingest.quarantined(spark, f"{tmp_path}/q").collect()) == ["B", "E"]
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/log").select("school_name", "step", "status").distinct().collect())[:3] == [("D", "compensate", "ok"), ("D", "save", "failed"), ("D", "validate", "ok")]
     ingest.ingest(table, f"{tmp_path}/q", spark.createDataFrame([row("A", "French", 1), row("C", "IB", 2)], kind), "school_name", "seq")
     assert sorted(r.school_name for r in table.read().collect()) == ["A", "C"]
     table.rollback(1)
@@ -57,3 +68,19 @@ def test_bounds_and_extraction(spark):
     assert [(r.tuition_min_thb, r.tuition_max_thb) for r in ingest.with_bounds(made).collect()] == [(3, 5), (None, None)]
     out = ingest.extracted(spark.createDataFrame([(1, "p")], "page_id long, html string"), lambda b: b.assign(n=b.html.str.len())[["page_id", "n"]], "page_id long, n long")
     assert out.first().n == 1
+
+
+def test_record_files(spark, tmp_path):
+    rows = spark.createDataFrame([("A", None, 1), ('B "x"\n', "y", 2), (None, "z", 3)], "a string, b string, c long").repartition(2)
+    records.write_records(rows, str(tmp_path / "r"))
+    back = records.read_records(spark, str(tmp_path / "r"), "a string, b string, c long")
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+    records.write_records(rows.limit(0), str(tmp_path / "none"))
+    assert records.read_records(spark, str(tmp_path / "none"), "a string, b string, c long").count() == 0
+
+
+def test_seed_schemas(spark):
+    from cordage.sources import schema
+
+    for ddl in (schema.SCHOOL, schema.DETAIL, schema.POST, schema.COORDINATE):
+        assert spark.createDataFrame([], ddl).columns[0] == "id"
