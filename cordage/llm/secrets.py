@@ -239,7 +239,7 @@ def scan_secrets(docs: DataFrame, model: Scanner | None = None, threshold: float
     rows give none. Other columns are ignored. Without a ``model`` one is
     trained by ``trained_on``.
     """
-    rows = (model or trained_on(docs)).judged(candidates(docs))
+    rows = (model or trained_on(docs)).judged(written(candidates(docs), "candidates"))
     return rows.select("doc_id", "text_key", "start", "end", "kind", "candidate", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
