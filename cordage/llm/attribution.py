@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import Encoder
+from .encode import Encoder, cuts_by_bytes
 from .text import chunks, code_points
 
 SCHEMA = "doc_id long, section int, name string, start long, end long, n_tokens double, n_crossing long"
@@ -120,6 +120,8 @@ def attribute_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", secti
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    if not cuts_by_bytes(tokenizer):
+        raise ValueError("the tokenizer must be byte-level, without a normalizer or prefix")
     columns = [F.col("doc_id").cast("long"), F.col("text")]
     if sections:
         columns.append(F.col(sections).cast("array<struct<name:string,start:bigint,end:bigint>>").alias("sections"))

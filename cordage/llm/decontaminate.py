@@ -2,7 +2,7 @@
 
 Of each window of words the smallest hash of its k-grams is kept. Equal windows
 keep equal hashes, so every shared span of at least a window's length shares a
-fingerprint. Windows of documents whose fingerprint an item has are extended to
+fingerprint. Windows of documents whose fingerprint an item has, by a bitmap of the items' fingerprints in each task, are extended to
 their words and joined with the items' windows, which confirms them exactly.
 """
 
@@ -156,7 +156,8 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window, all columns kept.
 
-    Documents are told apart by ``doc_id``; one without an id is judged by its text alone.
+    Documents are told apart by ``doc_id``; one without an id is judged by its text alone. Rows that share an id go
+    together if one of them holds a window. Null and empty texts stay, and no rows give none.
     """
     hits = benchmark_hits(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), items, window, k)
     bad = written(hits.where("contaminated").select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")

@@ -3,11 +3,14 @@
 The pre-tokenizer of such a vocabulary cuts a text into pieces, and merges never
 cross a piece. Pieces repeat far more often than texts, so the pieces are found
 for a whole chunk in numpy, and only those that a worker has not met yet go to
-the tokenizers library. The ids are those of the library for the whole text.
+the tokenizers library. The ids are those of the library for the whole text. A
+vocabulary whose file asks for another pre-tokenizer, or for a normalizer, is
+left to the library altogether.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from itertools import chain
@@ -74,6 +77,16 @@ def piece_starts(points: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -
     return np.flatnonzero(starts)
 
 
+def cuts_by_bytes(path: str) -> bool:
+    """Whether a tokenizer file cuts texts as ``piece_starts`` does: byte-level BPE with the usual pattern, on texts as they are."""
+    with open(path, encoding="utf-8") as file:
+        given = json.load(file)
+    before, model = given.get("pre_tokenizer") or {}, given["model"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    marks = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    return bool(plain and given.get("normalizer") is None and given.get("truncation") is None and model.get("type", "BPE") == "BPE" and not any(model.get(m) for m in marks))
+
+
 class Encoder:
     """Token ids of many texts. ``for_path`` keeps one of them per worker and vocabulary."""
 
@@ -87,6 +100,9 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
         self.library = Tokenizer.from_file(path)
+        self.plain = cuts_by_bytes(path)
+        if not self.plain:
+            return
         self.classes = _classes()
         self.added = regex.compile("|".join(regex.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
         self.bytes = self.byte_sizes()
@@ -102,6 +118,7 @@ class Encoder:
         self.keys = np.zeros(0, dtype=np.uint64)
         self.at = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
+        self.length = np.zeros(0, dtype=np.int64)
         self.pool = np.zeros(0, dtype=np.int32)
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
@@ -121,6 +138,7 @@ class Encoder:
         self.pool = np.concatenate([self.pool, flat])
         place = np.searchsorted(self.keys, keys)  # both are in order
         self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
+        self.length = np.insert(self.length, place, np.fromiter(map(len, pieces), np.int64, len(pieces)))
 
     def _encoded(self, texts: list[str], pieces: list[str], alone: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Ids of ``texts``, which ``pieces`` tile (or are, if ``alone``), and the offset of each piece; None if a token crosses pieces."""
@@ -135,6 +153,9 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offset of each text with the end."""
+        if not self.plain:
+            ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(ids), np.int32), np.cumsum([0, *map(len, ids)])
         points, offsets = code_points(texts)
         starts = piece_starts(points, offsets, self.classes)
         ends = np.concatenate([starts[1:], [len(points)]]) if len(starts) else starts
@@ -153,8 +174,9 @@ class Encoder:
         np.cumsum(size, out=done[1:])
         ids = self.pool[np.repeat(at - done[:-1], size) + np.arange(done[-1])]
         cuts = done[np.searchsorted(starts, offsets)]
-        odd = [i for i, t in enumerate(texts) if self.added.search(t)]
-        if odd:  # an added token's own string: the library looks for it before it cuts pieces
+        other = np.flatnonzero((self.length[found] != (ends - starts)[where])[back])  # two pieces of one hash
+        odd = sorted({*(i for i, t in enumerate(texts) if self.added.search(t)), *(np.searchsorted(offsets, starts[other], "right") - 1).tolist()})
+        if odd:  # such a text, or one with an added token's own string, for which the library looks before it cuts pieces
             parts = [ids[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
             for i in odd:
                 parts[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, dtype=np.int32)

@@ -207,8 +207,11 @@ def _fitted(found: DataFrame, parameters: dict) -> Model:
 
 
 def with_score(docs: DataFrame, model: Model, to: str = "score", least: float | None = None, drop_text: bool = False) -> DataFrame:
-    """``docs`` with a score of each whole text (null: empty), or only its rows of ``least`` or more without the score."""
-    kept = [c for c in docs.columns if not (drop_text and c == "text")]
+    """``docs`` with a score of each whole text (null: empty), or only its rows of ``least`` or more without the score.
+
+    A column of the score's name is replaced if the score is added. Repeated rows and null ids are scored like others; no rows give none.
+    """
+    kept = [c for c in docs.columns if not (drop_text and c == "text") and not (least is None and c == to)]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,5 +240,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ro
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = 6000) -> DataFrame:
-    """``docs``, all columns, without the documents that score under ``threshold``."""
+    """``docs``, all columns, without the documents that score under ``threshold``.
+
+    Null and empty texts have the model's prior as score; repeated rows go or stay together; no rows give none.
+    """
     return with_score(docs, train(docs, labels, rows), least=threshold)

@@ -487,3 +487,225 @@ def test_personal_data_of_a_text_with_many_candidates():
         spans = sorted((a, b) for _, a, b in [*base, *added])
         assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
     assert took[1] < 15 * took[0] + 0.5
+
+
+def test_encoder_leaves_other_vocabularies_to_the_library(tmp_path):
+    from tokenizers import Tokenizer
+
+    from cordage.llm.encode import Encoder, cuts_by_bytes
+
+    texts = ["Hello  World", "", "don't STOP 12", "a\n\nb"]
+    given = json.load(open(queries.tokenizer_path(), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}):
+        path = str(tmp_path / "other.json")
+        json.dump(given | change, open(path, "w", encoding="utf-8"))
+        assert not cuts_by_bytes(path)
+        ids, cuts = Encoder(path)(texts)
+        library = Tokenizer.from_file(path)
+        assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert cuts_by_bytes(queries.tokenizer_path())
+
+
+def test_encoder_notices_pieces_of_one_hash(library, monkeypatch):
+    from cordage.llm import encode
+
+    monkeypatch.setattr(encode, "span_hashes", lambda points, starts, ends: (ends > 3).astype(np.uint64))
+    encoder = encode.Encoder(queries.tokenizer_path())
+    for texts in (["one"], ["one", "fourteen"], ["two fine words", "one"]):
+        ids, cuts = encoder(texts)
+        for i, t in enumerate(texts):
+            if len(t) != 3:
+                assert ids[cuts[i] : cuts[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def by_force_attribution(library, text, parts, rule):
+    """Tokens of each section, one character span after the other."""
+    counts = [0.0] * len(parts)
+    for a, b in library.encode(text, add_special_tokens=False).offsets:
+        inside = [max(0, min(b, e) - max(a, s)) for s, e in parts]
+        if not any(inside):
+            continue
+        if rule == "first":
+            counts[next(i for i, (s, e) in enumerate(parts) if s <= a < e)] += 1
+        elif rule == "most":
+            counts[inside.index(max(inside))] += 1
+        else:
+            for i, n in enumerate(inside):
+                counts[i] += n / sum(inside)
+    return counts
+
+
+def test_token_counts_by_section(spark, library):
+    """Each rule, section by section, on texts of one-byte signs, whose tokens tile the text."""
+    rng = random.Random(4)
+    texts = ["hello world again and again", "internationalisation of everything", "a  b   c", "x" * 50, " lead and trail "] + random_texts(10)
+    rows, cuts = [], []
+    for i, t in enumerate(texts):
+        at = sorted({0, len(t), *(rng.randrange(len(t) + 1) for _ in range(3))})
+        cuts.append(list(zip(at, at[1:])))
+        rows.append((i, t, [(f"s{k}", a, b) for k, (a, b) in enumerate(cuts[-1])]))
+    table = spark.createDataFrame(rows, "doc_id long, text string, parts array<struct<name:string,start:long,end:long>>")
+    for rule in attribution.RULES:
+        found = {(r.doc_id, r["name"]): r.n_tokens for r in attribution.attribute_tokens(table, queries.tokenizer_path(), rule, "parts").collect()}
+        for i, t in enumerate(texts):
+            want = by_force_attribution(library, t, cuts[i], rule)
+            assert [round(found[i, f"s{k}"], 6) for k in range(len(want))] == [round(w, 6) for w in want], (rule, t, cuts[i])
+
+
+def test_near_duplicates_of_one_large_group(spark):
+    """2,000 near copies of one text, of which many miss their leader, against all pairs."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(90)]
+    texts = []
+    for i in range(2000):
+        own = list(base)
+        for j in rng.sample(range(90), rng.choice((1, 2, 3, 4, 5))):
+            own[j] = f"x{rng.randrange(400)}"
+        texts.append(" ".join(own))
+    sets = [{" ".join(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    seen, column = {}, {}
+    for s in sets:
+        for x in s:
+            seen[x] = seen.get(x, 0) + 1
+    for x, n in seen.items():
+        if n > 1:
+            column[x] = len(column)
+    held = np.zeros((len(sets), len(column)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        held[i, [column[x] for x in s if x in column]] = 1
+    both, size = held @ held.T, np.array([len(s) for s in sets])
+    linked = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(linked, True)
+    root = np.arange(len(sets))
+    while True:
+        low = np.array([root[row].min() for row in linked])
+        if (low == root).all():
+            break
+        root = low
+    assert 1 < len(set(root.tolist())) < 1900
+    for parameters in ({}, {"block": 64}):  # a block, or many and branches
+        found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, texts), k=4, percent=80, **parameters).collect()}
+        assert [found[i] for i in range(len(texts))] == root.tolist()
+
+
+def test_token_files_carry_their_indexes(spark, tmp_path):
+    """Stripes in id order with integer run lengths, row indexes and Bloom filters, by which a reader skips row groups."""
+    path = f"file://{tmp_path}/ids"
+    docs = spark.range(6000).selectExpr("id * 3 AS doc_id", "concat('text number ', id) AS text")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        binary.write_token_ids(docs, path, queries.tokenizer_path(), 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    jvm, context = spark._jvm, spark.sparkContext
+    conf = context._jsc.hadoopConfiguration()
+    files = [s.getPath() for s in jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).listStatus(jvm.org.apache.hadoop.fs.Path(path)) if s.getPath().getName().endswith(".orc")]
+    assert files
+    for file in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(file, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        names = list(reader.getSchema().getFieldNames())
+        at = names.index("doc_id") + 1
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            kinds = {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+            assert (at, "ROW_INDEX") in kinds and any(c == at and k.startswith("BLOOM_FILTER") for c, k in kinds)
+            assert footer.getColumns(len(names) + 1).getKind().toString() == "DIRECT_V2"  # the elements of the ids: run lengths
+        rows.close()
+        ids = [r.doc_id for r in spark.read.orc(file.toString()).select("doc_id").collect()]
+        assert ids == sorted(ids)
+    one = spark.read.schema(binary.SCHEMA).orc(path).where("doc_id = 9000").select("doc_id", "tokens")
+    plan = one._jdf.queryExecution().executedPlan()
+    assert "EqualTo(doc_id,9000)" in plan.toString() and len(one.collect()) == 1
+    assert 0 < plan.collectLeaves().head().metrics().apply("numOutputRows").value() <= 1000
+    assert one.where("doc_id = 9001").count() == 0  # between two ids: the Bloom filter
+
+
+def test_quality_fit_by_force():
+    """Log-count ratios by counting, and the hinge loss that descent reaches against its dual bound and a plain subgradient descent."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 60, 12)) + (20 if i % 2 else 0) for i in range(80)]
+    good = np.arange(80) % 2 == 1
+    good[:6] = ~good[:6]  # some labels against the rule
+    flat, cuts = np.concatenate(rows).astype(np.uint32), np.concatenate([[0], np.cumsum(list(map(len, rows)))])
+    use = np.arange(80)
+    ratio = quality.log_ratios(flat, cuts, good, use, 1.0)
+    for g in (0, 7, 25, 70):
+        share = lambda side: (1 + sum(g in r for i, r in enumerate(rows) if good[i] == side)) / ((1 << quality.BITS) + sum(len(r) for i, r in enumerate(rows) if good[i] == side))  # noqa: E731,B023
+        assert abs(ratio[g] - np.log(share(True) / share(False))) < 1e-9
+    values = np.concatenate([ratio[r] / np.linalg.norm(ratio[r]) for r in rows]).astype(np.float32)
+    sign = np.where(good, 1.0, -1.0)
+    x = np.zeros((80, 81))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 80] = values[cuts[i] : cuts[i + 1]], 1.0
+    loss = lambda w: 0.5 * w @ w + np.maximum(0, 1 - sign * (x @ w)).sum()
+    w, bias = quality.dual_coordinate_descent(flat, values, cuts, use, sign, 1.0, 300, 7)
+    mine = np.concatenate([w[:80], [bias]])
+    plain, best = np.zeros(81), np.inf
+    for step in range(1, 8001):
+        plain -= (plain - x.T @ (sign * (sign * (x @ plain) < 1))) / (step + 20)
+        best = min(best, loss(plain))
+    assert loss(mine) <= best * 1.001
+
+
+def repeated(spark):
+    """Repeated rows and ids, rows without an id, and a clash of names."""
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa mail a@b.org token"
+    rows = [(1, text), (1, text), (1, "another text of this id, call +49 30 123456"), (None, text), (None, None), (2, ""), (None, text)]
+    names = ("score", "text_key", "part", "start", "spans", "windows", "ids", "found", "n")
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit("clash") for n in names})
+
+
+def test_repeated_rows_null_ids_and_clashing_names(spark, library):
+    rows, docs = repeated(spark)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (3, None), (4, 0), (4, 1)], "doc_id long, quality int")
+    path, key = queries.tokenizer_path(), lambda r: str(r.doc_id)
+    every = sorted(str(i) for i, _ in rows)
+    for found in (pii.personal_data_digest(pii.find_personal_data(docs)), binary.token_file_digest(docs, path, 2), quality.score_quality(docs, labels), neardup.near_duplicates(docs)):
+        assert sorted(map(key, found.collect())) == every
+    files = sorted(binary.token_file_digest(docs, path, 2).collect(), key=lambda r: r.start)
+    assert [r.start for r in files] == np.cumsum([0] + [r.n_tokens for r in files])[:-1].tolist() and [key(r) for r in files] == ["None"] * 3 + ["1"] * 3 + ["2"]
+    pieces = packing.packed_digest(docs, path, 1).collect()
+    assert sum(r.length for r in pieces) == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert sorted(r.sequence_id for r in pieces) == list(range(len(pieces)))
+    counted = attribution.attribute_tokens(docs, path, "first").collect()
+    assert sum(r.n_tokens for r in counted) == sum(len(library.encode(t or "", add_special_tokens=False).ids) for _, t in rows)
+    items = spark.createDataFrame([(7, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (7, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (None, "mail")], "item_id long, text string")
+    hit = decontaminate.benchmark_hits(docs, items).collect()
+    assert sorted((key(r), r.n_hit) for r in hit) == [("1", 0), ("1", 10), ("2", 0), ("None", 0), ("None", 10)]  # rows of equal id and text are one
+    left = decontaminate.drop_contaminated(docs, items)
+    assert left.columns == docs.columns and sorted(map(key, left.collect())) == ["2", "None"]
+    scored = quality.with_score(docs, quality.train(docs, labels))
+    assert scored.columns.count("score") == 1 and scored.count() == len(rows)
+    assert quality.drop_low_quality(docs, labels).columns == docs.columns
+
+
+def test_empty_tables(spark):
+    docs, labels = docs_of(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    path = queries.tokenizer_path()
+    for found in (attribution.attribute_tokens(docs, path), pii.personal_data_digest(pii.find_personal_data(docs)), packing.packed_digest(docs, path, 1), quality.score_quality(docs, labels), quality.drop_low_quality(docs, labels)):
+        assert found.count() == 0
+
+
+def test_very_long_texts(spark):
+    long = "word " * 40000 + "token = \"ghp_" + "a1B2" * 9 + "\" " + "x" * 50000 + " mail me@site.org " + "9" * 30000
+    docs = docs_of(spark, [long])
+    secret = secrets.scan_secrets(docs, secrets.train(secrets.labelled_findings(spark), secrets.frequent_words(docs))).where("kind = 'github'").first()
+    assert long[secret.start : secret.end] == "ghp_" + "a1B2" * 9
+    assert ("email", long.index("me@"), long.index(".org") + 4) in {(s.kind, s.start, s.end) for s in pii.find_personal_data(docs).first().spans}
+    items = spark.createDataFrame([(1, "word " * 12), (2, "mail me site org " + "9" * 30000)], "item_id long, text string")
+    hit = decontaminate.benchmark_hits(docs, items).first()
+    assert (hit.n_items, hit.n_hit) == (2, 40000 + 5)
+
+
+def test_pipeline_of_empty_and_null_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars int"
+    for name, rows in (("empty", []), ("null", [(None, None, None, None, None), (None, None, None, None, None), (1, None, None, None, None)])):
+        spark.createDataFrame(rows, kind).write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(None, None, None)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([(None, None)] if rows else [], "item_id long, text string").write.parquet(f"file://{tmp_path}/{name}/benchmark.parquet")
+        packed = corpus_pipeline.run(spark, f"file://{tmp_path}/{name}").collect()
+        assert all(r.length == 1 for r in packed) and bool(packed) == bool(rows)
