@@ -41,8 +41,9 @@ def _shapes(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     n_upper, n_digit, n_mark = sums(upper), sums(digit), sums(mark)
     total = sums(points.astype(np.int64) * (1 + points.astype(np.int64) % 97))
     repeats = np.zeros(len(n), dtype=np.int64)
-    repeats[1:] |= total[1:] == total[:-1]
-    repeats[2:] |= 2 * (total[2:] == total[:-2])
+    place = np.arange(len(n)) - first[np.searchsorted(first, np.arange(len(n)), "right") - 1]  # within its text
+    repeats[1:] |= (total[1:] == total[:-1]) & (place[1:] > 0)
+    repeats[2:] |= 2 * ((total[2:] == total[:-2]) & (place[2:] > 1))
     shape = upper[starts] + 2 * (n_upper * 2 > n) + 4 * (n_digit > 0) + 8 * np.minimum(n_mark, 3) + 32 * mark[starts] + 64 * repeats + 256 * np.minimum(n // 4, 7)
     return shape.astype(np.uint32), first
 

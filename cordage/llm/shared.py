@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_folder
 
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_made: list[str] = []
 
 
 def written(df: DataFrame, what: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -24,15 +27,29 @@ def written(df: DataFrame, what: str, fmt: str = "parquet", **options: str) -> D
     df.write.format(fmt).options(**options).save(path)
     table = df.sparkSession.read.schema(df.schema).format(fmt).load(path)
     _paths[table] = path
+    _made.append(path)
     return table
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _made.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables of ``written`` that nothing reads any more."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(_paths.pop(table))
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(table.sparkSession, _paths.pop(table))
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end all tables that were ``written`` inside: for work whose result has been stored by then."""
+    before = len(_made)
+    yield
+    for path in _made[before:]:
+        _remove(spark, path)
 
 
 def bitmap(keys: DataFrame, column: str, most: int = 1 << 28) -> np.ndarray:

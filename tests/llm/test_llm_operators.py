@@ -384,7 +384,7 @@ def test_quality(spark):
     assert none.score == 0.5
 
 
-def test_pipeline(spark, sf_dir):
+def test_pipeline(spark, sf_dir, library):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -398,8 +398,68 @@ def test_pipeline(spark, sf_dir):
     assert root == list(range(len(texts)))  # none is near another
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert not any(r[4] for r in hits_by_force(texts, items).values())
-    packed = corpus_pipeline.run(spark, sf_dir)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in want.collect()}
+    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    encoded = {r.doc_id: library.encode(r.text or "", add_special_tokens=False).ids + [1] for r in want.collect()}
+    assert {r.doc_id for r in packed} == set(encoded)
+    for r in packed:
+        ids = encoded[r.doc_id][r.start : r.start + r.length]
+        assert (r.doc_tokens, r.ids_crc32) == (len(encoded[r.doc_id]), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert sum(r.length for r in packed) == sum(map(len, encoded.values()))
+
+
+def test_pipeline_leaves_only_its_stages(spark, sf_dir):
+    import corpus_pipeline
+
+    from cordage.llm.shared import shared_folder
+
+    fs = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    names = lambda: {s.getPath().getName().rsplit("-", 1)[0] for s in fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(fs)}
+    before = names()
+    corpus_pipeline.run(spark, sf_dir)
+    assert names() - before <= {f"stage-{n}" for n, _ in corpus_pipeline.STAGES} | {"pieces", "bases"}
+
+
+def features_by_force(text):
+    """N-grams of characters and of word shapes, one by one."""
+    k, mask = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), 2**32 - 1
+    x, out = [ord(c) for c in text], set()
+    out.update((((a * k[0] + b * k[1]) & mask) * k[2] & mask) >> 32 - quality.BITS for a, b in zip(x, x[1:]))
+    out.update((((a * k[1] + b * k[2] + c * k[0]) & mask) * k[0] & mask) >> 32 - quality.BITS for a, b, c in zip(x, x[1:], x[2:]))
+    words = re.findall("[^\x00-\x20]+", text)
+    sums = [sum(ord(c) * (1 + ord(c) % 97) for c in w) for w in words]
+    shapes = []
+    for i, w in enumerate(words):
+        upper, digit = sum("A" <= c <= "Z" for c in w), sum("0" <= c <= "9" for c in w)
+        marks = [32 < ord(c) < 128 and not (c.isascii() and c.isalnum()) for c in w]
+        again = (i > 0 and sums[i] == sums[i - 1]) + 2 * (i > 1 and sums[i] == sums[i - 2])
+        shapes.append(("A" <= w[0] <= "Z") + 2 * (2 * upper > len(w)) + 4 * (digit > 0) + 8 * min(sum(marks), 3) + 32 * marks[0] + 64 * again + 256 * min(len(w) // 4, 7))
+    one = [(s + 1) * k[1] & mask for s in shapes]
+    two = [(a * k[0] + b) & mask for a, b in zip(one, one[1:])]
+    three = [(a * k[2] + b) & mask for a, b in zip(two, one[2:])]
+    out.update((((s * k[2] & mask) ^ (s >> 15)) * k[0] & mask) >> 32 - quality.BITS for group in (one, two, three) for s in group)
+    return sorted(out)
+
+
+def test_quality_features_by_force(spark, sf_dir):
+    texts = [t or "" for t in ODD] + ["One TWO two Two 12a -x- (b)", "a", "a", "b a", "a b"] + [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20).collect()]
+    for text, found in zip(texts, quality.features(texts)):
+        assert found.tolist() == features_by_force(text), text[:60]
+
+
+def test_secret_candidates_by_force(spark, sf_dir):
+    import regex
+
+    texts = ["x" * 19 + " " + "y1" * 10, 'a token="abcdefgh" b', "API_KEY=0123456789abcdef0123 and FOO=AKIA" + "B" * 16, "pwd : short", None, "", "path/to/some-long-file-name-2024.tar.gz", "pässword: gehéim-9! token:ü-Ü-ü-Ü-ü"]
+    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = []
+    for i, text in enumerate(texts):
+        for m in regex.finditer(secrets.PATTERN, text or "", flags=regex.ASCII):
+            key = (regex.search(secrets.NAMED, m[0]) or [None] * 3)[1:3]
+            key = next((k for k in key if k), "")
+            if regex.search(secrets.PROPOSED, m[0]) or key or regex.search(secrets.ASSIGNED, text[max(0, m.start() - secrets.NEAR) : m.start()]):
+                want.append((i, m.end() - len(key or m[0]), m.end(), key or m[0]))
+    found = [(r.doc_id, r.start, r.end, r.candidate) for r in secrets.candidates(docs_of(spark, texts)).collect()]
+    assert sorted(found) == sorted(want) and len({i for i, *_ in want if i < 8}) == 5
 
 
 @pytest.mark.parametrize("name", ["op1_decontamination", "op2_near_duplicates", "op5_tool_calls", "op9_near_duplicate_vectors"])
