@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bitmap, connected_components, discard, in_bitmap, written
+from .shared import bitmap, connected_components, discard, in_bitmap, small_side, written
 from .text import chunks, code_points, gram_hashes, lower_ascii, mix, span_hashes, spaced_words
 
 COORDINATES = 64
@@ -243,9 +243,9 @@ def near_duplicates(
     reps = written(own.join(classes, ["rep", *key], "left_semi").dropDuplicates(["rep", *key]).select("rep", "set_a", "n_shingles", "sketch"), "sets")
 
     nodes = written(reps.select("rep", "n_shingles", "sketch").mapInArrow(_roots(trees), "node long, rep long, n long"), "nodes")
-    sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1")
-    sized = written(nodes.join(sizes, "node"), "sized")  # written as it is, so that adaptive execution may split a hot node
-    discard(nodes)
+    sizes = written(nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1"), "sizes")
+    sized = written(nodes.join(small_side(sizes), "node"), "sized")  # written as it is, so that adaptive execution may split a hot node
+    discard(nodes, sizes)
     small = sized.where(F.col("size") <= node_size).groupBy("node").agg(F.collect_set("rep").alias("reps"))  # at most node_size
     pairs = small.select(F.explode("reps").alias("a"), "reps").select("a", F.explode(F.expr("filter(reps, r -> r > a)")).alias("b"))
     large = sized.where(F.col("size") > node_size).select("node", "leader", "rep", "n")
@@ -307,8 +307,9 @@ def _apart(large: DataFrame, reps: DataFrame, roots: DataFrame, branch: int, dep
         blocks = lambda n: F.greatest(F.ceil(F.count(n) / block), F.ceil(F.sum(n) / (block << 10))).cast("int")
         outs = F.when(F.col("out"), F.col("n"))
         sizes = member.groupBy("node").agg(F.count("*").alias("size"), F.count(outs).alias("outs"), blocks(F.col("n")).alias("n_all"), blocks(outs).alias("n_out"))
-        known = written(member.join(sizes.where("outs > 0 and size > 1"), "node"), "known")
-        discard(member)
+        sizes = written(sizes.where("outs > 0 and size > 1"), "sizes")
+        known = written(member.join(small_side(sizes), "node"), "known")
+        discard(member, sizes)
         fits = F.lit(True) if level == depth else F.col("outs") * F.col("size") <= block * block
         parts.append(known.where(fits).select("node", "rep", "n", "root", "out", "n_all", "n_out"))
         rest = known.where(~fits)
