@@ -269,6 +269,7 @@ def _full_sets(source: DataFrame, reps: DataFrame, wanted: DataFrame, k: int) ->
     wanted = written(wanted, "wanted")
     sets = source.mapInArrow(_set_reader(bitmap(wanted, "rep"), k), "doc_id long, set_a long, shingles array<long>").withColumnRenamed("doc_id", "rep")
     needed = reps.select("rep", "set_a").join(wanted, "rep", "left_semi")
+    sets = sets.dropDuplicates(["rep", "set_a"])  # rows may repeat
     out = written(sets.join(needed, ["rep", "set_a"], "left_semi").select("rep", "shingles"), "shingles")
     discard(wanted)
     return out

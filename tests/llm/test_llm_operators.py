@@ -131,6 +131,10 @@ def test_drop_near_duplicates_edges(spark):
     kept = neardup.drop_near_duplicates(rows).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "5", "None"]
     assert neardup.drop_near_duplicates(rows.limit(0)).count() == 0
+    near = " ".join(f"w{i}" for i in range(40))
+    often = spark.createDataFrame([(1, near)] * 500 + [(2, near + " end")] * 500 + [(3, "far " + near[:20])], "doc_id long, text string")
+    found = neardup.near_duplicates(often).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 500), (2, 1, 500), (3, 3, 1)]
 
 
 def test_encoder_is_the_library(library, spark, sf_dir):
