@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as show
@@ -252,13 +252,16 @@ t AS (SELECT c_custkey, i AS place, 'Order ' || a[i].key AS grade_level, a[i].pr
   FROM (SELECT m.*, unnest([1, 2, 3]) AS i FROM m JOIN o USING (c_custkey) WHERE coalesce(len(a), 0) = 0))
 SELECT c_custkey, cast(place AS INTEGER) AS place, grade_level, annual_thb, semester_thb FROM t""")
 def fallback_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", val.half_up(F.col("o_totalprice")).alias("price"))
-    grouped = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "price"))).alias("a"))
-    bal = val.half_up(F.col("c_acctbal"))
-    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.when(bal <= 5000, bal).alias("low"), F.when(bal > 5000, bal).alias("high")).join(grouped, "c_custkey", "left")
-    grade = lambda x: F.struct(F.concat(F.lit("Order "), x["o_orderkey"].cast("string")).alias("grade_level"), x["price"].alias("annual_thb"), F.lit(None).cast("bigint").alias("semester_thb"), F.lit(None).cast("string").alias("notes"))
-    made = rows.select("c_custkey", costs.tiers(F.transform("a", grade), F.col("low"), F.col("high")).alias("ts")).select("c_custkey", F.posexplode("ts").alias("p", "t"))
-    return made.select("c_custkey", (F.col("p") + 1).alias("place"), "t.grade_level", "t.annual_thb", "t.semester_thb")
+    orders = _table(spark, sf_dir, "orders")
+    bal, price = val.half_up(F.col("c_acctbal")), val.half_up(F.col("o_totalprice"))
+    customers = _table(spark, sf_dir, "customer").select("c_custkey", F.when(bal <= 5000, bal).alias("low"), F.when(bal > 5000, bal).alias("high"))
+    none = customers.join(orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    made = none.select("c_custkey", F.posexplode(costs.tiers(F.lit(None).cast(f"array<{costs.TIER}>"), F.col("low"), F.col("high"))).alias("p", "t"))
+    made = made.select("c_custkey", (F.col("p") + 1).alias("place"), "t.grade_level", "t.annual_thb", "t.semester_thb")
+    # numbered rather than gathered: a customer may have any number of orders
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    given = orders.select(F.col("o_custkey").alias("c_custkey"), place.alias("place"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("grade_level"), price.alias("annual_thb"), F.lit(None).cast("bigint").alias("semester_thb"))
+    return given.join(customers.select("c_custkey"), "c_custkey", "left_semi").unionByName(made)
 
 
 @_query("""SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN NULL WHEN o_orderstatus = 'F' AND contains(lower(o_orderpriority), 'urgent') THEN greatest(0, cast(floor(o_totalprice + 0.5) AS BIGINT) - 100000)
