@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import connected_components, written
+from .shared import connected_components, discard, written
 
 KEY_SCHEMA = "pass int, label int, dim int, key long, cid long"
 
@@ -260,15 +260,17 @@ def near_duplicate_vectors(
         and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"""
     rows = rows.withColumn("sound", F.coalesce(F.expr(sound), F.lit(False)))
     key = ["label", "embedding"]
-    classes = written(
+    distinct = written(
         rows.where("sound").groupBy(*key).agg(F.min("cid").alias("cid"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")), "classes"
     )
-    classes = written(classes.join(classes.groupBy("label", "dim").agg(F.count("*").alias("n")), ["label", "dim"]), "vectors")
+    classes = written(distinct.join(distinct.groupBy("label", "dim").agg(F.count("*").alias("n")), ["label", "dim"]), "vectors")
+    discard(distinct)
     order = ["pass", "label", "dim", "key", "cid"]
     keys = written(classes.select("label", "dim", "cid", "embedding", "n").mapInArrow(_keys(passes, window, seed), KEY_SCHEMA), "keys")
     placed = written(
         keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, "part int, place long, pass int, label int, dim int, cid long"), "order"
     )
+    discard(keys)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     ranked = placed.join(F.broadcast(bases), "part").withColumn("rank", F.col("base") + F.col("place"))  # a row for each partition
@@ -278,6 +280,7 @@ def near_duplicate_vectors(
     edges = _dealt(blocks, "block").groupBy("block").applyInPandas(_window_links(window, least), "a long, b long")
     edges = edges.union(_exact_edges(classes, least, window, block)).distinct()
     roots = written(connected_components(edges), "roots")
+    discard(placed)
 
     grouped = classes.drop("n").join(roots, F.col("cid") == F.col("node")).drop("node")
     parts = roots.groupBy("root").count().select("root", F.expr(f"cast(ceil(count / {block}.0) as int)").alias("parts"))

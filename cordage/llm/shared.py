@@ -54,7 +54,7 @@ def passing_tables(spark: SparkSession) -> Iterator[None]:
 
 def small_side(table: DataFrame, most: int = 1 << 18) -> DataFrame:
     """A stored ``table`` with a broadcast hint if it has no more than ``most`` rows, as counted; a larger one joins as Spark sees fit."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+    return F.broadcast(table) if table.count() <= most else table
 
 
 def bitmap(keys: DataFrame, column: str, most: int = 1 << 28) -> np.ndarray:
