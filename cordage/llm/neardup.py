@@ -256,8 +256,9 @@ def near_duplicates(
     if apart is not None:
         sets = _full_sets(source, reps, apart.select("rep").distinct(), k)
         found = _compared(apart, sets, percent, block)
-        roots = written(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)), "roots")
-        discard(sets)
+        if not found.isEmpty():
+            roots = written(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)), "roots")
+        discard(sets, found)
     discard(sized, edges)
     member = rows.select("doc_id", "n_shingles", *key).join(classes, key, "left").join(roots, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "rep"))
