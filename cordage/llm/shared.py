@@ -33,8 +33,11 @@ def written(df: DataFrame, what: str, fmt: str = "parquet", **options: str) -> D
 
 def _remove(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    _made.remove(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for _ in range(3):
+        files.delete(folder, True)
+        if not files.exists(folder):
+            break
 
 
 def discard(*tables: DataFrame) -> None:
@@ -48,8 +51,9 @@ def passing_tables(spark: SparkSession) -> Iterator[None]:
     """Remove at the end all tables that were ``written`` inside: for work whose result has been stored by then."""
     before = len(_made)
     yield
-    for path in _made[before:]:
+    for path in _made[before:]:  # those discarded already too, if anything of them is left
         _remove(spark, path)
+    del _made[before:]
 
 
 def small_side(table: DataFrame, most: int = 1 << 18) -> DataFrame:
