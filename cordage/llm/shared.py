@@ -56,7 +56,7 @@ def passing_tables(spark: SparkSession) -> Iterator[None]:
     del _made[before:]
 
 
-def small_side(table: DataFrame, most: int = 1 << 18) -> DataFrame:
+def small_side(table: DataFrame, most: int = 1 << 15) -> DataFrame:
     """A stored ``table`` with a broadcast hint if it has no more than ``most`` rows, as counted; a larger one joins as Spark sees fit."""
     return F.broadcast(table) if table.count() <= most else table
 
@@ -93,7 +93,7 @@ def bases(counts: DataFrame, amount: str, kind: str, part: str, group: int = 102
     """``counts`` with ``base``: the sum of ``amount`` over all rows of greater ``kind``, and of equal kind and smaller ``part``.
 
     Both are whole numbers, and a pair of them has one row. Sums go over groups
-    of ``group`` parts first, so no task holds all rows. The result comes as a ``small_side``.
+    of ``group`` parts first, so no task holds all rows. The result comes as a ``small_side`` of up to a million rows.
     """
     cut = counts.withColumn("__group", F.expr(f"{part} div {group}"))
     before = lambda w: F.coalesce(F.sum(amount).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -101,7 +101,7 @@ def bases(counts: DataFrame, amount: str, kind: str, part: str, group: int = 102
     outer = sums.select(F.col(kind).alias("__kind"), F.col("__group").alias("__of"), before(Window.orderBy(F.desc(kind), "__group")).alias("__outer"))
     inner = cut.withColumn("__inner", before(Window.partitionBy(kind, "__group").orderBy(part)))
     joined = inner.join(outer, (F.col(kind) == F.col("__kind")) & (F.col("__group") == F.col("__of")))
-    return small_side(written(joined.select(*counts.columns, (F.col("__outer") + F.col("__inner")).alias("base")), "bases"))
+    return small_side(written(joined.select(*counts.columns, (F.col("__outer") + F.col("__inner")).alias("base")), "bases"), 1 << 20)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
