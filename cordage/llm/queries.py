@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, binary, chat, decontaminate, embeddings, neardup, packing, pii, quality, secrets
+from . import attribution, binary, chat, collocations, decontaminate, embeddings, filter_audit, mixing, neardup, packing, pii, quality, secrets
+from .shared import written
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -63,10 +64,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(filter_audit.measured_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")), "audited")
+    return filter_audit.audit_filters(rows, filter_audit.document_filters(), marks=["good", "toxic"])
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=10, longest=3, top=2000, subsumed=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = [op1_decontamination, op2_near_duplicates, op3_token_counts, op4_token_files, op5_tool_calls, op6_secrets, op7_personal_data, op8_packing, op9_near_duplicate_vectors, op10_quality]
+    ops = [op1_decontamination, op2_near_duplicates, op3_token_counts, op4_token_files, op5_tool_calls, op6_secrets, op7_personal_data, op8_packing, op9_near_duplicate_vectors, op10_quality, op11_mixing, op12_filter_audit, op13_collocations]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
@@ -132,8 +146,47 @@ FROM v JOIN root ON root.x = v.vec_id LEFT JOIN deg ON deg.x = v.vec_id
 """
 
 
+_OP12 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first_id FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        cast(len(w) < 50 AS INTEGER) + 2 * cast(100 * len(list_distinct(w)) < 65 * len(w) AS INTEGER) + 4 * cast(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS INTEGER)
+        + 8 * cast(regexp_matches(text, '[#$%&*|]') AS INTEGER) + 16 * cast(coalesce(w.doc_id > first_id, false) AS INTEGER) AS fails
+      FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM f GROUP BY part, fails),
+letters AS (SELECT 'A' AS x, 1 AS b UNION ALL SELECT 'B', 2 UNION ALL SELECT 'C', 4 UNION ALL SELECT 'D', 8 UNION ALL SELECT 'E', 16),
+o AS (SELECT '' AS s, 0 AS m UNION ALL SELECT s || x, m + b FROM o, letters WHERE m & b = 0),
+orders AS (SELECT s FROM o WHERE length(s) = 5),
+steps AS (SELECT s AS filter_order, k AS step, cast((SELECT sum(b) FROM letters WHERE instr(left(s, k - 1), x) > 0) AS INTEGER) AS m, b FROM orders, range(1, 6) t(k), letters WHERE x = s[k]),
+r AS (SELECT part, filter_order, step, b, sum(CASE WHEN fails & (coalesce(m, 0) | b) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN fails & coalesce(m, 0) = 0 AND fails & b > 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails & coalesce(m, 0) > 0 AND fails & b > 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN fails = b THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN fails & coalesce(m, 0) = 0 AND fails & b > 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN fails & coalesce(m, 0) = 0 AND fails & b > 0 THEN toxic ELSE 0 END) AS toxic_lost FROM c, steps GROUP BY part, filter_order, step, b)
+SELECT part, filter_order, cast(step AS INTEGER) AS step, cast(kept AS BIGINT) AS kept, cast(removed AS BIGINT) AS removed, cast(redundant AS BIGINT) AS redundant, cast(unique_fails AS BIGINT) AS unique_fails,
+  cast(good_lost AS BIGINT) AS good_lost, cast(toxic_lost AS BIGINT) AS toxic_lost, cast(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley FROM r
+"""
+
+_OP13 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, cast(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, 1 AS s, w[i] AS phrase FROM i UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1] FROM i WHERE i + 1 <= len(w) UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM i WHERE i + 2 <= len(w)),
+f AS MATERIALIZED (SELECT lang, s, phrase, count(*) AS f, string_split(phrase, ' ') AS g FROM g GROUP BY lang, s, phrase HAVING count(*) >= 10),
+cut AS (SELECT lang, s, phrase, f AS a, 1 AS k, g[1] AS first, array_to_string(g[2:], ' ') AS rest FROM f WHERE s >= 2 UNION ALL SELECT lang, s, phrase, f, 2, g[1] || ' ' || g[2], g[3] FROM f WHERE s = 3),
+sc AS (SELECT c.lang, c.s, c.phrase, c.a, k, x.f AS l, y.f AS r, cast(1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+       FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+most AS (SELECT lang, phrase, max(f) AS m FROM (SELECT lang, g[1] || ' ' || g[2] AS phrase, f FROM f WHERE s = 3 UNION ALL SELECT lang, g[2] || ' ' || g[3], f FROM f WHERE s = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN most ON most.lang = b.lang AND most.phrase = b.phrase AND b.s = 2 WHERE m IS NULL OR 100 * m < 50 * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    known = {"op1_decontamination": _OP1, "op2_near_duplicates": _OP2, "op5_tool_calls": _OP5, "op9_near_duplicate_vectors": _OP9, "pipeline": corpus_pipeline.ORACLE_SQL}
+    known = {"op1_decontamination": _OP1, "op2_near_duplicates": _OP2, "op5_tool_calls": _OP5, "op9_near_duplicate_vectors": _OP9, "op12_filter_audit": _OP12, "op13_collocations": _OP13, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in known.items() if v is not None}

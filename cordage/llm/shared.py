@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_folder
@@ -17,17 +17,23 @@ _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _made: list[str] = []
 
 
+def made_folder(spark: SparkSession, what: str) -> str:
+    """A new place in the shared folder for a table that is written in parts; it goes with those of ``passing_tables``."""
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def written(df: DataFrame, what: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back.
 
     The read starts a new lineage, so a lost executor costs a re-read and not
     a recomputation, and each reader loads only the columns that it uses.
     """
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    path = made_folder(df.sparkSession, what)
     df.write.format(fmt).options(**options).save(path)
     table = df.sparkSession.read.schema(df.schema).format(fmt).load(path)
     _paths[table] = path
-    _made.append(path)
     return table
 
 
@@ -104,6 +110,19 @@ def bases(counts: DataFrame, amount: str, kind: str, part: str, group: int = 102
     return small_side(written(joined.select(*counts.columns, (F.col("__outer") + F.col("__inner")).alias("base")), "bases"), 1 << 20)
 
 
+def positions(df: DataFrame, *order: Column | str) -> DataFrame:
+    """A stored ``df`` with ``position``, the number of rows that come before in ``order``, which tells all rows apart.
+
+    Rows are sorted by ranges, and a count for each range places it among all: no task holds more than a range.
+    """
+    at = written(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "sorted")
+    at = at.withColumn("__part", F.shiftright("__at", 33))
+    counts = at.groupBy(F.col("__part").alias("__range")).agg(F.count("*").alias("__count")).withColumn("__all", F.lit(0))
+    base = bases(counts, "__count", "__all", "__range").select("__range", "base")
+    inner = F.col("__at") - F.shiftleft("__part", 33)
+    return at.join(base, F.col("__part") == F.col("__range")).select(*df.columns, (F.col("base") + inner).alias("position"))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
