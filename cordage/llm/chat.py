@@ -8,6 +8,8 @@ call becomes one canonical JSON message.
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,9 +22,50 @@ CALL = "conv_id long, call_id string, turn long, name string, arguments string,
 RESULT = "conv_id long, call_id string, turn long, content string"
 
 
+#: Nested arrays and objects that arguments may have; deeper ones are no JSON to this library.
+DEEPEST = 100
+
+
 def canonical(value: object) -> str:
-    """JSON with sorted keys, no blanks, and characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no blanks, and characters as they are; half a surrogate pair, which no text can hold, stays escaped."""
+    out = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", out)
+
+
+def _refuse(what: str) -> object:
+    raise ValueError(what)
+
+
+def _once(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    return dict(pairs) if len(dict(pairs)) == len(pairs) else _refuse("a key twice")
+
+
+def _finite(digits: str) -> float:
+    value = float(digits)
+    return value if math.isfinite(value) else _refuse("too large")
+
+
+def _whole(digits: str) -> int:
+    return int(digits) if len(digits) <= 4000 else _refuse("too large")  # Python's own limit for reading and writing is 4,300
+
+
+def _depth(text: str) -> int:
+    """The deepest nesting of brackets outside of strings."""
+    deepest = now = 0
+    for bracket in _BRACKETS.findall(_STRINGS.sub("", text)):
+        now += 1 if bracket in "[{" else -1
+        deepest = max(deepest, now)
+    return deepest
+
+
+_BRACKETS, _STRINGS = re.compile(r"[\[\]{}]"), re.compile(r'"(?:[^"\\]|\\.)*+"', re.DOTALL)
+
+
+def parsed(text: str) -> object:
+    """The value of strict JSON, or ``ValueError``: for ``NaN`` and infinities, numbers that no double or 4,000 digits hold, a key that an object has twice, and more than ``DEEPEST`` levels."""
+    if _depth(text) > DEEPEST:
+        raise ValueError("too deep")
+    return json.loads(text, parse_constant=_refuse, parse_float=_finite, parse_int=_whole, object_pairs_hook=_once)
 
 
 _TYPES = {
@@ -36,6 +79,27 @@ _TYPES = {
 }
 
 
+def _known_types(schema: dict) -> None:
+    """Refuse a schema with a type that there is none of, before any task begins."""
+    kinds = schema.get("type", [])
+    for kind in [kinds] if isinstance(kinds, str) else kinds:
+        if kind not in _TYPES:
+            raise ValueError(f"unknown type in a schema: {kind}")
+    for part in (*schema.get("properties", {}).values(), *([schema["items"]] if "items" in schema else [])):
+        _known_types(part)
+
+
+def _same(a: object, b: object) -> bool:
+    """Equality of JSON: true is not 1."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return a == b
+
+
 def schema_errors(value: object, schema: dict, at: str = "$") -> list[str]:
     """Faults of ``value`` by ``type``, ``enum``, ``required``, ``properties``, ``additionalProperties``, ``items``, ``minLength`` and ``minimum``."""
     kinds = schema.get("type")
@@ -43,7 +107,7 @@ def schema_errors(value: object, schema: dict, at: str = "$") -> list[str]:
     if kinds and not any(_TYPES[k](value) for k in kinds):
         return [f"{at}: not {' or '.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, v) for v in schema["enum"]):
         out.append(f"{at}: not in enum")
     if isinstance(value, str) and len(value) < schema.get("minLength", 0):
         out.append(f"{at}: too short")
@@ -72,7 +136,7 @@ def _message(schemas: dict[str, dict]):
                 arguments = None
                 if r["status"] != "orphan_result":
                     try:
-                        arguments = json.loads(r["arguments"]) if r["arguments"] is not None else {}
+                        arguments = parsed(r["arguments"]) if r["arguments"] is not None else {}
                     except ValueError:
                         found.append("$: not JSON")
                     else:
@@ -85,7 +149,7 @@ def _message(schemas: dict[str, dict]):
                     message |= {"name": r["name"], "arguments": arguments, "after": sorted({a for a in r["after"] or () if a is not None})}
                 if r["content"] is not None:
                     message["content"] = r["content"]
-                errors.append(sorted(found))
+                errors.append([f.encode("utf-8", "backslashreplace").decode() for f in sorted(found)])  # names may hold half a surrogate pair
                 messages.append(canonical(message))
             kept = [c for c in batch.schema.names if c not in ("name", "arguments", "after", "content")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(errors, pa.list_(pa.string())), pa.array(messages, pa.string())], names=[*kept, "errors", "message"])
@@ -151,9 +215,12 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     ``message``. Sorting by ``conv_id, level, turn, call_id`` is a topological
     order. Of an id's repeated calls or results the first by turn, then by
     content, counts. Rows with a null ``conv_id`` or ``call_id`` match nothing
-    and are left out. Null arguments are ``{}``; arguments that are no JSON, or
-    of an unknown tool, are invalid. Other columns are ignored.
+    and are left out. Null arguments are ``{}``; arguments that are no JSON, by
+    the rule of ``parsed``, or of an unknown tool, are invalid, and the former are null in the message. A
+    schema with an unknown type is a ``ValueError``. Every message is strict JSON. Other columns are ignored.
     """
+    for schema in schemas.values():
+        _known_types(schema)
     key = ["conv_id", "call_id"]
     first = lambda rows, cols, n: rows.where("conv_id is not null and call_id is not null").groupBy(*key).agg(F.min(F.struct(*cols)).alias("r"), F.count("*").alias(n)).select(*key, n, "r.*")
     calls = written(first(calls.selectExpr("cast(conv_id AS long) AS conv_id", "call_id", "cast(turn AS long) AS turn", "name", "arguments", "cast(after AS array<string>) AS after"), ["turn", "name", "arguments", "after"], "n_calls"), "calls")

@@ -111,23 +111,8 @@ def _doc_windows(prints: np.ndarray, lengths: list[int], window: int, k: int):
     return run
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
-    """Per document the words inside passages of benchmark items, and the items.
-
-    ``docs`` has ``doc_id`` and ``text``, ``items`` ``item_id`` and ``text``.
-    Words are runs of digits, letters and code points from 128 on, after A-Z
-    become lower case. An item's windows are its runs of ``window`` words, or
-    all its words where it has fewer. ``k`` of at most ``window`` sets the
-    fingerprints; results do not depend on it.
-
-    Returns ``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` (of
-    the item ids in string order, comma-joined; of the empty string without
-    any), ``contaminated``, ``hits`` (sorted ``struct<at, n>`` in words). A null
-    or empty text has no words. Items without words or with a null id match
-    nothing; repeated items count once. Rows with equal id and text give one
-    row; a null ``doc_id`` is a document like any other. Other columns are
-    ignored. The items' fingerprints reach the tasks as a bitmap of fixed size.
-    """
+def _hits(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
+    """The columns of ``benchmark_hits`` and ``text_key``, a hash of the text."""
     item_rows = items.select(F.col("item_id").cast("long"), "text").mapInArrow(_item_windows(window, k), ITEM_SCHEMA)
     item_rows = written(item_rows.distinct(), "benchmark")
     lengths = sorted(r.n for r in item_rows.select("n").distinct().collect())  # at most ``window`` values
@@ -144,6 +129,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
         'upto', greatest(s.upto, h.at + h.n), 'n', s.n + greatest(0, h.at + h.n - greatest(h.at, s.upto))), s -> s.n)"""
     return grouped.select(
         "doc_id",
+        "text_key",
         "n_words",
         F.expr(covered).cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -153,12 +139,34 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     )
 
 
+def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
+    """Per document the words inside passages of benchmark items, and the items.
+
+    ``docs`` has ``doc_id`` and ``text``, ``items`` ``item_id`` and ``text``.
+    Words are runs of digits, letters and code points from 128 on, after A-Z
+    become lower case. An item's windows are its runs of ``window`` words, or
+    all its words where it has fewer. ``k`` of at most ``window`` sets the
+    fingerprints; results do not depend on it.
+
+    Returns ``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` (of
+    the item ids in string order, comma-joined; of the empty string without
+    any), ``contaminated``, ``hits`` (sorted ``struct<at, n>`` in words). A null
+    or empty text has no words. Items without words or with a null id match
+    nothing; repeated items count once. Rows with equal id and text give one
+    row; a null ``doc_id`` is a document like any other. Other columns are
+    ignored. The items' fingerprints reach the tasks as a bitmap of fixed size.
+    """
+    return _hits(docs, items, window, k).drop("text_key")
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window, all columns kept.
 
-    Documents are told apart by ``doc_id``; one without an id is judged by its text alone. Rows that share an id go
-    together if one of them holds a window. Null and empty texts stay, and no rows give none.
+    Documents are told apart by ``doc_id``; one without an id is judged by its text alone, whatever ids there are. Rows that
+    share an id go together if one of them holds a window, a row of null or empty text too; without an id such a row stays. No rows give none.
     """
-    hits = benchmark_hits(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), items, window, k)
-    bad = written(hits.where("contaminated").select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")) == F.col("__bad"), "left_anti")
+    named, key = (lambda c: F.col(c).isNotNull()), (lambda c, text: F.coalesce(F.col(c).cast("long"), text))
+    hits = _hits(docs, items, window, k).where("contaminated")
+    bad = written(hits.select(named("doc_id").alias("__named"), key("doc_id", F.col("text_key")).alias("__bad")).distinct(), "contaminated")
+    is_bad = (named("doc_id") == F.col("__named")) & (key("doc_id", F.xxhash64("text")) == F.col("__bad"))
+    return docs.join(bad, is_bad, "left_anti")
