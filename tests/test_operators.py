@@ -57,6 +57,26 @@ def test_containment_against_brute_force(spark, seed):
     assert {x.record: x.seed for x in found.collect()} == by_force(records, seeds)
 
 
+@pytest.mark.parametrize("common", [1, 16, 10**6])
+def test_containment_in_two_rounds(spark, common, monkeypatch):
+    monkeypatch.setattr(merge.candidates, "__defaults__", (common,))
+    rng = random.Random(common)
+    seeds = [(i, rng.choice(["School#0000001", "green valley school", "Green", "x", "日本 学校", "école"]) + str(rng.randrange(9))) for i in range(40)]
+    records = [(i, rng.choice(["", "the "]) + (rng.choice(seeds)[1] if rng.random() < 0.5 else rng.choice(["School#00000017", "valley", "本 学", "een valley school4"])) + rng.choice(["", "2", " of"])) for i in range(80)]
+    found = merge.first_containment(spark.createDataFrame(records, "r long, name string"), spark.createDataFrame(seeds, "s long, name string"), "r", "name", "s", "name")
+    assert {x.record: x.seed for x in found.collect()} == by_force(records, seeds)
+
+
+def test_names_that_begin_alike_are_few_candidates(spark):
+    names = [f"School#{i:09d}" for i in range(4000)] + [f"Bangkok International School Campus {i}" for i in range(2000)]
+    rows = spark.createDataFrame(list(enumerate(n.lower() for n in names)), "pos long, name string")
+    pairs = merge.candidates(rows, rows)
+    true = 4000 + sum(1 for i in range(2000) for j in range(2000) if str(j).startswith(str(i)))
+    assert true <= pairs.distinct().count() <= pairs.count() < true + 6000
+    found = merge.first_containment(rows, rows, "pos", "name", "pos", "name")
+    assert found.count() == 6000 and found.where("record <> seed and record < 4000").count() == 0
+
+
 def test_merge(spark):
     catalogue = spark.createDataFrame([(1, "Alpha School", "IB", 5), (2, "Beta", "French", 6), (3, "Gamma", None, 7)], "id long, name string, curriculum string, start long")
     records = spark.createDataFrame([(1, "alpha", "British", 9), (2, "The Alpha School of X", "Unclear", None), (3, "beta", "", 0), (4, None, "US", 1)], "pos long, school string, curriculum string, low long")
