@@ -13,8 +13,9 @@ from ..functions import values as val
 from ..operators import costs, facets, fees, links, lookup, merge, state, texts, upsert, validate
 from ..sources import records
 from ..sources.scratch import shared_folder
+from ..sources.merge_on_read import MergeTable
 from ..sources.versions import VersionedTable
-from .ingest import ingest, split
+from .ingest import ingest, quarantined, recover, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -376,6 +377,47 @@ def ingest_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/log").select("school_name", "step", "status", "decision_reasoning")
 
 
+@_query("""WITH b AS (SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal FROM customer),
+d AS (SELECT CASE WHEN k % 50 = 0 THEN upper(name) ELSE name END AS name, k, CASE WHEN k % 50 = 0 THEN bal + 2 ELSE bal END AS bal FROM b WHERE k % 33 <> 0 UNION ALL SELECT 'New ' || name, k, bal FROM b WHERE k % 40 = 1),
+c AS (SELECT name, k, bal FROM d WHERE starts_with(name, 'New ') OR NOT (k % 50 = 0 OR k % 99 = 0) UNION ALL SELECT lower(name), k, 0 FROM b WHERE k % 50 = 0 OR k % 99 = 0)
+SELECT 'deltas' AS state, name, k, bal FROM d UNION ALL SELECT 'compacted', name, k, bal FROM d UNION ALL SELECT 'delta on top', name, k, bal FROM c UNION ALL SELECT 'rolled back', name, k, bal FROM b""")
+def merge_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"))
+    table = MergeTable(spark, _new_folder(spark, "merged"), "name", base.schema, buckets=16)
+    state_of = lambda name: table.read().select(F.lit(name).alias("state"), "name", "k", "bal")
+    first = table.commit(base)
+    some = base.where("k % 50 = 0").withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
+    table.upsert(some.withColumns({"name": F.upper("name"), "bal": F.col("bal") + F.col("seq")}), "seq")
+    table.upsert(base.where("k % 40 = 1").withColumns({"name": F.concat(F.lit("New "), "name"), "seq": F.lit(1)}), "seq")
+    table.remove(base.where("k % 33 = 0"))
+    out = state_of("deltas")
+    table.compact()
+    out = out.unionByName(state_of("compacted"))
+    table.upsert(base.where("k % 50 = 0 or k % 99 = 0").withColumns({"name": F.lower("name"), "bal": F.lit(0.0), "seq": F.lit(1)}), "seq")
+    out = out.unionByName(state_of("delta on top"))
+    table.rollback(first)
+    return out.unionByName(state_of("rolled back"))
+
+
+@_query(f"""WITH {_RECORDS}, s AS (SELECT k, len(errors) > 0 AS bad, cur, k % 2 AS half FROM e)
+SELECT 'table' AS what, cast(half AS VARCHAR) AS batch, count(*) AS n, max(k) AS last FROM s WHERE NOT bad GROUP BY half
+UNION ALL SELECT 'quarantine', cast(half AS VARCHAR), count(*), max(k) FROM s WHERE bad GROUP BY half
+UNION ALL SELECT 'log', cast(half AS VARCHAR), cast(sum(CASE WHEN bad THEN 1 ELSE 2 END) AS BIGINT), max(k) FROM s GROUP BY half""")
+def ingest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches, each given twice, into a table that merges on read: what the table, the quarantine and the log hold of each."""
+    named = customer_records(spark, sf_dir).select(F.concat(F.lit("Customer "), F.col("k").cast("string")).alias("school_name"), F.col("k").alias("seq"), "*")
+    folder = _new_folder(spark, "ingest")
+    table = MergeTable(spark, f"{folder}/table", "school_name", named.drop("seq").schema, buckets=16)
+    for half in ("0", "1", "0", "1"):
+        ingest(table, f"{folder}/batches", named.where(F.col("k") % 2 == int(half)), "school_name", "seq", f"{folder}/log", batch=half)
+    recover(table, f"{folder}/batches", "school_name", f"{folder}/log")
+    half = (F.col("k") % 2).cast("string").alias("batch")
+    saved = table.read().select(F.lit("table").alias("what"), half, "k")
+    failed = quarantined(spark, f"{folder}/batches").select(F.lit("quarantine").alias("what"), F.col("batch").cast("string").alias("batch"), "k")
+    log = spark.read.parquet(f"{folder}/log").select(F.lit("log").alias("what"), F.col("batch").cast("string").alias("batch"), F.substring_index("school_name", " ", -1).cast("bigint").alias("k"))
+    return saved.unionByName(failed).unionByName(log).groupBy("what", "batch").agg(F.count("*").alias("n"), F.max("k").alias("last"))
+
+
 # Pages and texts
 
 _PLAIN_ANCHOR = r'<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)</a>'  # all anchors of the test tables are of this form

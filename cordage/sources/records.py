@@ -49,8 +49,13 @@ def with_default_date(rows: DataFrame, column: str = "lastUpdated") -> DataFrame
     return rows.withColumn(column, F.coalesce(filled(F.col(column)), F.lit(NO_DATE)))
 
 
-def append_log(steps: DataFrame, path: str) -> None:
-    """Add steps to the log, with the time of writing where a step has none."""
+def stamped_log(steps: DataFrame) -> DataFrame:
+    """Steps in the columns of the log, with the time of writing where a step has none."""
     names = [c.split()[0] for c in LOG.split(", ")]
     stamped = steps.withColumn("at", F.coalesce("at", F.current_timestamp())) if "at" in steps.columns else steps.withColumn("at", F.current_timestamp())
-    stamped.select(*names).write.mode("append").parquet(path)
+    return stamped.select(*names)
+
+
+def append_log(steps: DataFrame, path: str) -> None:
+    """Add steps to the log."""
+    stamped_log(steps).write.mode("append").parquet(path)

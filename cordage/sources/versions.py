@@ -31,8 +31,7 @@ class VersionedTable:
         return max(moves, key=lambda m: m[1])[0] if moves else None
 
     def _point(self, version: int) -> None:
-        last = max((int(n.split("-")[1]) for n in self._names("at=")), default=0)
-        if not self._fs.createNewFile(self._of(f"at={version}-{last + 1}")):  # one file, made at once or not at all
+        if not self._fs.createNewFile(self._of(f"at={version}-{self.moves() + 1}")):  # one file, made at once or not at all
             raise RuntimeError("another writer moved the pointer")
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -42,9 +41,21 @@ class VersionedTable:
             raise FileNotFoundError(f"no version of {self.path}")
         return self.spark.read.parquet(f"{self.path}/v={version}")
 
+    def next_version(self) -> int:
+        """The number that the next commit will have."""
+        return max(map(int, self._names("v=")), default=0) + 1
+
+    def moves(self) -> int:
+        """How often the pointer has been moved."""
+        return max((int(n.split("-")[1]) for n in self._names("at=")), default=0)
+
+    def was_published(self, version: int) -> bool:
+        """Whether the pointer ever stood on ``version``."""
+        return any(n.split("-")[0] == str(version) for n in self._names("at="))
+
     def commit(self, rows: DataFrame) -> int:
         """Write ``rows`` as a new version and make it the current one."""
-        version = max(map(int, self._names("v=")), default=0) + 1
+        version = self.next_version()
         rows.write.parquet(f"{self.path}/v={version}")
         self._point(version)
         return version
