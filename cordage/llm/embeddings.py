@@ -2,11 +2,9 @@
 
 Each pass hashes vectors to the signs of random projections and orders them by
 the concatenated bits. A vector is compared with a bounded window of its
-successors in that order, and the verified pairs of all passes are united. A
-label larger than a window is also compared exactly: its vectors go to the
-nearest of some pivots, and blocks of two cells are compared but for the vectors
-whose angle to the other pivot rules a link out. Links are then counted inside
-each component, block by block.
+successors in that order, and the verified pairs of all passes are united.
+Passes go on, in rounds, until a round joins next to nothing. Links are then
+counted inside each component, block by block.
 """
 
 from __future__ import annotations
@@ -16,14 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .shared import connected_components, discard, written
+from .shared import connected_components, discard, positions, written
 
-KEY_SCHEMA = "pass int, label int, dim int, key long, cid long"
+KEY_SCHEMA = "pass int, gid long, key long, cid long"
 
 
 def _rows(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
@@ -34,8 +30,8 @@ def _rows(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _keys(passes: int, window: int, seed: int):
-    """A row for each vector and pass; of labels that a window holds whole, for the first pass alone."""
+def _keys(first: int, passes: int, window: int, seed: int):
+    """A row for each vector and pass from ``first`` on; of groups that a window holds whole, for pass 0 alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -44,7 +40,8 @@ def _keys(passes: int, window: int, seed: int):
             for dim in np.unique(dims).tolist():
                 at = pa.array(np.flatnonzero(dims == dim))
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, 64 * passes)).astype(np.float32)
+                    drawn = [np.random.default_rng([seed, dim, p]).standard_normal((dim, 64)) for p in range(first, first + passes)]
+                    planes[dim] = np.concatenate(drawn, axis=1).astype(np.float32)
                 for begin in range(0, len(at), 4096):
                     some = batch.take(at.slice(begin, 4096))
                     bits = _rows(some.column("embedding").take(pa.array(range(some.num_rows))), dim).astype(np.float32) @ planes[dim] > 0
@@ -52,23 +49,12 @@ def _keys(passes: int, window: int, seed: int):
                     large = pa.array(some.column("n").to_numpy() > window)
                     for p in range(passes):
                         signed = pa.array((keys[:, p] ^ np.uint64(1 << 63)).astype(np.int64))
-                        rows = [pa.array(np.full(some.num_rows, p), pa.int32()), some.column("label"), some.column("dim"), signed, some.column("cid")]
-                        yield pa.RecordBatch.from_arrays(rows if p == 0 else [r.filter(large) for r in rows], names=["pass", "label", "dim", "key", "cid"])
+                        rows = [pa.array(np.full(some.num_rows, first + p), pa.int32()), some.column("gid"), signed, some.column("cid")]
+                        yield pa.RecordBatch.from_arrays(rows if first + p == 0 else [r.filter(large) for r in rows], names=["pass", "gid", "key", "cid"])
 
     return run
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, done = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(done, done + n)), *(batch.column(c) for c in ("pass", "label", "dim", "cid"))],
-            names=["part", "place", "pass", "label", "dim", "cid"],
-        )
-        done += n
-
-
 def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One edge for each of ``n`` places that is not the smallest of its group, to that smallest place."""
     root = np.arange(n)
@@ -86,7 +72,7 @@ def _window_links(window: int, least: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", ignore_index=True)
         out = []
-        for _, run_ in pdf.groupby(["pass", "label", "dim"], sort=False):
+        for _, run_ in pdf.groupby(["pass", "gid"], sort=False):
             x, cid = _rows(run_.embedding, int(run_.dim.iloc[0])), run_.cid.to_numpy()
             n, left, right = len(x), [], []
             for a in range(0, n, 256):
@@ -102,60 +88,6 @@ def _window_links(window: int, least: float):
     return run
 
 
-def _by_label(batch: pa.RecordBatch, most: int = 4096) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
-    keys = np.stack([batch.column("label").to_numpy(), batch.column("dim").to_numpy()])
-    for label, dim in np.unique(keys, axis=1).T.tolist():
-        at = np.flatnonzero((keys[0] == label) & (keys[1] == dim))
-        for begin in range(0, len(at), most):
-            yield (label, dim), batch.take(pa.array(at[begin : begin + most]))
-
-
-def _angles(some: pa.RecordBatch, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(_rows(some.column("embedding"), pivots.shape[1]) @ pivots.T, -1, 1))
-
-
-def _homes(pivots: dict[tuple[int, int], np.ndarray]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, some in _by_label(batch):
-                angles = _angles(some, pivots[key])
-                cell = angles.argmin(axis=1)
-                added = [pa.array(cell, pa.int32()), pa.array(angles[np.arange(len(cell)), cell])]
-                yield pa.RecordBatch.from_arrays([*some.columns, *added], names=[*some.schema.names, "cell", "angle"])
-
-    return run
-
-
-def _meetings(pivots: dict[tuple[int, int], np.ndarray], cells: dict[tuple[int, int], np.ndarray], least: float):
-    """Each vector with its ``own`` block and the ``others`` whose cells can hold a link of it.
-
-    ``cells`` has for each cell its blocks before, its blocks, and its least and
-    greatest angle. For a link of x in cell h to y in cell o the triangle
-    inequality puts the angle of x to o within theta of the range of o, and, as
-    y is nearer to o than to h, within 2 theta of the angle of x to h.
-    """
-    theta, slack = float(np.arccos(np.clip(least, -1, 1))), 1e-6
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, some in _by_label(batch, 1024):
-                before, parts, low, high = cells[key].T
-                angles, home = _angles(some, pivots[key]), some.column("cell").to_numpy()
-                own_angle = some.column("angle").to_numpy()[:, None]
-                meets = (angles <= own_angle + 2 * theta + slack) & (angles <= high + theta + slack) & (angles >= low - theta - slack)
-                meets[np.arange(len(home)), home] = True
-                row, other = np.nonzero(np.repeat(meets, parts.astype(int), axis=1))
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(home)))])
-                own = before[home].astype(int) + some.column("salt").to_numpy() % parts[home].astype(int)
-                others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(other, pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [*(some.column(c) for c in ("label", "dim", "cid", "embedding")), pa.array(own, pa.int32()), others],
-                    names=["label", "dim", "cid", "embedding", "own", "others"],
-                )
-
-    return run
-
-
 def _block_edges(least: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
@@ -176,39 +108,6 @@ def _block_edges(least: float):
     return run
 
 
-def _exact_edges(classes: DataFrame, least: float, window: int, block: int) -> DataFrame:
-    """Edges that join all linked vectors of the labels with more than ``window`` of them.
-
-    A label of ``n`` vectors has about ``n / block`` pivots, 1,024 at most; they
-    and a row for each cell reach the driver. A cell of any size is cut in blocks.
-    """
-    key, named = ["label", "dim"], lambda r: (r["label"], r["dim"])
-    rows = classes.where(F.col("n") > window).select(*key, "cid", "embedding", F.xxhash64("cid").alias("salt"), "n")
-    whole = rows.where(F.col("n") <= block).select(*key, "cid", "embedding", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
-    large = rows.where(F.col("n") > block)
-
-    wanted = F.least(F.ceil(F.col("n") / block), F.lit(1024))
-    drawn: dict[tuple[int, int], list] = {named(r): [] for r in large.select(*key).distinct().toArrow().to_pylist()}
-    for r in large.where(F.pmod(F.xxhash64("salt"), F.col("n")) < wanted).select(*key, "embedding").toArrow().to_pylist():
-        drawn[named(r)].append(r["embedding"])
-    if not drawn:
-        return _dealt(whole, *key, "i", "j").groupBy(*key, "i", "j").applyInPandas(_block_edges(least), "a long, b long")
-    pivots = {k: _rows(pd.Series([np.array(v) for v in vs]), k[1]) if vs else np.eye(1, k[1]) for k, vs in drawn.items()}
-
-    kept = large.select(*key, "cid", "embedding", "salt")
-    kind = kept.schema["embedding"].dataType
-    homes = written(kept.mapInArrow(_homes(pivots), T.StructType([*kept.schema, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])), "cells")
-    cells = {k: np.tile([0.0, 0.0, np.inf, -np.inf], (len(v), 1)) for k, v in pivots.items()}
-    for r in homes.groupBy(*key, "cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).toArrow().to_pylist():
-        cells[named(r)][r["cell"]] = 0, -(-r["n"] // block), r["low"], r["high"]
-    for v in cells.values():
-        v[:, 0] = np.cumsum(v[:, 1]) - v[:, 1]
-    schema = T.StructType([*(kept.schema[c] for c in (*key, "cid")), T.StructField("embedding", kind), T.StructField("own", T.IntegerType()), T.StructField("others", T.ArrayType(T.IntegerType()))])
-    met = homes.mapInArrow(_meetings(pivots, cells, least), schema).withColumn("other", F.explode("others"))
-    met = met.select(*key, "cid", "embedding", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return _dealt(whole.union(met), *key, "i", "j").groupBy(*key, "i", "j").applyInPandas(_block_edges(least), "a long, b long")
-
-
 def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
     """``rows`` by ``keys`` over a fixed number of tasks: their work follows the square of a block, so they are not to be merged by bytes."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -234,13 +133,32 @@ def _block_links(least: float):
     return run
 
 
+def _pairs_of_blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """``rows`` (``key``, ``size`` of its group, ``cid``) for every pair (``i``, ``j``) of blocks of a group, on one ``side`` of it: each row once for each block."""
+    parts = F.ceil(F.col("size") / block).cast("int")
+    cut = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    left = cut.withColumn("i", F.col("own")).withColumn("j", F.explode(F.expr("sequence(own, parts - 1)"))).withColumn("side", F.lit(0))
+    right = cut.where("own > 0").withColumn("j", F.col("own")).withColumn("i", F.explode(F.expr("sequence(0, own - 1)"))).withColumn("side", F.lit(1))
+    return _dealt(left.unionByName(right).drop("own", "parts", "size"), key, "i", "j")
+
+
+def _pass_edges(classes: DataFrame, first: int, passes: int, least: float, window: int, block: int, seed: int) -> DataFrame:
+    """Edges that join what the windows of these passes link, at most one for each vector of a window."""
+    keys = classes.select("gid", "dim", "cid", "embedding", "n").mapInArrow(_keys(first, passes, window, seed), KEY_SCHEMA)
+    ranked = positions(keys, "pass", "gid", "key", "cid").withColumnRenamed("position", "rank")
+    at = f"cast(rank div {block} as long)"
+    shown = f"if(rank % {block} < {window} and rank >= {block}, array({at}, {at} - 1), array({at}))"  # a window may reach into the next block
+    blocks = ranked.select("pass", "gid", "cid", "rank", F.explode(F.expr(shown)).alias("block")).join(classes.select("cid", "dim", "embedding"), "cid")
+    return _dealt(blocks, "block").groupBy("block").applyInPandas(_window_links(window, least), "a long, b long").distinct()
+
+
 def near_duplicate_vectors(
-    vectors: DataFrame, least: float = 0.98, passes: int = 4, window: int = 512, block: int = 2048, seed: int = 7
+    vectors: DataFrame, least: float = 0.98, passes: int = 8, most_passes: int = 32, window: int = 1024, block: int = 4096, settled: float = 0.001, exact: bool = False, seed: int = 7
 ) -> DataFrame:
     """Groups of vectors of one label with a cosine of ``least`` or more.
 
     ``vectors`` has ``vec_id``, ``embedding`` (an array of floats or doubles)
-    and ``label``. Only vectors of equal label and length are compared. A null
+    and ``label``, of any type that can be grouped. Only vectors of equal label and length are compared. A null
     id or label, and a vector that is null, empty, zero or holds a null or
     non-finite component, links with nothing. Returns ``vec_id``, ``n_links``
     (other vectors linked directly, equal ones too), ``component_id`` (the
@@ -248,14 +166,14 @@ def near_duplicate_vectors(
     row; unlinked rows are their own component. Equal vectors of a label are
     one class. Other columns are ignored.
 
-    Counts and components are exact. One pass meets the pairs of
-    labels of at most ``window`` vectors in full; a larger label goes through all
-    ``passes``, which join most of what is linked, and is then compared in
-    blocks of ``block``, which takes a number of comparisons that grows with the
-    square of the label where its vectors are too near each other, or too evenly
-    spread, for angles to pivots to tell blocks apart.
+    All joins come from the passes. A label of at most ``window`` vectors lies in one window of the first pass, which misses
+    nothing. A larger one goes through rounds of ``passes`` until a round joins no more than ``settled``
+    of what has been joined, or ``most_passes`` are made. A link is only missed if no pass brings its vectors, nor
+    others that join them, within a window; no link below ``least`` is made. On 20,000 vectors of one label
+    with mutual cosines of about 0.95 and partners at 0.982 the recall measured is in README. ``exact`` compares labels larger
+    than a window in full as well, which takes the square of a label. Links are counted exactly inside each component.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("cid"), "embedding", F.col("label").cast("int").alias("label"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("cid"), "embedding", "label")
     sound = """label is not null and cid is not null and size(embedding) > 0
         and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"""
     rows = rows.withColumn("sound", F.coalesce(F.expr(sound), F.lit(False)))
@@ -263,33 +181,28 @@ def near_duplicate_vectors(
     distinct = written(
         rows.where("sound").groupBy(*key).agg(F.min("cid").alias("cid"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")), "classes"
     )
-    classes = written(distinct.join(distinct.groupBy("label", "dim").agg(F.count("*").alias("n")), ["label", "dim"]), "vectors")
+    groups = written(distinct.groupBy("label", "dim").agg(F.count("*").alias("n")).withColumn("gid", F.monotonically_increasing_id()), "groups")
+    classes = written(distinct.join(groups, ["label", "dim"]), "vectors")
+    large = not groups.where(F.col("n") > window).isEmpty()
     discard(distinct)
-    order = ["pass", "label", "dim", "key", "cid"]
-    keys = written(classes.select("label", "dim", "cid", "embedding", "n").mapInArrow(_keys(passes, window, seed), KEY_SCHEMA), "keys")
-    placed = written(
-        keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, "part int, place long, pass int, label int, dim int, cid long"), "order"
-    )
-    discard(keys)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    ranked = placed.join(F.broadcast(bases), "part").withColumn("rank", F.col("base") + F.col("place"))  # a row for each partition
-    at = f"cast(rank div {block} as long)"
-    shown = f"if(rank % {block} < {window} and rank >= {block}, array({at}, {at} - 1), array({at}))"
-    blocks = ranked.select("pass", "label", "dim", "cid", "rank", F.explode(F.expr(shown)).alias("block")).join(classes.select("cid", "embedding"), "cid")
-    edges = _dealt(blocks, "block").groupBy("block").applyInPandas(_window_links(window, least), "a long, b long")
-    edges = edges.union(_exact_edges(classes, least, window, block)).distinct()
-    roots = written(connected_components(edges), "roots")
-    discard(placed)
-
-    grouped = classes.drop("n").join(roots, F.col("cid") == F.col("node")).drop("node")
-    parts = roots.groupBy("root").count().select("root", F.expr(f"cast(ceil(count / {block}.0) as int)").alias("parts"))
-    grouped = grouped.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    pair = ["root", "i", "j"]
-    columns = [*pair, "side", "cid", "copies", "dim", "embedding"]
-    left = grouped.withColumn("i", F.col("own")).withColumn("j", F.explode(F.expr("sequence(own, parts - 1)"))).withColumn("side", F.lit(0))
-    right = grouped.where("own > 0").withColumn("j", F.col("own")).withColumn("i", F.explode(F.expr("sequence(0, own - 1)"))).withColumn("side", F.lit(1))
-    linked = _dealt(left.select(*columns).union(right.select(*columns)), *pair).groupBy(*pair).applyInPandas(_block_links(least), "cid long, links long")
+
+    roots, joined, first = None, 0, 0
+    while first == 0 or large and first < most_passes:
+        todo, n = (classes, passes if large else 1) if first == 0 else (classes.where(F.col("n") > window), min(passes, most_passes - first))
+        edges = _pass_edges(todo, first, n, least, window, block, seed)
+        if first == 0 and exact and large:
+            whole = classes.where(F.col("n") > window).select("gid", F.col("n").alias("size"), "cid", "dim", "embedding")
+            edges = edges.union(_pairs_of_blocks(whole, "gid", block).groupBy("gid", "i", "j").applyInPandas(_block_edges(least), "a long, b long"))
+        if roots is not None:
+            edges = edges.union(roots.where("node <> root").select("node", "root"))
+        roots = written(connected_components(edges), "roots")
+        before, joined, first = joined, roots.where("node <> root").count(), first + n
+        if before and joined - before <= settled * joined or first > passes and not joined:
+            break
+
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    grouped = classes.join(roots, F.col("cid") == F.col("node")).join(sizes, "root").select("root", "size", "cid", "copies", "dim", "embedding")
+    linked = _pairs_of_blocks(grouped, "root", 2048).groupBy("root", "i", "j").applyInPandas(_block_links(least), "cid long, links long")
     links = linked.groupBy("cid").agg(F.sum("links").alias("links"))
 
     facts = classes.join(links, "cid", "left").join(roots, F.col("cid") == F.col("node"), "left")

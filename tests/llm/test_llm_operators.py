@@ -341,7 +341,7 @@ def test_near_duplicate_vectors(spark):
     links = [(a[0], b[0]) for a in ok for b in ok if a[0] > b[0] and a[2] == b[2] and len(a[1]) == len(b[1]) and a[1] @ b[1] >= 0.98]
     root = components(309, links)
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("kept", F.lit(7))
-    for parameters in ({}, {"block": 64, "window": 32}):
+    for parameters in ({}, {"block": 64, "window": 32, "exact": True}, {"block": 64, "window": 32}):
         found = {r.vec_id: r for r in embeddings.near_duplicate_vectors(table, **parameters).collect()}
         assert [found[i].component_id for i in range(309)] == root
         assert [found[i].n_links for i in range(309)] == [sum(i in p for p in links) for i in range(309)]
@@ -361,18 +361,39 @@ def dense_label(n, dim=64, near=0.95, planted=0.982, pairs=100, seed=5):
 
 def test_near_duplicate_vectors_of_a_dense_label(spark):
     x = dense_label(1500)
-    y = dense_label(1500, near=0.5, seed=6)  # spread: pivots tell blocks apart, and a link crosses cells
+    y = dense_label(1500, near=0.5, seed=6)
     rows = [(k * 1500 + i, v.tolist(), k) for k, part in enumerate((x, y)) for i, v in enumerate(part)]
     linked = [part @ part.T >= 0.98 for part in (x, y)]
     links = [(k * 1500 + int(i), k * 1500 + int(j)) for k, m in enumerate(linked) for i, j in zip(*np.nonzero(np.tril(m, -1)))]
     root, count = components(3000, links), np.bincount(np.ravel(links), minlength=3000)
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     for parameters in ({"block": 128}, {"block": 4096}):
-        found = {r.vec_id: r for r in embeddings.near_duplicate_vectors(table, passes=1, window=16, **parameters).collect()}
+        found = {r.vec_id: r for r in embeddings.near_duplicate_vectors(table, passes=1, most_passes=1, window=16, exact=True, **parameters).collect()}
         assert [found[i].n_links for i in range(3000)] == count.tolist()
         assert [found[i].component_id for i in range(3000)] == root
 
 
+def test_links_of_vectors_come_through_the_passes(spark, monkeypatch):
+    x = np.concatenate([dense_label(1500), dense_label(900, near=0.5, seed=6)])
+    groups = [(0, 1500, "0.2"), (1500, 2400, "0.7")]  # labels that are equal as whole numbers
+    rows = [(i, x[i].tolist(), label) for a, b, label in groups for i in range(a, b)]
+    links = {(a + int(i), a + int(j)) for a, b, _ in groups for i, j in zip(*np.nonzero(np.tril(x[a:b] @ x[a:b].T >= 0.98, -1)))}
+    found_by = lambda label, **p: {r.vec_id: r for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumn("label", label), window=64, block=256, **p).collect()}
+    for label in (F.col("label"), F.col("label").cast("double")):
+        found = found_by(label)
+        met = sum(found[a].component_id == found[b].component_id for a, b in links)
+        assert met >= 0.98 * len(links)
+        reach = components(len(x), sorted(links))
+        assert all(reach[r.component_id] == reach[r.vec_id] for r in found.values())  # nothing is joined that no links join
+        assert all(r.n_links <= sum(r.vec_id in p for p in links) for r in found.values())
+    one = found_by(F.col("label"), passes=1, most_passes=1)
+    assert sum(r.n_links for r in one.values()) < sum(r.n_links for r in found.values())
+    import pandas as pd
+
+    monkeypatch.setattr(embeddings, "_window_links", lambda window, least: lambda pdf: pd.DataFrame({"a": [], "b": []}, dtype="int64"))
+    assert all(r.n_links == 0 and r.component_id == r.vec_id for r in found_by(F.col("label")).values())
+
+
 def test_quality(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
