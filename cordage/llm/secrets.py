@@ -29,7 +29,7 @@ KNOWN = {
     "google": r"AIza[0-9A-Za-z_-]{35}",
     "api": r"sk[-_](?:live_|test_|ant-|proj-)?[A-Za-z0-9_-]{20,250}",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,1000}",
-    "key_block": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    "key_block": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\s-]{0,20000}?-----END [A-Z ]{0,40}PRIVATE KEY-----)?",
 }
 # Words that name a secret to which a value is assigned.
 NAMES = "password|passwd|passphrase|pwd|secret|token|api_?key|access_?key"
@@ -118,15 +118,28 @@ def transition_odds(findings: DataFrame) -> list[float]:
     return odds
 
 
+#: Signs of a candidate that one row of ``covered`` works on.
+PIECE = 512
+
+
 def covered(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """``rows`` with ``dictionary``, the share of each candidate's signs that lie in an occurrence of one of ``words`` (``frequent_words``: bounded)."""
-    texts = rows.select("candidate").distinct()
-    at = texts.select("candidate", F.explode(F.sequence(F.lit(1), F.greatest(F.length("candidate") - 3, F.lit(1)))).alias("p"))
-    cut = at.select("candidate", "p", F.explode(F.sequence(F.lit(4), F.lit(12))).alias("n")).where("p + n - 1 <= length(candidate)")
-    spans = cut.withColumn("word", F.lower(F.expr("substr(candidate, p, n)"))).join(F.broadcast(words.select("word")), "word")
-    signs = spans.select("candidate", F.explode(F.expr("sequence(p, p + n - 1)")).alias("sign")).distinct()
-    counts = signs.groupBy("candidate").agg(F.count("*").alias("signs"))
-    return rows.join(counts, "candidate", "left").withColumn("dictionary", F.coalesce("signs", F.lit(0)) / F.greatest(F.length("candidate"), F.lit(1))).drop("signs")
+    """``rows`` with ``dictionary``, the share of each candidate's signs that lie in an occurrence of one of ``words`` (``frequent_words``: bounded).
+
+    Candidates are cut into pieces with as many signs around as a word can reach, so rows and bytes follow the
+    candidates' lengths: of what is made for each sign only words that are found are shuffled, under the candidate's number.
+    """
+    texts = written(rows.select("candidate").distinct().withColumn("number", F.monotonically_increasing_id()), "distinct")
+    piece = F.explode(F.expr(f"sequence(0, cast((greatest(length(candidate), 1) - 1) div {PIECE} as int))"))
+    # a word that covers a sign of a piece begins at most 11 signs before it
+    cut = texts.select("number", "candidate", piece.alias("piece")).selectExpr("number", "piece", f"greatest(0, piece * {PIECE} - 11) AS base", f"substr(candidate, greatest(0, piece * {PIECE} - 11) + 1, {PIECE} + 22) AS part")
+    starts = cut.select("number", "piece", "base", F.explode(F.expr("transform(sequence(1, length(part)), p -> struct(p AS p, lower(substr(part, p, 12)) AS long))")).alias("s"))
+    spans = starts.select("number", "piece", (F.col("base") + F.col("s.p") - 1).alias("at"), F.explode(F.expr("transform(sequence(4, length(s.long)), n -> left(s.long, n))")).alias("word")).where("length(word) between 4 and 12")
+    found = spans.join(F.broadcast(words.select("word")), "word").groupBy("number", "piece").agg(F.array_sort(F.collect_set(F.struct("at", F.length("word").alias("n")))).alias("spans"))
+    signs = F.expr(f"""aggregate(spans, named_struct('upto', piece * {PIECE}, 'n', 0), (s, w) -> named_struct('upto', greatest(s.upto, least(w.at + w.n, (piece + 1) * {PIECE})),
+        'n', s.n + greatest(0, least(w.at + w.n, (piece + 1) * {PIECE}) - greatest(w.at, s.upto))), s -> s.n)""")
+    counts = found.select("number", signs.alias("signs")).groupBy("number").agg(F.sum("signs").alias("signs"))
+    shares = texts.join(counts, "number", "left").select("candidate", (F.coalesce("signs", F.lit(0)) / F.greatest(F.length("candidate"), F.lit(1))).alias("dictionary"))
+    return rows.join(shares, "candidate")
 
 
 def described(rows: DataFrame, words: DataFrame, odds: list[float]) -> DataFrame:
@@ -220,7 +233,8 @@ def train(findings: DataFrame, words: DataFrame, trees: int = 24, depth: int = 8
     rows = findings.where("label in (0, 1)").withColumn("label", F.col("label").cast("double"))
     odds = transition_odds(rows)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8, featureSubsetStrategy="onethird")
-    return Scanner(words, odds, forest.fit(described(rows, words, odds).select("features", "label")))
+    inputs = written(described(rows, words, odds).select("features", "label"), "inputs")  # the fit reads them several times
+    return Scanner(words, odds, forest.fit(inputs))
 
 
 def trained_on(docs: DataFrame) -> Scanner:

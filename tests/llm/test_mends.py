@@ -1,11 +1,12 @@
 """Odd ids, odd JSON, long candidates: cases that once lost rows or ended a task."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from cordage.llm import chat, decontaminate
+from cordage.llm import chat, decontaminate, secrets
 
 
 def test_a_row_without_id_is_not_judged_by_an_id(spark):
@@ -47,3 +48,46 @@ def test_rules_of_schemas(spark):
         chat.link_tool_calls(spark.createDataFrame([], chat.CALL), spark.createDataFrame([], chat.RESULT), {"t": {"type": "object", "properties": {"a": {"type": ["string", "text"]}}}})
     assert chat.schema_errors(True, {"enum": [1]}) and not chat.schema_errors(1, {"enum": [1.0]})
     assert not chat.schema_errors([{"a": 1}], {"enum": [[{"a": 1}]]})
+
+
+def coverage_by_force(candidate, words):
+    signs, low = set(), candidate.lower()
+    for p in range(len(low)):
+        for n in range(4, 13):
+            if p + n <= len(low) and low[p : p + n] in words:
+                signs.update(range(p, p + n))
+    return len(signs) / max(1, len(candidate))
+
+
+def test_dictionary_coverage(spark, monkeypatch):
+    rng = random.Random(8)
+    known = ["about", "house", "sehr", "größe", "userconfigdb", "http"]
+    made = ["", "a", "abo", "About", "aboutabout", "httphouse" * 20, "größehouseX", "x" * 700]
+    made += ["".join(rng.choice([*known, "q", "7", "-", "abou", "ouse"]) for _ in range(rng.randint(1, 300))) for _ in range(30)]
+    rows = spark.createDataFrame([(m, i) for i, m in enumerate(made)] + [("About", 99)], "candidate string, i int")
+    words = spark.createDataFrame([(w, 1) for w in known], "word string, count long")
+    for piece in (512, 16):
+        monkeypatch.setattr(secrets, "PIECE", piece)
+        found = {r.i: r.dictionary for r in secrets.covered(rows, words).collect()}
+        assert len(found) == len(made) + 1
+        assert all(found[i] == pytest.approx(coverage_by_force(m, known)) for i, m in enumerate(made))
+
+
+def test_a_candidate_of_a_million_signs(spark):
+    words = spark.createDataFrame([(w, 1) for w in secrets.ORDINARY if len(w) > 3], "word string, count long")
+    rng = random.Random(1)
+    long = "".join(rng.choice(secrets.ORDINARY) for _ in range(200_000))[:1_000_000] + "1"
+    rows = spark.createDataFrame([(long, "token = ", " "), ("ghp_" + "a1B2" * 9, "token = ", " ")], "candidate string, before string, after string")
+    out = secrets.described(rows, words, [0.1] * len(secrets.LETTERS) ** 2).select("length", "dictionary", "features").orderBy("length").collect()
+    assert out[1].length == 1_000_001 and out[1].dictionary > 0.9 and out[0].dictionary == 0
+
+
+def test_a_key_block_goes_whole(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA" + c * 48 for c in "qwerty") + "\nAbCdEf=="
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    texts = [f"see {block} and more", "-----BEGIN PRIVATE KEY----- was cut off", f"{block}\n{block}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.candidates(docs).where("candidate like '%BEGIN%'").collect()
+    assert sorted((r.doc_id, r.candidate) for r in found) == sorted([(0, block), (1, "-----BEGIN PRIVATE KEY-----"), (2, block), (2, block)])
+    assert all(texts[r.doc_id][r.start : r.end] == r.candidate for r in found)
+    assert sorted(r.text for r in secrets.redact_secrets(docs).collect()) == sorted(["see [SECRET] and more", "[SECRET] was cut off", "[SECRET]\n[SECRET]"])
