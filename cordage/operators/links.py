@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import has_any, stripped
-from .texts import ENTITIES
+from .pages import walked_links
 
 # Keywords of the two classes, and of documents worth reading first.
 FEE_WORDS = ("tuition", "fee", "fees", "admission", "admissions", "cost", "costs", "payment", "enroll", "enrolment", "enrollment", "ค่าเทอม", "ค่าธรรมเนียม", "ค่าเล่าเรียน", "การชำระเงิน", "สมัครเรียน", "รับสมัคร")
 SAFETY_WORDS = ("safety", "security", "safeguarding", "child protection", "child-protection", "health", "clinic", "nurse", "policy", "policies", "wellbeing", "well-being", "ความปลอดภัย", "นโยบาย", "การคุ้มครองเด็ก", "พยาบาล", "ห้องพยาบาล", "สุขอนามัย")
 DOCUMENT_WORDS = ("fee", "tuition", "ค่าเทอม", "ค่าธรรมเนียม", "ค่าเล่าเรียน", "payment", "admission", "safety", "security", "safeguarding", "child-protection", "policy", "policies")
-ANCHOR = r"(?is)<a\s([^>]*)>(.*?)</a\s*>"
-EMBED = r"(?is)<(?:iframe|embed)\s([^>]*)>"
 
 
 def resolved(url: Column, base: Column) -> Column:
@@ -27,25 +24,13 @@ def resolved(url: Column, base: Column) -> Column:
     return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url).when(url.startswith("//"), F.concat(F.lit("https:"), url)).when(url.startswith("/"), F.concat(host, url)).otherwise(F.concat(folder, url))
 
 
-def _attribute(attributes: Column, name: str) -> Column:
-    """The value of an attribute, quoted in either way or bare; empty without it."""
-    value = F.regexp_extract(attributes, rf"""(?is)(?:^|\s){name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    return _plain(F.regexp_replace(value, r"""^["']|["']$""", ""))
-
-
-def _plain(text: Column) -> Column:
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
-
-
 def anchors_of(html: Column, base: Column) -> Column:
     """``array<struct<href, text>>`` of a page's anchors with an address: it is absolute, and the text is that of all elements inside.
 
-    Names may be in any case, and values quoted or not. An anchor without an end tag is none.
+    Names may be in any case, and values quoted or not. An anchor ends at its end tag, at the next anchor, or with the page.
     """
-    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("attributes"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("inner"))
-    text = lambda x: stripped(F.regexp_replace(_plain(F.regexp_replace(x, r"(?s)<[^>]*>", "")), r"\s+", " "))
-    rows = F.transform(found, lambda a: F.struct(_attribute(a["attributes"], "href").alias("href"), text(a["inner"]).alias("text")))
-    return F.transform(F.filter(rows, lambda a: a["href"] != ""), lambda a: F.struct(resolved(a["href"], base).alias("href"), a["text"].alias("text")))
+    text = lambda x: stripped(F.regexp_replace(x, r"\s+", " "))
+    return F.transform(walked_links(html)["anchors"], lambda a: F.struct(resolved(a["href"], base).alias("href"), text(a["text"]).alias("text")))
 
 
 def anchors(pages: DataFrame) -> DataFrame:
@@ -92,8 +77,7 @@ def scored_documents(pages: DataFrame, mark: str = ".pdf", words: Iterable[str]
     entry = lambda href, score: F.struct(href.alias("href"), score.cast("int").alias("score"))
     held = lambda items: F.filter(items, lambda x: (x["href"] != "") & F.contains(F.lower(x["href"]), F.lit(mark.lower())))
     of_links = held(F.transform(anchors_of(html, url), lambda a: entry(a["href"], F.when(has_any(a["href"], words) | has_any(a["text"], words), 2).otherwise(0))))
-    frames = F.filter(F.transform(F.regexp_extract_all(html, F.lit(EMBED), F.lit(1)), lambda a: _attribute(a, "src")), lambda x: x != "")
-    of_frames = held(F.transform(frames, lambda x: entry(resolved(x, url), F.lit(3))))
+    of_frames = held(F.transform(walked_links(html)["frames"], lambda x: entry(resolved(x, url), F.lit(3))))
     escaped = "".join("\\" + c if not c.isalnum() and c != "/" else c for c in mark)
     raw = F.regexp_extract_all(html, F.lit(rf"""(?i)https?://[^\s'"<>]+{escaped}"""), F.lit(0))
     of_raw = F.transform(raw, lambda x: entry(x, F.when(has_any(x, words), 1).otherwise(0)))

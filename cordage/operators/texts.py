@@ -2,74 +2,23 @@
 
 from __future__ import annotations
 
-import html
-import re
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-# Elements without readable text.
-DROPPED = ("script", "style", "nav", "footer", "header", "svg", "noscript")
-# Elements that have no end tag.
-VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+from .pages import DROPPED, walked_text  # noqa: F401
+
+# Common entities, for the SQL of the test tables.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
 EDGES = r"^[\s\x{00A0}]+|[\s\x{00A0}]+$"
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-#: Pages that need their tags walked: hidden elements, entities beyond ``ENTITIES``.
-_ODD = r"(?i)\shidden\b|display:|&(?!lt;|gt;|quot;|#39;|nbsp;|amp;)#?[a-z0-9]+;"
-
-
-def _hidden(attributes: str) -> bool:
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" or name == "style" and ("display:none" in value or "display: none" in value):
-            return True
-    return False
-
-
-def visible_text(page: str) -> str:
-    """Texts outside of dropped and hidden elements, whatever these hold, with a line end for each tag and comment."""
-    out, at, inside, depth = [], 0, "", 0
-    while m := _TAG.search(page, at):
-        if not inside:
-            out += [page[at : m.start()], "\n"]
-        at, name = m.end(), (m[2] or "").lower()
-        opens = bool(name) and not m[1] and name not in VOID and not m[3].endswith("/")
-        if inside:
-            depth += (1 if opens else -1 if m[1] else 0) if name == inside else 0
-            inside = inside if depth else ""
-        elif opens and (name in DROPPED or _hidden(m[3])):
-            inside, depth = name, 1
-        if opens and name in ("script", "style"):  # what looks like a tag in there is none
-            end = re.compile(f"</{name}", re.I).search(page, at)
-            at = end.start() if end else len(page)
-    return html.unescape("".join(out if inside else [*out, page[at:]]))
-
-
-@F.pandas_udf(StringType())
-def _walked(pages: pd.Series) -> pd.Series:
-    return pages.map(visible_text, na_action="ignore")
 
 
 def clean_text(html: Column, limit: int = 9000) -> Column:
     """Readable text of a page: no dropped or hidden elements, tags as line ends, and at most ``limit`` code points.
 
     An element is hidden by the attribute ``hidden`` or a style of ``display:none``,
-    with all that it holds. Pages without such elements, without dropped
-    elements of one name that might be nested, and with no entities but the
-    common ones are read by expressions alone; only the others are walked in Python.
+    with all that it holds. A null page has no text.
     """
-    some = F.transform(F.regexp_extract_all(html, F.lit("(?i)<(" + "|".join(DROPPED) + r")\b"), F.lit(1)), F.lower)
-    odd = html.rlike(_ODD) | (F.size(F.array_distinct(some)) < F.size(some))
-    strip = [*(rf"(?is)<{t}\b[^>]*>.*?</{t}>" for t in DROPPED), r"(?s)<!--.*?-->", r"<[^>]*>"]
-    plain = reduce(lambda x, p: F.regexp_replace(x, p, "\n"), strip, html)
-    plain = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, plain)
-    text = F.coalesce(_walked(F.when(odd, html)), plain)  # null, and so no work, for pages that are not odd
-    text = F.regexp_replace(F.regexp_replace(text, r"\n\n+", "\n"), EDGES, "")
+    text = F.regexp_replace(F.regexp_replace(walked_text(html), r"\n\n+", "\n"), EDGES, "")
     return F.substring(text, 1, limit)
 
 

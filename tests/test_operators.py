@@ -1,11 +1,13 @@
 """Filters, lookups, merge, validation, state, upsert, links and texts on written-out rows."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from cordage.functions import labels as show
+from cordage.operators import pages as operators_pages
 from cordage.operators import facets, fees, links, lookup, merge, state, texts, upsert, validate
 
 
@@ -221,3 +223,32 @@ def test_links_in_any_writing(spark):
     scored = links.scored_documents(pages, most=9).orderBy("place").collect()
     assert [(r.place, r.href, r.score) for r in scored] == [(1, "https://s.org/fees.pdf", 3), (2, "https://s.org/x.pdf", 3), (3, "https://s.org/fees.PDF", 2)]
     assert "Exchange" not in links.scored_documents(pages)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_that_patterns_miss(spark):
+    html = """<a title="a > b" href="/x">T</a><!-- <a href="/c">comment</a> --><script>var s = '<a href="/s">script</a>'</script><a href="/open">left open <b>bold</b>
+    <a href="/one">one <a href='/two'>two</a> after</a><A HREF = /up>UP&eacute;<script>gone()</script></A><a
+    href="/q?a='1'&gt;2" hidden>q</a><a name=x>no address</a><a href="">empty</a><a/href="/slash">s</a><p title='<a href="/v">'>value</p><a href=" /blank ">b</a><a href="/last">never closed <i>x"""
+    pages = spark.createDataFrame([(1, "https://s.org/d/p", html), (2, "https://s.org/", None), (3, "https://s.org/", "<a href=/y>cut <a href='/z>")], "page_id long, url string, html string")
+    found = links.anchors(pages).orderBy("page_id", "pos").collect()
+    assert [(r.page_id, r.href.removeprefix("https://s.org"), r.text) for r in found] == [
+        (1, "/x", "T"), (1, "/open", "left open bold"), (1, "/one", "one"), (1, "/two", "two"), (1, "/up", "UPé"), (1, "/q?a='1'>2", "q"), (1, "/slash", "s"), (1, "/blank", "b"), (1, "/last", "never closed x"),
+        (3, "/y", "cut"),
+    ]
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a x="', "<a href='x>", "<!--", "<script>", "<a href=x>", "<", "</a ", "<style><a href=y>", "<div hidden>", "<p title=\"", "<!-- <a href=x>"])
+def test_pages_are_walked_in_linear_time(piece):
+    def seconds(times):
+        began = time.process_time()
+        operators_pages.visible_text(piece * times), operators_pages.links_of(piece * times)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(100_000) < 10 * max(seconds(20_000), 0.05)
+
+
+def test_names_of_raw_elements_end_them_whole(spark):
+    pages = ["a<script>x</scripty>y</script>b", "a<STYLE>p<b>q</Style >c", "<p>1 < 2 <3 </ >x", "<!-->a", "<!doctype html><p>t", "<?php echo ?>u", "a<br/>b<nav/>c", "x</nav>y"]
+    found = spark.createDataFrame(list(enumerate(pages)), "i int, h string").select("i", texts.clean_text(F.col("h")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in found] == ["a\nb", "a\nc", "1 < 2 <3 </ >x", "a", "t", "u", "a\nb\nc", "x\ny"]
