@@ -441,7 +441,7 @@ _CLEAN = "html"
 for _p in _STRIP:
     _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', chr(10), 'g')"
 for _a, _b in texts.ENTITIES:
-    _CLEAN = "replace({}, '{}', '{}')".format(_CLEAN, _a, _b.replace("'", "''"))
+    _CLEAN = "regexp_replace({}, '{}?', '{}', 'g')".format(_CLEAN, _a, _b.replace("'", "''"))  # also read without the semicolon
 
 
 @_query(rf"""SELECT page_id, substr(regexp_replace(regexp_replace({_CLEAN}, '\n\n+', chr(10), 'g'), '{texts.EDGES}', '', 'g'), 1, 9000) AS text FROM pages""")
