@@ -122,9 +122,19 @@ def _hits(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
 
     key = ["doc_id", "text_key", "n_words"]
     spans = found.select(*key, F.explode("windows").alias("w")).select(*key, F.struct("w.at", "w.n").alias("span"), F.col("w.words").alias("words"))
-    matched = spans.join(item_rows.select("words", "item_id"), "words").select(*key, "span", "item_id")
-    blank = found.select(*key, F.lit(None).cast("struct<at:int,n:int>").alias("span"), F.lit(None).cast("long").alias("item_id"))
-    grouped = blank.union(matched).groupBy(*key).agg(F.sort_array(F.collect_set("span")).alias("hits"), F.collect_set("item_id").alias("items"))
+    # windows of the same items are a class: a document meets its classes, not every item at every window, and a class's items once
+    of_items = [F.bit_xor(F.xxhash64("item_id", F.lit(seed))).alias(f"items{seed}") for seed in (1, 2)]
+    held = item_rows.groupBy("words").agg(F.count("*").alias("items0"), *of_items)
+    held = held.select("words", F.struct("items0", "items1", "items2").alias("class"))
+    classes = held.groupBy("class").agg(F.min("words").alias("words")).join(item_rows.select("words", "item_id"), "words").select("class", "item_id")
+    matched = spans.join(held, "words").select(*key, "span", "class")
+    blank = found.select(*key, F.lit(None).cast("struct<at:int,n:int>").alias("span"), F.lit(None).cast(held.schema["class"].dataType).alias("class"))
+    met = written(blank.union(matched).groupBy(*key).agg(F.sort_array(F.collect_set("span")).alias("hits"), F.collect_set("class").alias("classes")), "met")
+    named = met.where("size(classes) > 0").select(*key, F.explode("classes").alias("class")).join(classes, "class")
+    named = named.groupBy(*(F.col(c).alias(f"__{c}") for c in key)).agg(F.collect_set("item_id").alias("items"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+    # documents without a hit have nothing to join
+    grouped = met.where("size(classes) > 0").join(named, same).select(*key, "hits", "items").unionByName(met.where("size(classes) = 0").select(*key, "hits", F.array().cast("array<bigint>").alias("items")))
     covered = """aggregate(hits, named_struct('upto', 0, 'n', 0L), (s, h) -> named_struct(
         'upto', greatest(s.upto, h.at + h.n), 'n', s.n + greatest(0, h.at + h.n - greatest(h.at, s.upto))), s -> s.n)"""
     return grouped.select(

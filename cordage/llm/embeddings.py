@@ -153,7 +153,7 @@ def _pass_edges(classes: DataFrame, first: int, passes: int, least: float, windo
 
 
 def near_duplicate_vectors(
-    vectors: DataFrame, least: float = 0.98, passes: int = 8, most_passes: int = 32, window: int = 1024, block: int = 4096, settled: float = 0.001, exact: bool = False, seed: int = 7
+    vectors: DataFrame, least: float = 0.98, passes: int = 4, most_passes: int = 32, window: int = 1024, block: int = 4096, settled: float = 0.001, exact: bool = False, seed: int = 7
 ) -> DataFrame:
     """Groups of vectors of one label with a cosine of ``least`` or more.
 

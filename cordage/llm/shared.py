@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -14,13 +15,15 @@ from pyspark.sql import functions as F
 from ..sources.scratch import shared_folder
 
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-_made: list[str] = []
+_made = threading.local()  # ``paths``: what this thread's stages have made, so that pipelines side by side keep theirs
 
 
 def made_folder(spark: SparkSession, what: str) -> str:
     """A new place in the shared folder for a table that is written in parts; it goes with those of ``passing_tables``."""
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    _made.append(path)
+    if not hasattr(_made, "paths"):
+        _made.paths = []
+    _made.paths.append(path)
     return path
 
 
@@ -54,12 +57,14 @@ def discard(*tables: DataFrame) -> None:
 
 @contextmanager
 def passing_tables(spark: SparkSession) -> Iterator[None]:
-    """Remove at the end all tables that were ``written`` inside: for work whose result has been stored by then."""
-    before = len(_made)
-    yield
-    for path in _made[before:]:  # those discarded already too, if anything of them is left
-        _remove(spark, path)
-    del _made[before:]
+    """Remove at the end, after an error too, all tables that this thread has ``written`` inside: for work whose result has been stored by then."""
+    outer, _made.paths = getattr(_made, "paths", []), []
+    try:
+        yield
+    finally:
+        inner, _made.paths = _made.paths, outer
+        for path in inner:  # those discarded already too, if anything of them is left
+            _remove(spark, path)
 
 
 def small_side(table: DataFrame, most: int = 1 << 15) -> DataFrame:

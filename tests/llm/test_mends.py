@@ -91,3 +91,40 @@ def test_a_key_block_goes_whole(spark):
     assert sorted((r.doc_id, r.candidate) for r in found) == sorted([(0, block), (1, "-----BEGIN PRIVATE KEY-----"), (2, block), (2, block)])
     assert all(texts[r.doc_id][r.start : r.end] == r.candidate for r in found)
     assert sorted(r.text for r in secrets.redact_secrets(docs).collect()) == sorted(["see [SECRET] and more", "[SECRET] was cut off", "[SECRET]\n[SECRET]"])
+
+
+def test_passing_tables_of_two_threads(spark):
+    import threading
+
+    from cordage.llm import shared
+
+    kept, gate = {}, threading.Barrier(2)
+
+    def work(name, fails):
+        try:
+            with shared.passing_tables(spark):
+                table = shared.written(spark.range(3), name)
+                gate.wait(60)
+                if fails:
+                    raise OSError
+                gate.wait(60)
+                kept[name] = table.count()
+        except OSError:
+            kept[name] = table.inputFiles()
+            gate.wait(60)
+
+    threads = [threading.Thread(target=work, args=x) for x in (("one", True), ("two", False))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert kept["two"] == 3
+    assert all(not spark._jvm.java.io.File(f.removeprefix("file://")).exists() for f in kept["one"])
+
+
+def test_items_that_share_windows(spark):
+    prompt = " ".join(f"p{i}" for i in range(30))
+    items = [(i, f"{prompt} own{i} " + " ".join(f"t{i}x{j}" for j in range(12))) for i in range(300)] + [(300, prompt), (300, prompt), (None, prompt), (301, "t5x1")]
+    texts = [prompt, f"{prompt} own7 " + " ".join(f"t7x{j}" for j in range(12)), "nothing here", None, "so t5x1 it is"]
+    found = decontaminate.benchmark_hits(spark.createDataFrame([*enumerate(texts), (None, prompt), (None, None)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((str(r.doc_id), r.n_hit, r.n_items) for r in found.collect()) == [("0", 30, 301), ("1", 43, 301), ("2", 0, 0), ("3", 0, 0), ("4", 1, 1), ("None", 0, 0), ("None", 30, 301)]
