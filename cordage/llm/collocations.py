@@ -1,6 +1,6 @@
 """Collocations: phrases that hold together, mined with suffix automata of shards.
 
-A shard is a million characters of texts. Its generalised suffix automaton,
+A shard is half a million characters of texts. Its generalised suffix automaton,
 bounded at the longest phrase, has a state for each class of phrases that end at
 the same places: it holds the longest of them, the number of places, and how long
 the phrases of its suffix link are, beyond which the class begins. Every phrase of
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import bitmap, discard, in_bitmap, positions, written
 from .text import code_points, give_back, gram_hashes, lower_ascii, mix, runs, span_hashes
 
-SHARD = 1 << 20
+SHARD = 1 << 19
 BITS = 21  # of a word's number in its shard, which holds at most SHARD / 2 words unless one text does
 HASH_SCHEMA = "key long, n long"
 PHRASE_SCHEMA = "lang string, size int, phrase string, n long"
