@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as show
 from ..functions import values as val
-from ..operators import costs, facets, fees, links, lookup, merge, state, texts, upsert, validate
-from ..sources import records
+from ..operators import costs, facets, fees, links, lookup, merge, near, state, texts, upsert, validate
+from ..sources import records, schema
 from ..sources.scratch import shared_folder
 from ..sources.merge_on_read import MergeTable
 from ..sources.versions import VersionedTable
@@ -341,6 +341,52 @@ def seed_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@_query("""SELECT 'seed' AS kind, s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT 'sound files', s_suppkey, upper(s_name) FROM supplier UNION ALL SELECT 'faulty', count(*), '[{"id": 1, "na' FROM (SELECT 1 UNION ALL SELECT 2)""")
+def corrupt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of sound files and two that are cut off: what is read of it in either way, and how many files are faulty."""
+    seed = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    folder = _new_folder(spark, "records")
+    records.write_records(seed.withColumn("name", F.upper("name")), f"{folder}/part=sound")
+    cut = spark.createDataFrame([('[{"id": 1, "na',)], "value string").coalesce(1)
+    for part in ("a", "z"):  # before and after the sound ones
+        cut.write.text(f"{folder}/part={part}")
+    path = f"{folder}/part=*"
+    seeded = records.records_or_seed(spark, path, seed).select(F.lit("seed").alias("kind"), "id", "name")
+    sound = records.records_or_seed(spark, path, seed, keep_sound=True).select(F.lit("sound files").alias("kind"), "id", "name")
+    faulty = records.checked_records(spark, path, "id bigint, name string")[1].groupBy(F.trim(F.regexp_replace("start", "\\n", "")).alias("name")).agg(F.count("*").alias("id")).select(F.lit("faulty").alias("kind"), "id", "name")
+    return seeded.unionByName(sound).unionByName(faulty)
+
+
+@_query("""WITH c AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS amount, c_nationkey % 2 = 0 AS flag FROM customer)
+SELECT 'school' AS kind, id, name, cast(floor(amount) AS BIGINT) AS whole, amount AS real, 'Bangkok' AS extra FROM c UNION ALL SELECT 'detail', id, name, 2, amount, 'fee ' || id FROM c
+UNION ALL SELECT 'post', id, name, cast(floor(amount) AS BIGINT), NULL, CASE WHEN flag THEN 'liked' ELSE 'not' END FROM c UNION ALL SELECT 'coordinate', id, name, 0, amount, NULL FROM c""")
+def seed_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as schools, details, posts and coordinates, and read back by those schemas."""
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").cast("double").alias("amount"), (F.col("c_nationkey") % 2 == 0).alias("flag"))
+    none, text = (lambda kind: F.lit(None).cast(kind)), F.col("id").cast("string")
+    fees = F.array(F.struct(F.concat(F.lit("fee "), text).alias("label"), text.alias("amount")), F.struct(F.lit("x").alias("label"), text.alias("amount")))
+    review = F.struct(F.lit("a").alias("author"), F.col("amount").alias("rating"))
+    comment = F.struct(F.col("id").alias("id"), F.col("name").alias("author"), F.col("flag").alias("liked"))
+    made = {
+        "school": c.select("id", "name", F.lit("Bangkok").alias("location"), F.floor("amount").alias("tuitionStart"), F.col("amount").alias("rating")),
+        "detail": c.select("id", F.col("name").alias("about"), fees.alias("fees"), F.array(review).alias("reviews")),
+        "post": c.select("id", F.col("name").alias("author"), F.floor("amount").alias("likes"), F.col("flag").alias("liked"), F.array(comment).alias("comments")),
+        "coordinate": c.select("id", "name", F.col("amount").alias("lat")),
+    }
+    wanted = {
+        "school": ["id", "name", F.col("tuitionStart").alias("whole"), F.col("rating").alias("real"), F.col("location").alias("extra")],
+        "detail": ["id", F.col("about").alias("name"), F.size("fees").cast("bigint").alias("whole"), F.col("reviews")[0]["rating"].alias("real"), F.col("fees")[0]["label"].alias("extra")],
+        "post": ["id", F.col("comments")[0]["author"].alias("name"), F.col("likes").alias("whole"), none("double").alias("real"), F.when(F.col("liked") & F.col("comments")[0]["liked"], "liked").otherwise("not").alias("extra")],
+        "coordinate": ["id", "name", F.lit(0).cast("bigint").alias("whole"), F.col("lat").alias("real"), none("string").alias("extra")],
+    }
+    out = []
+    for kind, ddl in {"school": schema.SCHOOL, "detail": schema.DETAIL, "post": schema.POST, "coordinate": schema.COORDINATE}.items():
+        path = _new_folder(spark, kind)
+        records.write_records(made[kind], path)
+        out.append(records.read_records(spark, path, ddl).select(F.lit(kind).alias("kind"), *wanted[kind]))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 @_query("""SELECT cast(user_id AS VARCHAR) AS school_name, event_type AS step, CASE WHEN event_id % 2 = 0 THEN 'ok' ELSE 'failed' END AS status, count(*) AS n, max(value) AS confidence, cast(count(*) AS BIGINT) AS n_stamped
 FROM events GROUP BY ALL""")
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -640,6 +686,20 @@ def radius_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select("c_custkey").where(near)
 
 
+_PLACES = """c AS (SELECT c_custkey, ((c_custkey * 37) % 1801) / 10.0 - 90 AS lat, ((c_custkey * 101) % 3600) / 10.0 - 180 AS lng FROM customer),
+s AS (SELECT s_suppkey, ((s_suppkey * 53) % 1801) / 10.0 - 90 AS at_lat, ((s_suppkey * 211) % 3600) / 10.0 - 180 AS at_lng FROM supplier)"""
+
+
+@_query(f"""WITH {_PLACES}, p AS (SELECT c_custkey, s_suppkey, pow(sin(radians(lat - at_lat) / 2), 2) + cos(radians(at_lat)) * cos(radians(lat)) * pow(sin(radians(lng - at_lng) / 2), 2) AS a FROM c, s)
+SELECT c_custkey, s_suppkey, cast(round(2 * 6371 * atan2(sqrt(a), sqrt(greatest(0, 1 - a))), 3) AS DOUBLE) AS km FROM p WHERE 2 * 6371 * atan2(sqrt(a), sqrt(greatest(0, 1 - a))) <= 400""")
+def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers within 400 km of each supplier, places made of keys over the whole globe, poles and date line included."""
+    place = lambda k, times, most, less: (F.col(k) * times % most) / 10.0 - less
+    customers = _table(spark, sf_dir, "customer").select("c_custkey", place("c_custkey", 37, 1801, 90).alias("lat"), place("c_custkey", 101, 3600, 180).alias("lng"))
+    suppliers = _table(spark, sf_dir, "supplier").select("s_suppkey", place("s_suppkey", 53, 1801, 90).alias("at_lat"), place("s_suppkey", 211, 3600, 180).alias("at_lng"))
+    return near.within_each(customers, suppliers, 400).select("c_custkey", "s_suppkey", F.round("km", 3).alias("km"))
+
+
 @_query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'September 2026' WHEN o_orderkey % 3 = 1 THEN 'September 2026' ELSE o_orderpriority END AS last_updated FROM orders")
 def default_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % 3

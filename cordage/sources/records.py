@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.values import filled
 from ..functions.labels import NO_DATE
 from .schema import LOG, RECORD
+from .scratch import stored
 
 
 def read_records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
@@ -33,11 +34,32 @@ def write_records(records: DataFrame, path: str) -> None:
     lines.mapInArrow(_as_arrays, "value string").write.text(path)
 
 
-def records_or_seed(spark: SparkSession, path: str, seed: DataFrame) -> DataFrame:
-    """Records of ``path``, or ``seed`` where it is missing, unreadable or empty."""
+CORRUPT, FILE = "__corrupt", "__file"
+
+
+def checked_records(spark: SparkSession, path: str, schema: str = RECORD) -> tuple[DataFrame, DataFrame]:
+    """Records of the sound files of a folder, and ``file`` and ``start`` (of its text) of each file that is no array of such records.
+
+    A file with one record that is none is faulty as a whole. No file ends the read, and faulty ones are told apart by
+    their paths, so it does not matter which files a task reads together.
+    """
+    rows = spark.read.schema(f"{schema}, `{CORRUPT}` string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    rows = stored(rows.withColumn(FILE, F.col("_metadata.file_path")), "parsed")  # parsed once, for what is decided and for what is read
+    faulty = rows.where(F.col(CORRUPT).isNotNull()).groupBy(F.col(FILE).alias("file")).agg(F.min(F.left(CORRUPT, F.lit(200))).alias("start"))
+    sound = rows.join(faulty.select(F.col("file").alias(FILE)), FILE, "left_anti").drop(CORRUPT, FILE)
+    return sound, faulty
+
+
+def records_or_seed(spark: SparkSession, path: str, seed: DataFrame, keep_sound: bool = False) -> DataFrame:
+    """Records of ``path``, or ``seed`` where it is missing, empty, or holds a faulty file; with ``keep_sound`` the records of the sound files, if there are any.
+
+    All files are read before either is given out, so the result does not depend on how files are dealt to tasks.
+    """
     try:
-        records = read_records(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seed.schema))
-        return seed if records.isEmpty() else records
+        sound, faulty = checked_records(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seed.schema))
+        if not keep_sound and not faulty.isEmpty():
+            return seed
+        return seed if sound.isEmpty() else sound.select(*seed.columns)
     except Exception as failed:  # the reader's own errors come as several classes
         if "FAILED_READ_FILE" in str(failed) or "PATH_NOT_FOUND" in str(failed) or "MALFORMED_RECORD" in str(failed):
             return seed
