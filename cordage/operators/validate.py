@@ -59,3 +59,59 @@ def validated(records: DataFrame) -> DataFrame:
     """``records`` with ``errors`` and ``validation`` (``success`` or ``failed``)."""
     found = errors(*(F.col(c) for c in ("curriculum", "tuition_found", "tuition_by_grade", "tuition_min_thb", "tuition_max_thb", "hidden_costs", "confidence")))
     return records.withColumn("errors", found).withColumn("validation", F.when(F.size("errors") == 0, "success").otherwise("failed"))
+
+
+# What a safety part of the wrong kind is told.
+SAFETY_KINDS = ("'safety_and_security' must be a dictionary/object.", "'safety_and_security.highlights' must be a list.", "'safety_and_security.policy_summary' must be a string.")
+#: Fields of a record that must be of a kind, where they are there.
+LISTS, NUMBERS = ("tuition_by_grade", "hidden_costs"), ("tuition_min_thb", "tuition_max_thb")
+
+
+def _at(record: Column, name: str, kind: str = "variant") -> Column:
+    """A field of a variant, null if the field is not there or does not cast."""
+    return F.try_variant_get(record, f"$.{name}", kind)
+
+
+def _kind(value: Column) -> Column:
+    """``OBJECT``, ``ARRAY``, ``STRING``, ``BIGINT``, ``VOID`` (a JSON null) and so on; null for a field that is not there."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def _is_number(value: Column) -> Column:
+    return _kind(value).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+
+
+def safety_errors(safety: Column) -> Column:
+    """Messages on the kinds of a safety part (a variant): an object, its highlights a list, its summary a string, each if it is there; a JSON null is no list and no string."""
+    is_there = safety.isNotNull() & ~F.is_variant_null(safety)
+    highlights, summary = _at(safety, "highlights"), _at(safety, "policy_summary")
+    inner = F.array(F.when(highlights.isNotNull() & (_kind(highlights) != "ARRAY"), SAFETY_KINDS[1]), F.when(summary.isNotNull() & (_kind(summary) != "STRING"), SAFETY_KINDS[2]))
+    return F.array_compact(F.when(~is_there, F.array().cast("array<string>")).when(_kind(safety) != "OBJECT", F.array(F.lit(SAFETY_KINDS[0]))).otherwise(inner))
+
+
+def untyped_errors(record: Column) -> Column:
+    """All messages of a record that is a variant, in rule order: kinds of fields, the rules of ``errors``, then those on safety.
+
+    A field of another kind than its rule needs is told once and counts as absent for the rule; a list's items likewise, field by
+    field. Numbers may be written with a fraction. A record that is no object is told so, and null (text that is no JSON) too.
+    """
+    items = lambda name: F.when(_kind(_at(record, name)) == "ARRAY", _at(record, name, "array<variant>"))
+    text = lambda x, name: F.when(_kind(_at(x, name)) == "STRING", _at(x, name, "string"))
+    amount = lambda x, name: F.when(_is_number(_at(x, name)), _at(x, name, "decimal(28,0)"))
+    faults = [F.when(_kind(_at(record, n)).isNotNull() & ~_kind(_at(record, n)).isin("ARRAY", "VOID"), f"'{n}' must be a list.") for n in LISTS]
+    faults += [F.when(_kind(_at(record, n)).isNotNull() & ~_is_number(_at(record, n)) & (_kind(_at(record, n)) != "VOID"), f"'{n}' must be a number.") for n in NUMBERS]
+    grades = F.transform(items("tuition_by_grade"), lambda g: F.struct(text(g, "grade_level").alias("grade_level"), amount(g, "annual_thb").alias("annual_thb"), amount(g, "semester_thb").alias("semester_thb")))
+    costs = F.transform(items("hidden_costs"), lambda c: F.struct(text(c, "name").alias("name"), amount(c, "amount_thb").alias("amount_thb")))
+    confidence = F.when(~_kind(_at(record, "confidence")).isin("VOID"), _at(record, "confidence", "string"))
+    ruled = errors(
+        _at(record, "curriculum", "string"), F.coalesce(_at(record, "tuition_found", "boolean"), F.lit(False)), grades,
+        amount(record, "tuition_min_thb"), amount(record, "tuition_max_thb"), costs, confidence,
+    )
+    of_object = F.concat(F.array_compact(F.array(*faults)), ruled, safety_errors(_at(record, "safety_and_security")))
+    return F.when(F.coalesce(_kind(record) == "OBJECT", F.lit(False)), of_object).otherwise(F.array(F.lit("Record is not a JSON object.")))
+
+
+def validated_json(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``errors`` and ``validation`` of the untyped record whose JSON text is in ``column``. No text ends the read."""
+    found = untyped_errors(F.try_parse_json(column))
+    return rows.withColumn("errors", found).withColumn("validation", F.when(F.size("errors") == 0, "success").otherwise("failed"))

@@ -302,6 +302,27 @@ def validate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validated(customer_records(spark, sf_dir)).select("k", F.array_join("errors", " | ").alias("errors"), "validation")
 
 
+@_query("""WITH b AS (SELECT c_custkey AS k, cast(floor(c_acctbal) AS BIGINT) AS bal FROM customer),
+e AS (SELECT k, CASE WHEN k % 8 = 7 THEN ['Record is not a JSON object.'] ELSE list_filter([CASE WHEN k % 9 = 0 THEN '''tuition_by_grade'' must be a list.' END, CASE WHEN k % 6 = 1 THEN '''tuition_min_thb'' must be a number.' END,
+  CASE WHEN k % 5 = 0 THEN 'Curriculum information is missing.' END,
+  CASE WHEN k % 9 = 0 THEN 'Tuition was marked as found, but the grade breakdown table is empty.' WHEN bal < 0 THEN 'Annual tuition for ''G1'' cannot be negative: ' || bal END,
+  CASE WHEN k % 8 = 2 THEN '''safety_and_security'' must be a dictionary/object.' END, CASE WHEN k % 8 IN (4, 6) THEN '''safety_and_security.highlights'' must be a list.' END,
+  CASE WHEN k % 8 IN (5, 6) THEN '''safety_and_security.policy_summary'' must be a string.' END], lambda x: x IS NOT NULL) END AS errors FROM b)
+SELECT k, array_to_string(errors, ' | ') AS errors, CASE WHEN len(errors) = 0 THEN 'success' ELSE 'failed' END AS validation FROM e""")
+def validate_untyped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as JSON texts with faults of kind, of form and of value."""
+    k, bal = F.col("c_custkey"), F.floor("c_acctbal").cast("string")
+    safety = F.element_at(F.array(*(F.lit(x) for x in (
+        "", ', "safety_and_security": null', ', "safety_and_security": "yes"', ', "safety_and_security": {"highlights": ["a"], "policy_summary": "ok"}', ', "safety_and_security": {"highlights": "a"}',
+        ', "safety_and_security": {"policy_summary": 5}', ', "safety_and_security": {"highlights": null, "policy_summary": null}', ", cut off",
+    ))), (k % 8 + 1).cast("int"))
+    grades = F.when(k % 9 == 0, F.lit('"none"')).otherwise(F.concat(F.lit('[{"grade_level": "G1", "annual_thb": '), bal, F.lit("}]")))
+    curriculum, low = F.when(k % 5 == 0, F.lit('""')).otherwise(F.lit('"IB"')), F.when(k % 6 == 1, F.lit('"low"')).otherwise(F.lit("1.5"))
+    text = F.concat(F.lit('{"curriculum": '), curriculum, F.lit(', "tuition_found": true, "tuition_min_thb": '), low, F.lit(', "tuition_by_grade": '), grades, safety, F.lit("}"))
+    rows = _table(spark, sf_dir, "customer").select(k.alias("k"), text.alias("text"))
+    return validate.validated_json(rows, "text").select("k", F.array_join("errors", " | ").alias("errors"), "validation")
+
+
 @_query(f"""WITH {_RECORDS}, good AS (SELECT CASE WHEN k % 2 = 0 THEN lower(c_name) ELSE 'New ' || c_name END AS name, k, cur FROM e JOIN customer ON c_custkey = k WHERE len(errors) = 0),
 last AS (SELECT name, arg_max(k, k) AS k, arg_max(cur, k) AS cur FROM good GROUP BY name)
 SELECT c_name AS name, c_custkey AS k, c_mktsegment AS curriculum FROM customer WHERE lower(c_name) NOT IN (SELECT lower(name) FROM last) UNION ALL SELECT name, k, cur FROM last""")

@@ -252,3 +252,26 @@ def test_names_of_raw_elements_end_them_whole(spark):
     pages = ["a<script>x</scripty>y</script>b", "a<STYLE>p<b>q</Style >c", "<p>1 < 2 <3 </ >x", "<!-->a", "<!doctype html><p>t", "<?php echo ?>u", "a<br/>b<nav/>c", "x</nav>y"]
     found = spark.createDataFrame(list(enumerate(pages)), "i int, h string").select("i", texts.clean_text(F.col("h")).alias("t")).orderBy("i").collect()
     assert [r.t for r in found] == ["a\nb", "a\nc", "1 < 2 <3 </ >x", "a", "t", "u", "a\nb\nc", "x\ny"]
+
+
+UNTYPED = [
+    ("not json", ["Record is not a JSON object."]), (None, ["Record is not a JSON object."]), ("[1]", ["Record is not a JSON object."]), ("null", ["Record is not a JSON object."]),
+    ("{}", ["Curriculum information is missing."]),
+    ('{"curriculum": " Unknown "}', ["Curriculum type is unclear or unknown (' Unknown ')."]),
+    ('{"curriculum": "IB", "confidence": "x"}', ["Confidence score must be a number: x"]), ('{"curriculum": "IB", "confidence": 1.5}', ["Confidence score must be between 0.0 and 1.0: 1.5"]),
+    ('{"curriculum": "IB", "confidence": null, "hidden_costs": null, "tuition_min_thb": null}', []),
+    ('{"curriculum": "IB", "tuition_found": true, "tuition_by_grade": [{"annual_thb": -5}, {"grade_level": "G2", "semester_thb": "no"}, 7], "tuition_max_thb": -1}',
+     ["Grade breakdown item at index 0 is missing 'grade_level'.", "Annual tuition for 'None' cannot be negative: -5", "Grade breakdown item at index 2 is missing 'grade_level'.", "Maximum tuition cannot be negative: -1"]),
+    ('{"curriculum": "IB", "hidden_costs": {"name": 1}, "tuition_max_thb": [1]}', ["'hidden_costs' must be a list.", "'tuition_max_thb' must be a number."]),
+    ('{"curriculum": "IB", "hidden_costs": [{"name": "Bus", "amount_thb": -2}, {"amount_thb": 1}]}', ["Hidden cost amount for 'Bus' cannot be negative: -2", "Hidden cost item at index 1 is missing a name."]),
+    ('{"curriculum": "IB", "safety_and_security": []}', ["'safety_and_security' must be a dictionary/object."]),
+    ('{"curriculum": "IB", "safety_and_security": {"highlights": null, "policy_summary": null}}', ["'safety_and_security.highlights' must be a list.", "'safety_and_security.policy_summary' must be a string."]),
+    ('{"curriculum": "IB", "safety_and_security": {"highlights": [], "policy_summary": ""}}', []), ('{"curriculum": "IB", "safety_and_security": {}}', []), ('{"curriculum": "IB", "safety_and_security": null}', []),
+]
+
+
+def test_untyped_records(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(UNTYPED)], "i int, text string")
+    found = validate.validated_json(rows, "text").orderBy("i").collect()
+    assert [(r.i, r.errors) for r in found] == [(i, e) for i, (_, e) in enumerate(UNTYPED)]
+    assert all((r.validation == "success") == (not r.errors) for r in found)
