@@ -243,3 +243,17 @@ def test_scores_pass_64_bits(spark):
     big = 3 * 10**9
     row = spark.createDataFrame([(big, big + 1, big + 2)], "a long, l long, r long")
     assert row.select(collocations.score("a", "l", "r")).first()[0] == 10**6 * big * big // ((big + 1) * (big + 2))
+
+
+@pytest.mark.parametrize("name", ["op12_filter_audit", "op13_collocations"])
+def test_sql(spark, sf_dir, name):
+    import duckdb
+
+    from cordage.llm import queries
+
+    db = duckdb.connect()
+    for t in ("documents", "labels"):
+        db.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    found = queries.queries()[name](spark, sf_dir)
+    columns = ", ".join(found.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(db.execute(f"select {columns} from ({queries.oracle_sql()[name]})").fetchall())
