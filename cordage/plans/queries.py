@@ -592,6 +592,15 @@ def bounded_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("user_id", F.array_join("items", ",").alias("items"))
 
 
+@_query("""WITH o AS (SELECT list(event_type ORDER BY ts, event_id) AS a FROM events)
+SELECT 'all' AS user, array_to_string(list_reduce(list_prepend(cast([] AS VARCHAR[]), list_transform(a, lambda x: [x])),
+  lambda s, e: CASE WHEN list_contains(s, e[1]) THEN list_filter(s, lambda v: v <> e[1]) WHEN len(s) < 3 THEN list_append(s, e[1]) ELSE s END), ',') AS items FROM o""")
+def bounded_toggle_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One user holds all toggles, in ranges of time."""
+    events = _table(spark, sf_dir, "events").select(F.lit("all").alias("user"), "event_type", "ts", "event_id")
+    return state.bounded_toggle(events, "user", "event_type", ["ts", "event_id"]).select("user", F.array_join("items", ",").alias("items"))
+
+
 @_query(f"""WITH {_LINES}, e AS (SELECT event_id % (SELECT count(*) FROM customer) AS k, CASE WHEN event_id % 3 > 0 THEN event_id % 5 END AS c FROM events),
 o AS (SELECT k, c FROM e GROUP BY k, c HAVING count(*) % 2 = 1),
 p AS (SELECT k, len(a) % 7 AS likes, k % 2 = 0 AS liked, a FROM r),
