@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..operators import costs, facets, fees, links, lookup, merge, near, state,
 from ..sources import records, schema
 from ..sources.scratch import shared_folder
 from ..sources.merge_on_read import MergeTable
+from ..sources.substrings import SubstringIndex
 from ..sources.versions import VersionedTable
 from .ingest import ingest, quarantined, recover, split
 
@@ -56,6 +58,17 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.text_search(_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), "Ring", ["p_name", "p_brand"])
 
 
+_SEARCHES = ["Ring", "small ", "ed p", "ld", "no such part"]
+
+
+@_query(" UNION ALL ".join(f"SELECT '{q}' AS query, p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), lower('{q}')) OR contains(lower(p_brand), lower('{q}'))" for q in _SEARCHES))
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by several queries, through one index."""
+    index = SubstringIndex(spark, _new_folder(spark, "substrings"), ["p_name", "p_brand"], parts=64, buckets=16)
+    index.build(_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"))
+    return reduce(DataFrame.union, (index.search(q).select(F.lit(q).alias("query"), "p_partkey", "p_name", "p_brand") for q in _SEARCHES))
+
+
 @_query("SELECT event_id, user_id, event_type, value FROM events WHERE event_type = 'click'")
 def category_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.category_filter(_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), "event_type", "click")
