@@ -77,7 +77,7 @@ def shortened(text: Column, limit: int = 220) -> Column:
 def kilometres(lat: Column, lng: Column, lat0: float | Column, lng0: float | Column, radius: float = 6371.0) -> Column:
     """Great-circle distance from a point that is fixed or of the row."""
     a = F.pow(F.sin(F.radians(lat - lat0) / 2), 2) + F.cos(F.radians(F.lit(lat0))) * F.cos(F.radians(lat)) * F.pow(F.sin(F.radians(lng - lng0) / 2), 2)
-    return F.lit(2 * radius) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
+    return F.lit(2 * radius) * F.atan2(F.sqrt(a), F.sqrt(F.greatest(F.lit(0.0), 1 - a)))  # at antipodes rounding takes ``a`` past 1
 
 
 def within(lat: Column, lng: Column, lat0: float, lng0: float, km: float = 10.0) -> Column:

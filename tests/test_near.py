@@ -66,3 +66,21 @@ def test_only_faulty_files(spark, tmp_path):
     seed = spark.createDataFrame(SEED, "id bigint, name string").withColumn("more", F.lit(1.5))
     assert records.records_or_seed(spark, str(tmp_path), seed, keep_sound=True).collect() == seed.collect()
     assert records.records_or_seed(spark, str(tmp_path / "none"), seed).collect() == seed.collect()
+
+
+def test_a_crowded_cell_is_many_tasks_work(spark):
+    rng = random.Random(5)
+    points = spark.createDataFrame([(i, 90.0 - rng.random(), rng.uniform(-180, 180)) for i in range(2000)], "p long, lat double, lng double")
+    centres = spark.createDataFrame([(i, 90.0 - rng.random(), rng.uniform(-180, 180)) for i in range(300)], "c long, at_lat double, at_lng double")
+    found = near.within_each(points, centres, 400, block=64)
+    assert found.select("p", "c").distinct().count() == found.count() == 2000 * 300
+    most = found.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+    assert most < 0.6 * 2000 * 300
+
+
+def test_antipodes_are_half_a_circle_apart(spark):
+    rng = random.Random(6)
+    places = [(i, rng.uniform(-90, 90), rng.uniform(-180, 0)) for i in range(500)]
+    points = spark.createDataFrame(places, "p long, lat double, lng double")
+    found = near.within_each(points, spark.createDataFrame([(i, -a, o + 180) for i, a, o in places], "c long, at_lat double, at_lng double"), 30000)
+    assert found.where("p = c and abs(km - 20015.0868) < 0.01").count() == 500
