@@ -19,19 +19,32 @@ def read_records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFr
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def _as_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    mark = "["
+#: Characters of an array file, but for one whose only record is longer.
+FILE_SIZE = 4 << 20
+
+
+def _as_arrays(batches: Iterator[pa.RecordBatch], size: int = FILE_SIZE) -> Iterator[pa.RecordBatch]:
+    """Arrays of records, one in each row and batch; without records, an empty one."""
+    array = lambda texts: pa.RecordBatch.from_pydict({"value": ["[" + ",\n".join(texts) + "]"]})
+    held, length, empty = [], 0, True
     for batch in batches:
-        for at in range(batch.num_rows):
-            yield pa.RecordBatch.from_arrays([pa.array([f"{mark}{batch.column(0)[at].as_py()}"])], names=["value"])
-            mark = ","
-    yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"])], names=["value"])
+        for text in batch.column(0).to_pylist():
+            if held and length + len(text) > size:
+                yield array(held)
+                held, length, empty = [], 0, False
+            held.append(text)
+            length += len(text)
+    if held or empty:
+        yield array(held)
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    """Write files that hold a JSON array each, one for each partition of ``records``; no row goes to another task. ``path`` must be new."""
+    """Write files that hold a JSON array each, of bounded size; no row goes to another task. ``path`` must be new.
+
+    A reader can't split such a file and holds its records at once, so a large partition becomes many files.
+    """
     lines = records.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    lines.mapInArrow(_as_arrays, "value string").write.text(path)
+    lines.mapInArrow(_as_arrays, "value string").write.option("maxRecordsPerFile", 1).text(path)
 
 
 CORRUPT, FILE = "__corrupt", "__file"

@@ -84,3 +84,21 @@ def test_seed_schemas(spark):
 
     for ddl in (schema.SCHOOL, schema.DETAIL, schema.POST, schema.COORDINATE):
         assert spark.createDataFrame([], ddl).columns[0] == "id"
+
+
+def test_a_large_partition_is_many_array_files(spark, tmp_path):
+    rows = spark.range(60000).select(F.col("id").alias("c"), F.lit('€ "x"\n' * 30).alias("a")).coalesce(1)
+    records.write_records(rows, str(tmp_path / "r"))
+    arrays = [json.loads(f.read_text(encoding="utf-8")) for f in sorted((tmp_path / "r").glob("part-*"))]
+    assert len(arrays) > 2 and sum(map(len, arrays)) == 60000 and max(map(len, arrays)) < 30000
+    back = records.read_records(spark, str(tmp_path / "r"), "c bigint, a string")
+    assert back.agg(F.count("*"), F.countDistinct("c"), F.sum(F.length("a"))).first()[:] == (60000, 60000, 60000 * 180)
+
+
+def test_arrays_of_records_are_bounded():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"value": [json.dumps({"n": n, "s": "x" * n}) for n in part]}) for part in ([1, 2, 300], [4], [], [5, 6])]
+    arrays = [json.loads(b.column(0)[0].as_py()) for b in records._as_arrays(iter(batches), 60)]
+    assert [r["n"] for a in arrays for r in a] == [1, 2, 300, 4, 5, 6] and len(arrays) < 6
+    assert [b.to_pydict() for b in records._as_arrays(iter([]))] == [{"value": ["[]"]}]
