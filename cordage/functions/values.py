@@ -34,10 +34,19 @@ def is_yes(x: Column) -> Column:
     return x.eqNullSafe(F.lit(True))
 
 
+def lowered(text: Column) -> Column:
+    """``text`` in lower case, null as empty."""
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def holds_any(low: Column, words: Iterable[str]) -> Column:
+    """Whether a text that is ``lowered`` holds any of the lower-case ``words``."""
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words), F.lit(False))
+
+
 def has_any(text: Column, words: Iterable[str]) -> Column:
     """Whether the lower-cased ``text`` (null: empty) holds any of the lower-case ``words``."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words), F.lit(False))
+    return holds_any(lowered(text), words)
 
 
 def first_match(items: Column, test: Callable[[Column], Column]) -> Column:

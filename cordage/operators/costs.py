@@ -1,7 +1,8 @@
 """Multi-year cost projection of any number of scenarios in one pass over the records.
 
 A record carries its tiers and costs as arrays, whose order has meaning, so the
-whole projection is a map: no shuffle, no window and no join.
+whole projection is a map: no shuffle, no window and no join. What a tier or a
+cost is, by its texts, is found once for the record, before it meets scenarios.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import count_of, filled, first_match, half_up, has_any, share_percent
+from ..functions.values import count_of, filled, first_match, half_up, has_any, holds_any, lowered, share_percent
 
 TIER = "struct<grade_level:string,annual_thb:bigint,semester_thb:bigint,notes:string>"
 COST = "struct<name:string,amount_thb:bigint,notes:string>"
@@ -63,38 +64,33 @@ def tiers(grades: Column, low: Column, high: Column) -> Column:
     return F.when(count_of(grades) > 0, grades.cast(f"array<{TIER}>")).otherwise(three.cast(f"array<{TIER}>"))
 
 
-def is_mandatory(cost: Column) -> Column:
-    """Whether a cost is an admission fee by its name."""
-    return has_any(cost["name"], MANDATORY)
-
-
-def is_relative(cost: Column) -> Column:
-    """Whether a cost is for siblings or former pupils, by its name or notes; a cost without a name is not."""
-    return (F.coalesce(cost["name"], F.lit("")) != "") & (has_any(cost["name"], RELATIVE_NAMES) | has_any(cost["notes"], RELATIVE_NOTES))
-
-
 def yearly_times(name: Column, notes: Column, twice: tuple[str, ...] = ("semester",), thrice: tuple[str, ...] = ("term",), once: tuple[str, ...] = ONCE) -> Column:
     """How often a year a cost is due; 0 stands for once in all. The first rule that fits counts."""
-    either = lambda words: has_any(name, words) | has_any(notes, words)
-    return F.when(either(twice), 2).when(either(thrice), 3).when(has_any(notes, once), 0).otherwise(1)
+    name, notes = lowered(name), lowered(notes)
+    either = lambda words: holds_any(name, words) | holds_any(notes, words)
+    return F.when(either(twice), 2).when(either(thrice), 3).when(holds_any(notes, once), 0).otherwise(1)
 
 
-def application_fee(costs: Column) -> Column:
-    """The first cost for an application."""
-    return first_match(costs, lambda c: has_any(c["name"], ("application",)))
+#: What a cost is by its lower-cased name: an application; a deposit, but for boarding; an admission of a first child, and of a second one.
+KINDS = {
+    "application": lambda name: holds_any(name, ("application",)),
+    "deposit": lambda name: holds_any(name, ("deposit",)) & ~holds_any(name, ("boarding",)),
+    "admission": lambda name: holds_any(name, ADMISSION) & ~holds_any(name, (SIBLING,)),
+    "sibling": lambda name: holds_any(name, (SIBLING,)),
+}
 
 
-def deposit(costs: Column) -> Column:
-    """The first deposit that is not for boarding."""
-    return first_match(costs, lambda c: has_any(c["name"], ("deposit",)) & ~has_any(c["name"], ("boarding",)))
+def with_first_costs(rows: DataFrame) -> DataFrame:
+    """``rows``, which have ``costs``, with ``names`` and ``notes`` of these, lower-cased once, and the first cost of each of ``KINDS``."""
+    rows = rows.withColumns({"names": F.transform("costs", lambda c: lowered(c["name"])), "notes": F.transform("costs", lambda c: lowered(c["notes"]))})
+    place = lambda test: F.array_position(F.transform("names", test), F.lit(True)).cast("int")
+    return rows.withColumns({kind: F.get("costs", place(test) - 1) for kind, test in KINDS.items()})
 
 
-def registration_fee(costs: Column, child: Column | str) -> Column:
-    """The first cost for admission; for a second child the first one for such children, if there is one."""
-    normal = first_match(costs, lambda c: has_any(c["name"], ADMISSION) & ~has_any(c["name"], (SIBLING,)))
-    second = first_match(costs, lambda c: has_any(c["name"], (SIBLING,)))
-    child = F.lit(child) if isinstance(child, str) else child
-    return F.when(child == "second_child", F.coalesce(second, normal)).otherwise(normal)
+def is_addon(name: Column, notes: Column) -> Column:
+    """Whether a cost of lower-cased texts is no admission fee and not for siblings or former pupils; one without a name is not."""
+    relative = (name != "") & (holds_any(name, RELATIVE_NAMES) | holds_any(notes, RELATIVE_NOTES))
+    return ~holds_any(name, MANDATORY) & ~relative
 
 
 def deducted(fee: Column, name: Column, child: Column | str, rules: Iterable[tuple[str, int]] = ALUMNI_RULES, kind: str = "alumni") -> Column:
@@ -112,14 +108,13 @@ def mandatory_cards(records: DataFrame, child: str = "first_child") -> DataFrame
     Unlike in the projection, a second child's fee without an amount falls
     through to the normal one.
     """
-    costs = F.col("hidden_costs")
-    fee = F.coalesce(registration_fee(costs, child)["amount_thb"], registration_fee(costs, "first_child")["amount_thb"])
-    return records.select(
-        "school_name",
-        application_fee(costs)["amount_thb"].alias("application_thb"),
-        deducted(fee, F.col("school_name"), child).alias("registration_thb"),
-        deposit(costs)["amount_thb"].alias("deposit_thb"),
-    )
+    rows, fee = with_first_costs(records.select("school_name", F.col("hidden_costs").alias("costs"))), F.col("admission.amount_thb")
+    if child == "second_child":
+        fee = F.coalesce(F.col("sibling.amount_thb"), fee)
+    return rows.select(
+        "school_name", F.col("application.amount_thb").alias("application_thb"),
+        deducted(fee, F.col("school_name"), child).alias("registration_thb"), F.col("deposit.amount_thb").alias("deposit_thb"),
+    )
 
 
 def _scenario_rows(scenarios: list[Scenario]) -> Column:
@@ -130,8 +125,12 @@ def _scenario_rows(scenarios: list[Scenario]) -> Column:
     return F.array(*rows)
 
 
+def _off(tuition: Column, percent: Column) -> Column:
+    return half_up(tuition * (percent / 100))
+
+
 def project(records: DataFrame, scenarios: list[Scenario]) -> DataFrame:
-    """Each record under each scenario: ``school_name``, ``scenario``, ``schedule``, ``line_items`` and ``totals``.
+    """Each record under each scenario: ``school_name``, ``scenario``, ``schedule``, ``line_items`` and ``totals``, and of what ``cost_schedule`` makes rows: ``terms`` and ``years``.
 
     ``records`` has ``school_name``, ``tuition_by_grade``, ``hidden_costs``,
     ``tuition_min_thb`` and ``tuition_max_thb``. Null or empty tiers are made
@@ -146,19 +145,24 @@ def project(records: DataFrame, scenarios: list[Scenario]) -> DataFrame:
     item = lambda category, name, unit, total, once, notes: F.struct(F.lit(category).alias("category"), name.alias("name"), bigint(unit).alias("unit_thb"), bigint(total).alias("total_thb"), F.lit(once).alias("one_time"), notes.alias("notes"))
     total_of = lambda items, value: F.aggregate(items, F.lit(0).cast("bigint"), lambda s, x: s + bigint(value(x)))
 
+    tuition = lambda t: F.coalesce(filled(t["annual_thb"], 0), filled(t["semester_thb"], 0) * 2, F.lit(YEAR)).cast("bigint")
     rows = records.select(
         "school_name",
         tiers(F.col("tuition_by_grade"), F.col("tuition_min_thb"), F.col("tuition_max_thb")).alias("tiers"),
         F.coalesce(F.col("hidden_costs").cast(f"array<{COST}>"), F.array().cast(f"array<{COST}>")).alias("costs"),
-        _scenario_rows(scenarios).alias("all"),
     )
-    rows = rows.select("school_name", "tiers", "costs", F.explode("all").alias("s"))  # structs made beside a generator lose their names
-    costs = F.col("costs")
-    chosen = F.filter(costs, lambda c: ~is_mandatory(c) & ~is_relative(c) & c["name"].isNotNull() & F.coalesce(F.col("s.addons").isNull() | F.array_contains("s.addons", c["name"]), F.lit(False)))
+    rows = with_first_costs(rows).withColumn("added", F.zip_with("names", "notes", is_addon))
+    added = F.filter("costs", lambda c, i: c["name"].isNotNull() & F.get("added", i))
     rows = rows.select(
-        "school_name", "tiers", "s",
-        application_fee(costs).alias("application"), registration_fee(costs, F.col("s.child")).alias("registration"), deposit(costs).alias("deposit"),
-        F.transform(chosen, lambda c: F.struct(c["name"].alias("name"), amount(c).alias("amount"), c["notes"].alias("notes"), yearly_times(c["name"], c["notes"]).alias("times"))).alias("addons"),
+        "school_name", "tiers", F.transform("tiers", tuition).alias("prices"), F.transform("tiers", lambda t: filled(t["grade_level"])).alias("levels"), F.exists("tiers", lambda t: filled(t["grade_level"]).isNull()).alias("unnamed"),
+        *KINDS, F.transform(added, lambda c: F.struct(c["name"].alias("name"), amount(c).alias("amount"), c["notes"].alias("notes"), yearly_times(c["name"], c["notes"]).alias("times"))).alias("extras"),
+        _scenario_rows(scenarios).alias("all"),
+    )
+    rows = rows.select(*(c for c in rows.columns if c != "all"), F.explode("all").alias("s"))  # structs made beside a generator lose their names
+    rows = rows.select(
+        "school_name", "tiers", "prices", "levels", "unnamed", "s", "application", "deposit",
+        F.when((F.col("s.child") == "second_child") & F.col("sibling").isNotNull(), F.col("sibling")).otherwise(F.col("admission")).alias("registration"),
+        F.when(F.col("s.addons").isNull(), F.col("extras")).otherwise(F.filter("extras", lambda a: F.coalesce(F.array_contains("s.addons", a["name"]), F.lit(False)))).alias("addons"),
         F.least(F.greatest(F.col("s.start"), F.lit(0)), F.size("tiers") - 1).alias("first"),
     )
     rows = rows.withColumns(
@@ -173,25 +177,31 @@ def project(records: DataFrame, scenarios: list[Scenario]) -> DataFrame:
         }
     ).withColumn("once", total_of(F.col("fees"), lambda x: x) + F.col("once_addons"))
 
-    def year(y: Column) -> Column:
-        tier = F.get("tiers", F.least(F.col("first") + y, F.size("tiers") - 1))
-        tuition = F.coalesce(filled(tier["annual_thb"], 0), filled(tier["semester_thb"], 0) * 2, F.lit(YEAR)).cast("bigint")
-        off = F.when(F.col("s.percent") > 0, half_up(tuition * (F.col("s.percent") / 100))).otherwise(F.lit(0).cast("bigint"))
-        label = F.coalesce(filled(tier["grade_level"]), F.concat(F.lit("Grade "), (y + 1).cast("string")))
-        return F.struct((y + 1).alias("year"), label.alias("grade"), tuition.alias("tuition_thb"), off.alias("discount_thb"))
-
-    def priced(x: Column) -> Column:
-        once = F.when(x["year"] == 1, F.col("once")).otherwise(F.lit(0).cast("bigint"))
-        total = x["tuition_thb"] - x["discount_thb"] + F.col("year_addons") + once
-        return F.struct(x["year"].alias("year"), x["grade"].alias("grade"), x["tuition_thb"].alias("tuition_thb"), once.alias("one_time_thb"), F.col("year_addons").alias("addons_thb"), x["discount_thb"].alias("discount_thb"), total.alias("total_thb"))
-
-    years = F.col("s.years")
-    rows = rows.withColumn("schedule", F.transform(F.transform(F.sequence(F.lit(0), years - 1), year), priced))
-    rows = rows.withColumns({"tuition": total_of(F.col("schedule"), lambda x: x["tuition_thb"]), "off": total_of(F.col("schedule"), lambda x: x["discount_thb"])})
+    # plain arrays by year, which are zipped at last: structs made in a lambda are slow
+    years, nil = F.col("s.years"), F.lit(0).cast("bigint")
+    of_years = lambda x: F.concat(F.slice(x, F.col("first") + 1, years), F.array_repeat(F.element_at(x, -1), F.greatest(F.lit(0), years - F.size(x) + F.col("first"))))
+    rows = rows.withColumns({"tuition_thb": of_years(F.col("prices")), "grade": of_years(F.col("levels"))})
+    percent, sliced = F.col("s.percent"), F.col("tuition_thb")
+    rows = rows.withColumns(
+        {
+            "grade": F.when(F.col("unnamed"), F.transform("grade", lambda g, i: F.coalesce(g, F.concat(F.lit("Grade "), (i + 1).cast("string"))))).otherwise(F.col("grade")),
+            "discount_thb": F.when(percent > 0, F.transform(sliced, lambda t: _off(t, percent))).otherwise(F.array_repeat(nil, years)),
+        }
+    )
+    rows = rows.withColumns({"tuition": total_of(sliced, lambda x: x), "off": F.when(percent > 0, total_of(F.col("discount_thb"), lambda x: x)).otherwise(nil)})
+    rows = rows.withColumns(
+        {
+            "year": F.sequence(F.lit(1), years),
+            "one_time_thb": F.concat(F.array("once"), F.array_repeat(nil, years - 1)),
+            "addons_thb": F.array_repeat("year_addons", years),
+            "total_thb": F.transform(sliced, lambda t, i: t - F.get("discount_thb", i) + F.col("year_addons") + F.when(i == 0, F.col("once")).otherwise(nil)),
+        }
+    )
+    schedule = F.arrays_zip("year", "grade", "tuition_thb", "one_time_thb", "addons_thb", "discount_thb", "total_thb")
     journey = F.col("tuition") - F.col("off") + F.col("year_addons") * years + F.col("once")
     average = half_up(journey / years)
     totals = F.struct(
-        journey.alias("journey_thb"), F.get("schedule", F.lit(0))["total_thb"].alias("year1_thb"), average.alias("average_thb"), half_up(average / 12).alias("month_thb"),
+        journey.alias("journey_thb"), (F.get("tuition_thb", F.lit(0)) - F.get("discount_thb", F.lit(0)) + F.col("year_addons") + F.col("once")).alias("year1_thb"), average.alias("average_thb"), half_up(average / 12).alias("month_thb"),
         F.col("once").alias("one_time_thb"), F.col("tuition").alias("tuition_thb"), (F.col("year_addons") * years + F.col("once_addons")).alias("addons_thb"), F.col("off").alias("discount_thb"),
     )
 
@@ -214,13 +224,20 @@ def project(records: DataFrame, scenarios: list[Scenario]) -> DataFrame:
     discount = item(DISCOUNT, F.concat(F.lit("Simulated Family / Sibling Discount ("), F.col("s.percent").cast("string"), F.lit("%)")), half_up(F.col("off") / years), -F.col("off"), False, F.lit("Simulated tuition reduction"))
     fees = F.array(fee(0, F.col("application")), fee(1, F.col("registration")), fee(2, F.col("deposit")), base)
     items = F.concat(fees, F.transform("addons", addon), F.when(F.col("s.percent") > 0, F.array(discount)).otherwise(F.filter(F.array(discount), lambda x: F.lit(False))))
-    return rows.select("school_name", F.col("s.id").alias("scenario"), "schedule", items.alias("line_items"), totals.alias("totals"))
+    return rows.select(
+        "school_name", F.col("s.id").alias("scenario"), schedule.alias("schedule"), items.alias("line_items"), totals.alias("totals"),
+        F.struct(percent.alias("percent"), F.col("once").alias("once"), F.col("year_addons").alias("year_addons")).alias("terms"), F.arrays_zip("grade", "tuition_thb").alias("years"),
+    )
 
 
 def cost_schedule(projected: DataFrame) -> DataFrame:
     """A row for each year."""
-    # outer: a schedule is never empty, and a plain explode would filter on its size, with the whole projection written out once more
-    return projected.select("school_name", "scenario", F.explode_outer("schedule").alias("y")).select("school_name", "scenario", "y.*")
+    # outer: there is always a year, and a plain explode would filter on their number, with the whole projection written out once more
+    rows = projected.select("school_name", "scenario", "terms", F.posexplode_outer("years").alias("at", "y")).select("school_name", "scenario", "terms.*", "at", "y.*")
+    nil = F.lit(0).cast("bigint")
+    rows = rows.withColumns({"one_time_thb": F.when(F.col("at") == 0, F.col("once")).otherwise(nil), "discount_thb": F.when(F.col("percent") > 0, _off(F.col("tuition_thb"), F.col("percent"))).otherwise(nil)})
+    total = F.col("tuition_thb") - F.col("discount_thb") + F.col("year_addons") + F.col("one_time_thb")
+    return rows.select("school_name", "scenario", (F.col("at") + 1).alias("year"), "grade", "tuition_thb", "one_time_thb", F.col("year_addons").alias("addons_thb"), "discount_thb", total.alias("total_thb"))
 
 
 def cost_line_items(projected: DataFrame) -> DataFrame:

@@ -75,3 +75,13 @@ def test_schedule_adds_up(spark, amounts, start, years, percent):
 
 def test_record_schema_is_readable(spark):
     assert spark.createDataFrame([], RECORD).columns[0] == "school_name"
+
+
+def test_rows_of_years_are_the_schedule(spark):
+    grades = [("", None, 7, None), ("G", 0, None, None), (None, 11, 1, None)]
+    rows = projected(spark, [("Plain", grades, COSTS, None, None), ("Bare", None, None, 5, None)], Scenario(1, 15, None, "second_child", 15), Scenario(0, 2), Scenario(7, 1, ("Bus",), "alumni", 0))
+    made = costs.cost_schedule(rows).collect()
+    want = rows.selectExpr("school_name", "scenario", "inline(schedule)").collect()
+    assert len(made) == 2 * (15 + 2 + 1) and sorted(map(str, made)) == sorted(map(str, want))
+    plan = costs.cost_schedule(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "discount_thb" not in plan.split("Generate")[-1]  # years are made by rows, not by structs in a lambda
