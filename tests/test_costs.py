@@ -85,3 +85,8 @@ def test_rows_of_years_are_the_schedule(spark):
     assert len(made) == 2 * (15 + 2 + 1) and sorted(map(str, made)) == sorted(map(str, want))
     plan = costs.cost_schedule(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" not in plan and "discount_thb" not in plan.split("Generate")[-1]  # years are made by rows, not by structs in a lambda
+
+
+def test_texts_of_costs_are_lowered_once(spark):
+    plan = costs.cost_summary(projected(spark, [("Plain", GRADES, COSTS, None, None)], Scenario(), Scenario(1, 15, None)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") < 16
