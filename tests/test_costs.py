@@ -90,3 +90,8 @@ def test_rows_of_years_are_the_schedule(spark):
 def test_texts_of_costs_are_lowered_once(spark):
     plan = costs.cost_summary(projected(spark, [("Plain", GRADES, COSTS, None, None)], Scenario(), Scenario(1, 15, None)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") < 16
+
+
+def test_line_items_make_no_schedule(spark):
+    plan = costs.cost_line_items(projected(spark, [("Plain", GRADES, COSTS, None, None)], Scenario(1, 15, None)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and plan.count("lower(") < 16
