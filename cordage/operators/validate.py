@@ -77,41 +77,56 @@ def _kind(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
-def _is_number(value: Column) -> Column:
-    return _kind(value).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
-
-
 def safety_errors(safety: Column) -> Column:
     """Messages on the kinds of a safety part (a variant): an object, its highlights a list, its summary a string, each if it is there; a JSON null is no list and no string."""
-    is_there = safety.isNotNull() & ~F.is_variant_null(safety)
-    highlights, summary = _at(safety, "highlights"), _at(safety, "policy_summary")
-    inner = F.array(F.when(highlights.isNotNull() & (_kind(highlights) != "ARRAY"), SAFETY_KINDS[1]), F.when(summary.isNotNull() & (_kind(summary) != "STRING"), SAFETY_KINDS[2]))
-    return F.array_compact(F.when(~is_there, F.array().cast("array<string>")).when(_kind(safety) != "OBJECT", F.array(F.lit(SAFETY_KINDS[0]))).otherwise(inner))
+    highlights, summary = (_kind(_at(safety, name)) for name in ("highlights", "policy_summary"))
+    return _safety_errors(_kind(safety), highlights, summary)
+
+
+def _safety_errors(safety: Column, highlights: Column, summary: Column) -> Column:
+    is_there = safety.isNotNull() & (safety != "VOID")
+    inner = F.array(F.when(highlights != "ARRAY", SAFETY_KINDS[1]), F.when(summary != "STRING", SAFETY_KINDS[2]))
+    return F.array_compact(F.when(~is_there, F.array().cast("array<string>")).when(safety != "OBJECT", F.array(F.lit(SAFETY_KINDS[0]))).otherwise(inner))
 
 
-def untyped_errors(record: Column) -> Column:
-    """All messages of a record that is a variant, in rule order: kinds of fields, the rules of ``errors``, then those on safety.
+#: Fields of a record that its rules read.
+FIELDS = ("curriculum", "tuition_found", "confidence", "safety_and_security", *LISTS, *NUMBERS)
+
+
+def validated_untyped(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``errors``: all messages of the record that is a variant in ``column``, in rule order: kinds of fields, the rules of ``errors``, then those on safety.
 
     A field of another kind than its rule needs is told once and counts as absent for the rule; a list's items likewise, field by
     field. Numbers may be written with a fraction. A record that is no object is told so, and null (text that is no JSON) too.
+    Fields, their kinds and lists are columns on the way, so each is read from the variant once, however many rules need it.
     """
-    items = lambda name: F.when(_kind(_at(record, name)) == "ARRAY", _at(record, name, "array<variant>"))
+    record, value, kind = F.col(column), (lambda n: F.col(f"__v_{n}")), (lambda n: F.col(f"__k_{n}"))
+    steps = [{f"__v_{n}": _at(record, n) for n in FIELDS} | {"__k_": _kind(record)}]
+    steps += [{f"__k_{n}": _kind(value(n)) for n in FIELDS} | {f"__v_safety_{n}": _at(value("safety_and_security"), n) for n in ("highlights", "policy_summary")}]
+
+    number = lambda k: k.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
     text = lambda x, name: F.when(_kind(_at(x, name)) == "STRING", _at(x, name, "string"))
-    amount = lambda x, name: F.when(_is_number(_at(x, name)), _at(x, name, "decimal(28,0)"))
-    faults = [F.when(_kind(_at(record, n)).isNotNull() & ~_kind(_at(record, n)).isin("ARRAY", "VOID"), f"'{n}' must be a list.") for n in LISTS]
-    faults += [F.when(_kind(_at(record, n)).isNotNull() & ~_is_number(_at(record, n)) & (_kind(_at(record, n)) != "VOID"), f"'{n}' must be a number.") for n in NUMBERS]
+    amount = lambda x, name: F.when(number(_kind(_at(x, name))), _at(x, name, "decimal(28,0)"))
+    items = lambda name: F.when(kind(name) == "ARRAY", F.try_variant_get(value(name), "$", "array<variant>"))
     grades = F.transform(items("tuition_by_grade"), lambda g: F.struct(text(g, "grade_level").alias("grade_level"), amount(g, "annual_thb").alias("annual_thb"), amount(g, "semester_thb").alias("semester_thb")))
     costs = F.transform(items("hidden_costs"), lambda c: F.struct(text(c, "name").alias("name"), amount(c, "amount_thb").alias("amount_thb")))
-    confidence = F.when(~_kind(_at(record, "confidence")).isin("VOID"), _at(record, "confidence", "string"))
-    ruled = errors(
-        _at(record, "curriculum", "string"), F.coalesce(_at(record, "tuition_found", "boolean"), F.lit(False)), grades,
-        amount(record, "tuition_min_thb"), amount(record, "tuition_max_thb"), costs, confidence,
-    )
-    of_object = F.concat(F.array_compact(F.array(*faults)), ruled, safety_errors(_at(record, "safety_and_security")))
-    return F.when(F.coalesce(_kind(record) == "OBJECT", F.lit(False)), of_object).otherwise(F.array(F.lit("Record is not a JSON object.")))
+    cast = lambda name, to: F.try_variant_get(value(name), "$", to)
+    last = {"__grades": grades, "__costs": costs, "__curriculum": cast("curriculum", "string"), "__found": F.coalesce(cast("tuition_found", "boolean"), F.lit(False))}
+    last |= {f"__{n}": F.when(number(kind(n)), cast(n, "decimal(28,0)")) for n in NUMBERS} | {"__confidence": F.when(~kind("confidence").isin("VOID"), cast("confidence", "string"))}
+    steps += [last | {f"__k_safety_{n}": _kind(value(f"safety_{n}")) for n in ("highlights", "policy_summary")}]
+
+    faults = [F.when(~kind(n).isin("ARRAY", "VOID"), f"'{n}' must be a list.") for n in LISTS]
+    faults += [F.when(~number(kind(n)) & (kind(n) != "VOID"), f"'{n}' must be a number.") for n in NUMBERS]
+    ruled = errors(*(F.col(f"__{n}") for n in ("curriculum", "found", "grades", *NUMBERS, "costs", "confidence")))
+    of_object = F.concat(F.array_compact(F.array(*faults)), ruled, _safety_errors(kind("safety_and_security"), kind("safety_highlights"), kind("safety_policy_summary")))
+    found = F.when(F.coalesce(kind("") == "OBJECT", F.lit(False)), of_object).otherwise(F.array(F.lit("Record is not a JSON object.")))
+    made = rows
+    for step in steps:
+        made = made.withColumns(step)
+    return made.withColumn("errors", found).drop(*(c for step in steps for c in step))
 
 
 def validated_json(rows: DataFrame, column: str) -> DataFrame:
     """``rows`` with ``errors`` and ``validation`` of the untyped record whose JSON text is in ``column``. No text ends the read."""
-    found = untyped_errors(F.try_parse_json(column))
-    return rows.withColumn("errors", found).withColumn("validation", F.when(F.size("errors") == 0, "success").otherwise("failed"))
+    made = validated_untyped(rows.withColumn("__record", F.try_parse_json(column)), "__record").drop("__record")
+    return made.withColumn("validation", F.when(F.size("errors") == 0, "success").otherwise("failed"))

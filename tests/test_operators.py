@@ -275,3 +275,11 @@ def test_untyped_records(spark):
     found = validate.validated_json(rows, "text").orderBy("i").collect()
     assert [(r.i, r.errors) for r in found] == [(i, e) for i, (_, e) in enumerate(UNTYPED)]
     assert all((r.validation == "success") == (not r.errors) for r in found)
+
+
+def test_untyped_records_are_parsed_once(spark):
+    rows = spark.createDataFrame([(1, '{"hidden_costs": [{"name": 5, "amount_thb": -2}], "curriculum": "IB"}'), (2, "[1]"), (3, None)], "id long, record string")
+    found = validate.validated_json(rows, "record")
+    assert found.columns == ["id", "record", "errors", "validation"]
+    assert [r.errors for r in found.orderBy("id").collect()] == [["Hidden cost item at index 0 is missing a name.", "Hidden cost amount for 'None' cannot be negative: -2"]] + [["Record is not a JSON object."]] * 2
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("parsejson") == 1
