@@ -102,3 +102,10 @@ def test_arrays_of_records_are_bounded():
     arrays = [json.loads(b.column(0)[0].as_py()) for b in records._as_arrays(iter(batches), 60)]
     assert [r["n"] for a in arrays for r in a] == [1, 2, 300, 4, 5, 6] and len(arrays) < 6
     assert [b.to_pydict() for b in records._as_arrays(iter([]))] == [{"value": ["[]"]}]
+
+
+def test_records_of_a_batch_are_one_array():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"value": ['{"a": 1}'] * 1000})
+    assert [len(json.loads(b.column(0)[0].as_py())) for b in records._as_arrays(iter([batch, batch]))] == [2000]
