@@ -283,3 +283,14 @@ def test_untyped_records_are_parsed_once(spark):
     assert found.columns == ["id", "record", "errors", "validation"]
     assert [r.errors for r in found.orderBy("id").collect()] == [["Hidden cost item at index 0 is missing a name.", "Hidden cost amount for 'None' cannot be negative: -2"]] + [["Record is not a JSON object."]] * 2
     assert found._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("parsejson") == 1
+
+
+def test_few_pages_of_a_batch_are_objects_at_once(monkeypatch):
+    import pyarrow as pa
+
+    live, most = [], []
+    monkeypatch.setattr(operators_pages.pa, "array", lambda values, kind, make=pa.array: (most.append(len(values)), make(values, kind))[1])
+    pages = pa.chunked_array([[f'<a href="x{i}">t</a>' for i in range(1000)] + [None]]).combine_chunks()
+    found = operators_pages._mapped(pages, operators_pages._LINKS, lambda p: live.append(p) or {"anchors": operators_pages.links_of(p)[0] if p else [], "frames": []})
+    assert max(most) <= operators_pages.AT_ONCE and len(live) == len(found) == 1001
+    assert found[999].as_py() == {"anchors": [{"href": "x999", "text": "t"}], "frames": []} and found[1000].as_py() == {"anchors": [], "frames": []}
